@@ -6,6 +6,8 @@ key are spread over all tasks and only its distinct values meet.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,11 +59,9 @@ def collapse_rows(
     collapse: str,
     extra: list[Column] | None = None,
     distinct: bool = True,
-    keep_keys: bool = True,
 ) -> DataFrame:
     """Aggregate columns of a frame per key.  ``named`` holds column, name and type of each;
-    ``distinct=False`` says that no (key, value) pair repeats, ``keep_keys=False`` that keys
-    without any value may be left out.
+    ``distinct=False`` says that no (key, value) pair repeats.
 
     Sums and averages of text work on the distinct texts ('1' and '1.0' count twice), so those
     columns are made distinct before they are read as numbers.
@@ -70,18 +70,18 @@ def collapse_rows(
     texts = [n for n in named if collapse in ("sum", "avg") and not _is_numeric(n[2])]
     plain = [n for n in named if n not in texts]
     aggregates = [_aggregate(name, collapse, distinct) for _, name, _ in plain] + extra
-    carried = [c for c in frame.columns if c.startswith("__known_")] if extra else []
-    result = frame.select(key, *[column for column, _, _ in plain], *carried).groupBy(key)
-    result = result.agg(*aggregates) if aggregates else frame.select(key).distinct()
+    parts = []
+    if aggregates or not texts:
+        carried = [c for c in frame.columns if c.startswith("__known_")] if extra else []
+        rows = frame.select(key, *[column for column, _, _ in plain], *carried)
+        parts.append(rows.groupBy(key).agg(*aggregates) if aggregates else rows.distinct())
     for column, name, data_type in texts:
-        values = frame.select(key, column).where(F.col(name).isNotNull())
+        values = frame.select(key, column)
         values = values.distinct() if distinct else values
         number = as_number(F.col(name), data_type)
-        total = (F.sum(number) if collapse == "sum" else F.avg(number)).alias(name)
-        per_key = values.groupBy(key).agg(total)
-        alone = not aggregates and len(texts) == 1 and not keep_keys
-        result = per_key if alone else result.join(per_key, key, "left")
-    return result
+        total = F.sum(number) if collapse == "sum" else F.avg(number)
+        parts.append(values.groupBy(key).agg(total.alias(name)))
+    return reduce(lambda a, b: a.join(b, key), parts)
 
 
 def _aggregate(name: str, collapse: str, distinct: bool) -> Column:

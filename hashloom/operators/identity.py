@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.operators.skew import hottest, spread_join
+
 
 def equivalence_classes(frame: DataFrame, digest: str = "digest", key: str = "hash") -> DataFrame:
     """One row per class: size and smallest member.  Members are not collected, so a class may
@@ -13,10 +15,7 @@ def equivalence_classes(frame: DataFrame, digest: str = "digest", key: str = "ha
 
 
 def class_members(frame: DataFrame, digest: str = "digest", key: str = "hash") -> DataFrame:
-    """One row per entity: its class and the representative of it.
-
-    The classes with several members are joined back to the entities; both sides of that join are
-    unique or splittable, so a huge class is divided over tasks by the adaptive skew join.
-    """
+    """One row per entity: its class and the representative of it.  The rows of huge classes, known
+    from the class sizes, are spread over tasks."""
     classes = equivalence_classes(frame, digest, key)
-    return frame.select(key, digest).join(classes, digest)
+    return spread_join(frame.select(key, digest), classes, digest, "inner", hottest(classes, digest, "n"))

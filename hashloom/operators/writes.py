@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hashloom.operators.skew import hot_keys, spread_join
 from hashloom.plans.filters import Predicate
 from hashloom.plans.namespace import (
     Database,
@@ -241,7 +242,8 @@ def reset_values(database: Database, name: str, values=None, hashes=None) -> Dat
     if values is not None:
         if isinstance(values, DataFrame):
             marked = values.select(F.col("value").alias("__value"), F.lit(True).alias("__in_values")).distinct()
-            entities = entities.join(marked, column == F.col("__value"), "left").drop("__value")
+            keyed = entities.withColumn("__value", column)
+            entities = spread_join(keyed, marked, "__value", "left", hot_keys(keyed, "__value")).drop("__value")
             hit = hit & F.coalesce(F.col("__in_values"), F.lit(False))
         else:
             hit = hit & F.coalesce(column.isin(list(values)), F.lit(False))
@@ -261,13 +263,15 @@ def reset_values(database: Database, name: str, values=None, hashes=None) -> Dat
 
 
 def _remove_pairs(database: Database, name: str, values, hashes) -> Database:
-    stored = database.many[name].pairs()
+    source = database.many[name]
+    stored = source.pairs()
     wanted = {c: w for c, w in (("hash", hashes), ("value", values)) if w is not None}
     if any(isinstance(w, DataFrame) for w in wanted.values()):
         doomed = stored
         for column, some in wanted.items():
-            some = some.select(F.col(column).alias("hash")) if isinstance(some, DataFrame) else some
-            doomed = restrict(doomed, some, column)
+            is_frame = isinstance(some, DataFrame)
+            some = some.select(F.col(column).alias("hash")) if is_frame else some
+            doomed = restrict(doomed, some, column, source.hot_keys(column) if is_frame else None)
         kept = stored.join(doomed, ["hash", "value"], "left_anti")
     else:
         hits = [F.col(column).isin(list(some)) for column, some in wanted.items()]
@@ -293,7 +297,8 @@ def _delete_from_values(database: Database, doomed: DataFrame) -> dict:
     many = {}
     for name, source in database.many.items():
         if id(source.frame) not in kept:
-            kept[id(source.frame)] = source.frame.join(doomed, "hash", "left_anti")
+            hot = source.hot_keys("hash")
+            kept[id(source.frame)] = spread_join(source.frame, doomed, "hash", "left_anti", hot)
         many[name] = Values(kept[id(source.frame)], source.column, source.unique)
     return many
 
@@ -315,7 +320,9 @@ def copy_feature(
     selected = entity_hashes(namespace, where, hashes)
     home = namespace[origin.database]
     if origin.many:
-        rows = home.many[origin.name].pairs()
+        source = home.many[origin.name]
+        rows = spread_join(source.pairs(), selected, "hash", "left_semi", source.hot_keys("hash"))
     else:
         rows = home.entities.select("hash", home.single(origin.name).alias("value"))
-    return set_values(database, new_name, rows.join(selected, "hash", "left_semi"))
+        rows = rows.join(selected, "hash", "left_semi")
+    return set_values(database, new_name, rows)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashloom.functions.text import Contexts
+from hashloom.operators.skew import hot_keys, listed_keys
 
 #: What an entity without a value of a text feature shows.
 UNSET = "None"
@@ -50,11 +51,13 @@ class Feature:
 @dataclass(frozen=True)
 class Values:
     """Where a multi-valued feature lives: rows of (hash, column).  Several features may share one
-    frame; a null means no value.  ``unique`` says that no (hash, column) pair occurs twice."""
+    frame; a null means no value.  ``unique`` says that no (hash, column) pair occurs twice.
+    ``hot`` lists the (key, rows) of hashes and values with very many rows, where that is known."""
 
     frame: DataFrame
     column: str = "value"
     unique: bool = False
+    hot: dict | None = None
 
     def pairs(self) -> DataFrame:
         """The distinct (hash, value) pairs."""
@@ -65,6 +68,11 @@ class Values:
         value = F.col(self.column)
         return self.frame.where(value.isNotNull()).select("hash", value.alias("value"))
 
+    def hot_keys(self, side: str) -> DataFrame | None:
+        """Hot keys of the pairs by ``hash`` or ``value``."""
+        rows = self.rows()
+        return hot_keys(rows, side) if self.hot is None else listed_keys(rows, side, self.hot[side])
+
     @property
     def data_type(self) -> T.DataType:
         return self.frame.schema[self.column].dataType

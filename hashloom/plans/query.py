@@ -8,7 +8,8 @@ Shape of the plans:
   ``|`` and ``~``; single conditions at the top of the filter become semi and anti joins;
 * multi-valued features are collapsed to one row per entity before they are joined, unless the
   rows themselves are asked for;
-* no join but equi-joins, and no broadcast but those Spark derives from sizes it knows.
+* rows that may pile up on one key are spread by ``spread_join``; there are no joins but
+  equi-joins, and no broadcasts but of hot keys and those Spark derives from sizes it knows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.numbers import as_number
 from hashloom.operators.collapse import collapse_rows, collapse_single, check_collapse, unset_result
+from hashloom.operators.skew import hot_keys, spread_join
 from hashloom.plans.filters import Condition, Predicate
 from hashloom.plans.namespace import UNSET, Database, Feature, FeatureError, Namespace
 
@@ -61,7 +63,7 @@ def entity_hashes(namespace: Namespace, where: Predicate | None = None, hashes=N
     return select(namespace, where, collapse=None, hashes=hashes)
 
 
-def restrict(frame: DataFrame, hashes, column: str = "hash") -> DataFrame:
+def restrict(frame: DataFrame, hashes, column: str = "hash", hot: DataFrame | None = None) -> DataFrame:
     """Keep the rows of given hashes: a short list is a literal filter, a frame a semi join."""
     if hashes is None:
         return frame
@@ -71,8 +73,12 @@ def restrict(frame: DataFrame, hashes, column: str = "hash") -> DataFrame:
             return frame.where(F.col(column).isin(hashes))
         field = frame.schema[column].dataType.simpleString()
         hashes = frame.sparkSession.createDataFrame([(h,) for h in hashes], f"hash {field}")
-    wanted = hashes.select(F.col("hash").alias(column))
-    return frame.join(wanted, column, "left_semi")
+    wanted = hashes.select(F.col("hash").alias(column)).distinct()
+    return spread_join(frame, wanted, column, "left_semi", hot)
+
+
+def _renamed(hot: DataFrame | None, old: str, new: str) -> DataFrame | None:
+    return None if hot is None else hot.withColumnRenamed(old, new)
 
 
 class _Query:
@@ -99,6 +105,8 @@ class _Query:
         self.membership = {id(c) for c in direct}
         remaining = [c for c in conjuncts if id(c) not in self.membership]
 
+        #: hot entities of the frame, while it holds the rows of a multi-valued key
+        self.hot = namespace.values(self.key).hot_keys("hash") if self.key.many else None
         self.frame = self._base(hashes)
         self._join_same_context()
         for condition in direct:
@@ -183,9 +191,15 @@ class _Query:
         if not self.key.many:
             frame = self._entities(self.home)
             return restrict(frame, hashes)
-        values = self.namespace.values(self.key)
-        rows = values.rows().withColumnRenamed("value", self.key.label)
-        return restrict(rows, hashes)
+        pairs = self.namespace.values(self.key).pairs()
+        return restrict(pairs.withColumnRenamed("value", self.key.label), hashes, hot=self.hot)
+
+    def _join(self, single: DataFrame, how: str) -> None:
+        """Join a side with one row per hash."""
+        if how == "full":
+            self.frame = self.frame.join(single, "hash", how)
+        else:
+            self.frame = spread_join(self.frame, single, "hash", how, self.hot)
 
     def _join_same_context(self) -> None:
         used = {f.database for f in self._used() if self._in_context(f)}
@@ -193,7 +207,7 @@ class _Query:
             used.discard(self.home.name)
         for name in sorted(used, key=self.namespace.position):
             if f"__known_{name}" not in self.frame.columns:
-                self.frame = self.frame.join(self._entities(self.namespace[name]), "hash", self.how)
+                self._join(self._entities(self.namespace[name]), self.how)
 
     def _needs_home(self) -> bool:
         return any(f.database == self.home.name and f != self.key for f in self._used())
@@ -207,7 +221,7 @@ class _Query:
             found = rows.where(condition.any_test(F.col("value"), feature.data_type))
         absent = condition.about_no_value or condition.kind == "unset"
         found = found.select("hash").distinct()
-        self.frame = self.frame.join(found, "hash", "left_anti" if absent else "left_semi")
+        self._join(found, "left_anti" if absent else "left_semi")
 
     def _flag_conditions(self, conditions: list[Condition]) -> None:
         """One boolean per entity and condition, by one aggregation per source frame."""
@@ -218,8 +232,7 @@ class _Query:
         for group in by_frame.values():
             plain = [c for c in group if not (c.kind == "term" and c.value.addresses)]
             if plain:
-                flags = self._flags(plain)
-                self.frame = self.frame.join(flags, "hash", "left")
+                self._join(self._flags(plain), "left")
                 for condition in plain:
                     self._set_truth(condition, self._right_of(condition))
             for condition in group:
@@ -242,10 +255,11 @@ class _Query:
         feature = self._feature_of(condition)
         right = self.frame.select("hash", self._right_of(condition).alias("__right"))
         right = right.dropDuplicates(["hash"]) if self.fans_out else right
-        rows = self.namespace.values(feature).rows().join(right, "hash")
+        values = self.namespace.values(feature)
+        rows = spread_join(values.pairs(), right, "hash", "inner", values.hot_keys("hash"))
         test = condition.any_test(F.col("value"), feature.data_type, F.col("__right"))
         flag = F.bool_or(F.coalesce(test, F.lit(False))).alias(self._flag_name(condition))
-        self.frame = self.frame.join(rows.groupBy("hash").agg(flag), "hash", "left")
+        self._join(rows.groupBy("hash").agg(flag), "left")
         self._set_truth(condition, self._right_of(condition))
 
     def _flag_name(self, condition: Condition) -> str:
@@ -273,13 +287,13 @@ class _Query:
             return F.col("hash")
         return F.col(feature.label)
 
-    def _unfold(self, feature: Feature, distinct: bool = False) -> None:
+    def _unfold(self, feature: Feature) -> None:
         """Join a multi-valued feature as one row per value; unset text features show None."""
         if feature in self.unfolded:
             return
         source = self.namespace.values(feature)
-        rows = (source.pairs() if distinct else source.rows()).withColumnRenamed("value", feature.label)
-        self.frame = self.frame.join(rows, "hash", "left")
+        pairs = source.pairs().withColumnRenamed("value", feature.label)
+        self.frame = spread_join(pairs, self.frame, "hash", "right", source.hot_keys("hash"))
         self._fill(feature)
         self.unfolded.add(feature)
 
@@ -301,7 +315,8 @@ class _Query:
         """Entities of another context through the translator: link rows joined with the features
         of their targets, then with the entities."""
         link, backwards = self.namespace.translator(self.context, context)
-        pairs = self.namespace.values(link).pairs()
+        values = self.namespace.values(link)
+        pairs = values.pairs()
         source, target = ("value", "hash") if backwards else ("hash", "value")
         links = pairs.select(F.col(source).alias("__source"), F.col(target).alias("hash"))
         parts = []
@@ -312,11 +327,18 @@ class _Query:
             for feature in [f for f in used if f.database == database.name and f.many]:
                 parts.extend(self._target_values(feature, link))
         targets = reduce(lambda a, b: a.join(b, "hash"), parts) if parts else None
-        reached = links.join(targets, "hash") if targets is not None else links
+        reached = links
+        if targets is not None:
+            hot = _renamed(values.hot_keys(target), target, "hash")
+            reached = spread_join(links, targets, "hash", "inner", hot)
         if link in used:
             reached = reached.withColumn(link.label, F.col("__source"))
         reached = reached.drop("hash").withColumnRenamed("__source", "hash")
-        self.frame = self.frame.join(reached, "hash", self.cross)
+        if self.cross == "inner":
+            hot = _renamed(values.hot_keys(source), source, "hash")
+            self.frame = spread_join(reached, self.frame, "hash", "inner", hot)
+        else:
+            self.frame = spread_join(reached, self.frame, "hash", "right", hot_keys(reached, "hash"))
         self.fans_out = True
         for condition in self.conditions:
             if f"__flag_{self.conditions.index(condition)}" in reached.columns:
@@ -370,7 +392,7 @@ class _Query:
         pending = [f for f in self.resolved if f.many and f not in self.unfolded]
         unique = not self.fans_out and not self.unfolded and self.key.is_hash
         for feature in pending:
-            self._unfold(feature, distinct=True)
+            self._unfold(feature)
         columns = [F.col(_KEY)] + [self._value_of(f) for f in self.resolved]
         result = self.frame.select(*[c.alias(n) for c, n in zip(columns, self._names())])
         return result if unique else result.distinct()
@@ -379,7 +401,9 @@ class _Query:
         """One row per key."""
         pending = [f for f in self.resolved if f.many and f not in self.unfolded]
         present = [f for f in self.resolved if f not in pending]
-        if self.key.is_hash and not self.fans_out and not self.unfolded:
+        if not self.key.is_hash and not present and pending:
+            result = None
+        elif self.key.is_hash and not self.fans_out and not self.unfolded:
             columns = [collapse_single(self._value_of(f), f.data_type, collapse).alias(f.label) for f in present]
             marks = [c for c in self.frame.columns if c.startswith("__known_")]
             result = self.frame.select(_KEY, *columns, *marks)
@@ -407,9 +431,7 @@ class _Query:
         for group in by_frame.values():
             source = self.namespace.values(group[0])
             named = [(F.col(self.namespace.values(f).column).alias(f.label), f.label, f.data_type) for f in group]
-            values = collapse_rows(
-                source.frame, "hash", named, collapse, distinct=not source.unique, keep_keys=False
-            )
+            values = collapse_rows(source.frame, "hash", named, collapse, distinct=not source.unique)
             result = result.join(values.withColumnRenamed("hash", _KEY), _KEY, "left")
         for feature in pending:
             mark = f"__known_{feature.database}"
@@ -418,17 +440,19 @@ class _Query:
             result = result.withColumn(feature.label, F.when(known, filled))
         return result
 
-    def _attach_per_key(self, result: DataFrame, pending: list[Feature], collapse: str) -> DataFrame:
+    def _attach_per_key(self, result: DataFrame | None, pending: list[Feature], collapse: str) -> DataFrame:
         """Collapse multi-valued features per key: each feature on its own, so that several of
         them never multiply."""
         for feature in pending:
             mark = f"__known_{feature.database}"
             members = self.frame.select(_KEY, "hash", mark).distinct()
-            rows = self.namespace.values(feature).rows().withColumnRenamed("value", feature.label)
-            joined = members.join(rows, "hash", "left")
+            source = self.namespace.values(feature)
+            pairs = source.pairs().withColumnRenamed("value", feature.label)
+            joined = spread_join(pairs, members, "hash", "right", source.hot_keys("hash"))
             value = F.col(feature.label)
             if feature.is_text:
                 value = F.when(value.isNull() & F.col(mark), UNSET).otherwise(value)
             named = [(value.alias(feature.label), feature.label, feature.data_type)]
-            result = result.join(collapse_rows(joined, _KEY, named, collapse), _KEY, "left")
+            values = collapse_rows(joined, _KEY, named, collapse)
+            result = values if result is None else result.join(values, _KEY, "left")
         return result

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from hashloom.functions.text import Contexts, database_name_of
+from hashloom.operators.skew import hot_counts
 from hashloom.plans.namespace import Database, FeatureError, Namespace, Values
 
 ENTITIES = "features"
 _LOG_SCHEMA = (
     "version bigint, database string, context string, table string, position int, "
-    "defaults string, files array<string>, buckets int, note string"
+    "defaults string, hot string, files array<string>, buckets int, note string"
 )
 
 
@@ -56,7 +57,7 @@ def open_database(spark: SparkSession, path: str, contexts: Contexts | None = No
         if row.table == ENTITIES:
             entities, defaults = frame, json.loads(row.defaults)
         else:
-            many[row.table] = Values(frame, unique=True)
+            many[row.table] = Values(frame, unique=True, hot=json.loads(row.hot))
     return Database(rows[0].database, rows[0].context, entities, many, defaults, files, {})
 
 
@@ -114,20 +115,29 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
         if root != path:
             stored = ()
         fresh = database.added.get(table) if stored else None
-        if not stored or (fresh is not None and buckets):
+        changed = not stored or fresh is not None
+        if not stored or (changed and buckets):
             stored = (f"{folder}/{table}",)
             _write(frame, f"{path}/{stored[0]}", stored[0], buckets)
-        elif fresh is not None:
+        elif changed:
             stored = stored + (f"{folder}/{table}",)
             fresh.write.parquet(f"{path}/{stored[-1]}")
+        hot = {}
+        if table != ENTITIES:
+            hot = _hot(spark, path, stored) if changed else database.many[table].hot
         defaults = json.dumps(database.defaults if table == ENTITIES else {})
-        log.append(
-            (version, database.name, database.context, table, position, defaults, list(stored), buckets, note)
-        )
+        row = (version, database.name, database.context, table, position, defaults, json.dumps(hot))
+        log.append((*row, list(stored), buckets, note))
     spark.createDataFrame(log, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return open_database(spark, path)
 
 
+def _hot(spark: SparkSession, path: str, stored: tuple) -> dict:
+    """Hashes and values with very many rows, recorded so that queries need not look for them."""
+    rows = spark.read.parquet(*[f"{path}/{part}" for part in stored])
+    return {side: hot_counts(rows, side) for side in ("hash", "value")}
+
+
 def _write(frame: DataFrame, path: str, part: str, buckets: int) -> None:
     if not buckets:
         frame.write.parquet(path)

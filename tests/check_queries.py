@@ -1,4 +1,7 @@
-"""Compare registered queries with their SQL: python tests/check_queries.py [sf_dir] [names ...]"""
+"""Compare registered queries with their SQL: python tests/check_queries.py [--hot=N] [sf_dir] [names ...]
+
+--hot=N treats keys with more than N rows as hot, so that small tables take the salted joins.
+"""
 
 import math
 import sys
@@ -11,6 +14,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry_module  # noqa: E402
+from hashloom.operators import skew  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark"
@@ -69,8 +73,11 @@ def compare(spark, connection, sf_dir, name):
 
 
 def main():
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(entry_module.queries())
+    arguments = [a for a in sys.argv[1:] if not a.startswith("--hot=")]
+    for option in [a for a in sys.argv[1:] if a.startswith("--hot=")]:
+        skew.HOT_ROWS = int(option.partition("=")[2])
+    sf_dir = arguments[0] if arguments else "/root/testdata/sf0.01"
+    names = arguments[1:] or list(entry_module.queries())
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
