@@ -6,6 +6,10 @@ single-valued features as columns and any number of multi-valued features as
 entity domains (contexts) are linked by translator features.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from hashloom.plans.filters import feature, number, term
 from hashloom.plans.namespace import Database, Feature, Namespace, Values
 from hashloom.plans.query import entity_hashes, select
@@ -21,3 +25,6 @@ __all__ = [
     "select",
     "term",
 ]
+
+# functions of this package that run in Python workers travel with the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

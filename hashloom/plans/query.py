@@ -92,7 +92,7 @@ class _Query:
         self.how = how
         self.cross = cross
         self.resolved = [namespace.find(address) for address in resolve]
-        self.conditions = where.conditions() if where is not None else []
+        self.conditions = list({id(c): c for c in where.conditions()}.values()) if where is not None else []
         self.features = {a: namespace.find(a) for c in self.conditions for a in c.addresses()}
         #: rows per entity: whether the frame may hold several rows of one hash
         self.fans_out = self.key.many
@@ -102,6 +102,9 @@ class _Query:
 
         conjuncts = where.conjuncts() if where is not None else []
         direct = [c for c in conjuncts if self._is_membership(c)]
+        remaining = [c for c in conjuncts if not any(c is d for d in direct)]
+        elsewhere = {id(c) for r in remaining for c in r.conditions()}
+        direct = list({id(c): c for c in direct if id(c) not in elsewhere}.values())
         self.membership = {id(c) for c in direct}
         remaining = [c for c in conjuncts if id(c) not in self.membership]
 

@@ -15,9 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 from hashloom.operators.writes import set_values_batch
 from hashloom.plans.namespace import Database
 
-LANDED = "hash {hash}, feature string, value {value}, time timestamp, tie bigint"
-
-
 def land_triples(
     triples: DataFrame, path: str, checkpoint: str, many: list[str] | None = None, available_now: bool = True
 ) -> StreamingQuery:
@@ -26,17 +23,19 @@ def land_triples(
     many = many or []
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        is_many = F.col("feature").isin(many)
-        newest = F.max_by(F.struct("value", "time", "tie"), F.struct("time", "tie")).alias("last")
-        pair = F.when(is_many, F.col("value")).alias("pair")
-        reduced = batch.groupBy("hash", "feature", pair).agg(newest)
-        rows = reduced.select("hash", "feature", "last.*")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _last(batch, many).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = triples.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _last(triples: DataFrame, many: list[str]) -> DataFrame:
+    """The last triple per hash and feature; per value, too, for multi-valued features."""
+    newest = F.max_by(F.struct("value", "time", "tie"), F.struct("time", "tie")).alias("last")
+    pair = F.when(F.col("feature").isin(many), F.col("value")).alias("pair")
+    return triples.groupBy("hash", "feature", pair).agg(newest).select("hash", "feature", "last.*")
+
+
 def deduplicated(triples: DataFrame, delay: str) -> DataFrame:
     """Drop repeated (hash, feature, value) triples within a delay, for sources that deliver more
     than once; the state is bounded by the watermark."""
@@ -51,3 +50,9 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
 def apply_landed(database: Database, triples: DataFrame, features: list[str]) -> Database:
     """Merge landed triples into a database; merging them again changes nothing."""
     return set_values_batch(database, triples, features, order=["time", "tie"])
+
+
+def compact(spark: SparkSession, path: str, target: str, many: list[str] | None = None) -> DataFrame:
+    """Write the landed triples that still matter to a new folder, the stream being stopped."""
+    _last(landed(spark, path), many or []).write.parquet(target)
+    return spark.read.parquet(target)
