@@ -26,7 +26,7 @@ def check_collapse(collapse: str | None) -> None:
 def concat_sorted(name: str, separator: str = ",", distinct: bool = True) -> Column:
     """Aggregate: the distinct values in ascending order as one text, null without any."""
     values = F.expr(f"collect_list({'DISTINCT ' if distinct else ''}`{name}`)")
-    texts = F.transform(F.array_sort(values), lambda v: v.cast("string"))
+    texts = F.sort_array(values).cast("array<string>")
     return F.when(F.size(values) > 0, F.array_join(texts, separator))
 
 

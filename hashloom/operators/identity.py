@@ -16,6 +16,7 @@ def equivalence_classes(frame: DataFrame, digest: str = "digest", key: str = "ha
 
 def class_members(frame: DataFrame, digest: str = "digest", key: str = "hash") -> DataFrame:
     """One row per entity: its class and the representative of it.  The rows of huge classes, known
-    from the class sizes, are spread over tasks."""
+    from the class sizes, are spread over tasks.  The frame is read more than once, so the digest
+    should be a stored column, not one computed from contents on the way."""
     classes = equivalence_classes(frame, digest, key)
     return spread_join(frame.select(key, digest), classes, digest, "inner", hottest(classes, digest, "n"))

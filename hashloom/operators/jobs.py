@@ -17,6 +17,7 @@ from hashloom.functions.digest import base_features, content_digest
 from hashloom.functions.text import Contexts, base_name, target_path
 from hashloom.operators.writes import add_feature, reset_values, set_values_batch
 from hashloom.plans.namespace import Database, FeatureError
+from hashloom.session import written
 
 SUCCESS = "success"
 FAILURE = "failure"
@@ -65,7 +66,9 @@ def register_files(database: Database, files: DataFrame) -> Database:
     for name in ("local", "filename"):
         database = add_feature(database, name, permissive=True)
     fresh = new_paths(files, database.many["local"].pairs())
-    return set_values_batch(database, path_triples(fresh), ["local", "filename"])
+    # contents are read and digested once, whatever the number of tables that take the triples
+    triples = written(path_triples(fresh), "paths")
+    return set_values_batch(database, triples, ["local", "filename"])
 
 
 def remove_stale(database: Database, listing: DataFrame) -> Database:
@@ -141,6 +144,8 @@ def store_features(
     check_context(database, contexts)
     for name, default in declared:
         database = add_feature(database, name, default, permissive=True)
+    # the extractor runs once, whatever the number of tables that take its triples
+    triples = written(triples, "triples")
     return set_values_batch(database, triples, [name for name, _ in declared])
 
 

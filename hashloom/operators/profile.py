@@ -87,22 +87,45 @@ def _database_profile(database: Database, exact: bool) -> list[DataFrame]:
 def _measured(database: Database, frame: DataFrame, columns: dict[Feature, Column], exact: bool) -> DataFrame:
     """Entities with a value and distinct values of some features of one table, a row each."""
     distinct = F.count_distinct if exact else F.approx_count_distinct
-    measures, rows = [], []
-    for feature, column in columns.items():
-        value = F.when(column != UNSET, column) if feature.is_text else column
-        owner = F.when(value.isNotNull(), F.col("hash"))
-        # entities are unique in the entity table, so only multi-valued features count them apart
-        measures.append((distinct(owner) if feature.many else F.count(owner)).alias(f"{feature.name}__set"))
-        measures.append(distinct(value).alias(f"{feature.name}__distinct"))
-        rows.append(
-            F.struct(
-                F.lit(feature.name).alias("feature"),
-                F.lit(feature.name if feature.many else "features").alias("table"),
-                F.lit("1:n" if feature.many else "1:1").alias("cardinality"),
-                F.lit(None if feature.default is None else str(feature.default)).cast("string").alias("default"),
-                F.col(f"{feature.name}__set").cast("bigint").alias("n_set"),
-                F.col(f"{feature.name}__distinct").cast("bigint").alias("n_distinct"),
-            )
-        )
-    listed = frame.agg(*measures).select(F.explode(F.array(*rows)).alias("row"))
-    return listed.select(F.lit(database.name).alias("database"), F.lit(database.context).alias("context"), "row.*")
+    many = next(iter(columns)).many
+    values = {f: F.when(c != UNSET, c) if f.is_text else c for f, c in columns.items()}
+    having = {f: v.isNotNull() for f, v in values.items()}
+    owners = frame
+    if many:
+        # one row per entity first: the entities of all features are counted with one shuffle
+        owners = frame.groupBy("hash").agg(*[F.bool_or(h).alias(f.name) for f, h in having.items()])
+        having = {f: F.col(f.name) for f in columns}
+    counted = [F.count_if(h).alias(f"{f.name}__set") for f, h in having.items()]
+    sizes = [distinct(v).alias(f"{f.name}__distinct") for f, v in values.items()]
+    if many:
+        parts = [_listed(owners.agg(*counted), columns, "set"), _listed(frame.agg(*sizes), columns, "distinct")]
+        measured = parts[0].join(parts[1], "feature")
+    else:
+        both = frame.agg(*counted, *sizes)
+        measured = _listed(both, columns, "set", "distinct")
+    described = F.create_map(*[part for f in columns for part in (F.lit(f.name), _description(f))])
+    return measured.select(
+        F.lit(database.name).alias("database"),
+        F.lit(database.context).alias("context"),
+        "feature",
+        described[F.col("feature")].alias("d"),
+        "n_set",
+        "n_distinct",
+    ).select("database", "context", "feature", "d.*", "n_set", "n_distinct")
+
+
+def _description(feature: Feature) -> Column:
+    return F.struct(
+        F.lit(feature.name if feature.many else "features").alias("table"),
+        F.lit("1:n" if feature.many else "1:1").alias("cardinality"),
+        F.lit(None if feature.default is None else str(feature.default)).cast("string").alias("default"),
+    )
+
+
+def _listed(measures: DataFrame, columns: dict[Feature, Column], *kinds: str) -> DataFrame:
+    """The one row of measures as a row per feature."""
+    rows = [
+        F.struct(F.lit(f.name).alias("feature"), *[F.col(f"{f.name}__{k}").cast("bigint").alias(f"n_{k}") for k in kinds])
+        for f in columns
+    ]
+    return measures.select(F.explode(F.array(*rows)).alias("row")).select("row.*")

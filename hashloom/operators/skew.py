@@ -13,6 +13,8 @@ their rows are spread over several tasks by a salt:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,18 @@ def hottest(counted: DataFrame, key: str, count: str) -> DataFrame:
     return hot.select(key, _salts(F.col(count)).alias(_SALTS))
 
 
-def hot_counts(rows: DataFrame, key: str) -> list[tuple[str, int]]:
-    """The hot keys, as text, with their rows: at most HOT_KEYS, to be recorded with a table."""
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > HOT_ROWS)
-    top = counted.orderBy(F.desc("__rows"), key).limit(HOT_KEYS)
-    return [(row[0], row[1]) for row in top.select(F.col(key).cast("string"), "__rows").collect()]
+def hot_counts(rows: DataFrame, keys: tuple[str, ...]) -> dict[str, list]:
+    """The hot keys of several columns, as text, with their rows: at most HOT_KEYS per column, to
+    be recorded with a table."""
+    parts = []
+    for key in keys:
+        counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS)
+        top = counted.orderBy(F.desc("rows"), key).limit(HOT_KEYS)
+        parts.append(top.select(F.lit(key).alias("column"), F.col(key).cast("string").alias("key"), "rows"))
+    found: dict[str, list] = {key: [] for key in keys}
+    for row in reduce(DataFrame.union, parts).collect():
+        found[row["column"]].append((row["key"], row["rows"]))
+    return found
 
 
 def listed_keys(rows: DataFrame, key: str, counts: list) -> DataFrame | None:

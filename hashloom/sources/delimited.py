@@ -79,8 +79,9 @@ def split_ids(frame: DataFrame, text: Column) -> DataFrame:
     return words.where(F.col("hash") != "")
 
 
-# The line ends of a tool's output.
+# The line ends and blanks of a tool's output.
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_BLANKS = " \t\x0b\x0c"
 
 
 def read_tool_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +94,7 @@ def tool_values(frame: DataFrame, key: str, output: Column) -> DataFrame:
     """The (feature, value) pairs of a tool's output text: the first word names the feature, the
     rest of the line is the value, which may be empty; the last line of a feature wins."""
     lines = frame.select(key, F.posexplode(F.split(output, _LINE_END)).alias("line", "text"))
-    words = lines.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.col("text") != "")
+    words = lines.withColumn("text", F.btrim("text", F.lit(_BLANKS))).where(F.col("text") != "")
     parts = F.split(F.col("text"), r"\s+", 2)
     pairs = words.select(
         key,

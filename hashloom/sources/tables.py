@@ -135,7 +135,7 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
 def _hot(spark: SparkSession, path: str, stored: tuple) -> dict:
     """Hashes and values with very many rows, recorded so that queries need not look for them."""
     rows = spark.read.parquet(*[f"{path}/{part}" for part in stored])
-    return {side: hot_counts(rows, side) for side in ("hash", "value")}
+    return hot_counts(rows, ("hash", "value"))
 
 
 def _write(frame: DataFrame, path: str, part: str, buckets: int) -> None:

@@ -9,6 +9,7 @@ from hashloom.operators.paging import lookup_entity, page as page_of, page_after
 from hashloom.plans.filters import feature, term
 from hashloom.plans.namespace import Namespace
 from hashloom.plans.query import select
+from hashloom.session import written
 from hashloom.suite.registry import (
     documents,
     documents_database,
@@ -375,7 +376,8 @@ def equivalence_classes_of_texts(spark, sf_dir):
     f" min(doc_id) OVER (PARTITION BY digest) AS representative FROM (SELECT doc_id, {_DIGEST} AS digest FROM documents)"
 )
 def equivalence_class_members(spark, sf_dir):
-    return class_members(documents_database(spark, sf_dir).entities)
+    digests = documents_database(spark, sf_dir).entities.select("hash", "digest")
+    return class_members(written(digests, "digests"))
 
 
 @query(f"SELECT {_DIGEST} AS digest, CAST(min(doc_id) AS BIGINT) AS hash FROM documents GROUP BY 1")
