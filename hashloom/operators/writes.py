@@ -118,16 +118,10 @@ def delete_feature(database: Database, name: str) -> Database:
 # ---- values --------------------------------------------------------------------------------
 
 
-def last_values(triples: DataFrame, order: list[str]) -> DataFrame:
-    """The last value per hash and feature.  ``max_by`` keeps one candidate per task and group, so
-    a hot entity costs no more than any other."""
-    newest = F.max_by("value", F.struct(*order)) if order else F.max("value")
-    return triples.groupBy("hash", "feature").agg(newest.alias("value"))
-
-
 def pivot_triples(triples: DataFrame, features: list[str], order: list[str]) -> DataFrame:
     """Triples (hash, feature, value) to one row per hash with a column per feature; the last
-    value of each wins.  The features are named, so no job has to look for them."""
+    value of each wins.  The features are named, so no job has to look for them; ``max_by`` keeps
+    one candidate per task and group, so a hot entity costs no more than any other."""
     wanted = triples.where(F.col("feature").isin(features))
     if order:
         columns = [

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from hashloom.operators.skew import hot_counts
 from hashloom.plans.namespace import Database, FeatureError, Namespace, Values
 
 ENTITIES = "features"
+_WRITERS = 8
 _LOG_SCHEMA = (
     "version bigint, database string, context string, table string, position int, "
     "defaults string, hot string, files array<string>, buckets int, note string"
@@ -109,30 +111,36 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
     version = rows[0].version + 1 if rows else 1
     folder = f"data/v{version:08d}-{uuid.uuid4().hex[:12]}"
     tables = {ENTITIES: database.entities} | {name: source.pairs() for name, source in database.many.items()}
-    log = []
-    for position, (table, frame) in enumerate(tables.items()):
+
+    def store(table: str) -> tuple[list[str], dict]:
+        """Write what is new of a table; its files and hot keys."""
         root, stored = database.files.get(table, (None, ()))
-        if root != path:
-            stored = ()
+        stored = stored if root == path else ()
         fresh = database.added.get(table) if stored else None
-        changed = not stored or fresh is not None
-        if not stored or (changed and buckets):
-            stored = (f"{folder}/{table}",)
-            _write(frame, f"{path}/{stored[0]}", stored[0], buckets)
-        elif changed:
-            stored = stored + (f"{folder}/{table}",)
-            fresh.write.parquet(f"{path}/{stored[-1]}")
-        hot = {}
-        if table != ENTITIES:
-            hot = _hot(spark, path, stored) if changed else database.many[table].hot
+        if stored and fresh is None:
+            return list(stored), database.many[table].hot if table != ENTITIES else {}
+        part = f"{folder}/{table}"
+        if stored and not buckets:
+            fresh.write.parquet(f"{path}/{part}")
+            stored = (*stored, part)
+        else:
+            _write(tables[table], f"{path}/{part}", part, buckets)
+            stored = (part,)
+        return list(stored), _hot(spark, path, stored) if table != ENTITIES else {}
+
+    # tables are independent of each other: small ones fill the cluster together
+    with ThreadPoolExecutor(_WRITERS) as pool:
+        results = list(pool.map(store, tables))
+    log = []
+    for position, (table, (stored, hot)) in enumerate(zip(tables, results)):
         defaults = json.dumps(database.defaults if table == ENTITIES else {})
         row = (version, database.name, database.context, table, position, defaults, json.dumps(hot))
-        log.append((*row, list(stored), buckets, note))
+        log.append((*row, stored, buckets, note))
     spark.createDataFrame(log, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return open_database(spark, path)
 
 
-def _hot(spark: SparkSession, path: str, stored: tuple) -> dict:
+def _hot(spark: SparkSession, path: str, stored: tuple[str, ...]) -> dict:
     """Hashes and values with very many rows, recorded so that queries need not look for them."""
     rows = spark.read.parquet(*[f"{path}/{part}" for part in stored])
     return hot_counts(rows, ("hash", "value"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hashloom.operators.identity import class_members, equivalence_classes
-from hashloom.operators.paging import lookup_entity, page as page_of, page_after, page_count as count_pages
+from hashloom.operators import identity, paging
 from hashloom.plans.filters import feature, term
-from hashloom.plans.namespace import Namespace
+from hashloom.plans.namespace import Database, Namespace, Values
 from hashloom.plans.query import select
 from hashloom.session import written
 from hashloom.suite.registry import (
@@ -137,6 +136,13 @@ def resolve_multi_rows(spark, sf_dir):
     return select(orders(spark, sf_dir), resolve=["returnflag"], collapse=None)
 
 
+@query("SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def collapse_none(spark, sf_dir):
+    """Without collapse every combination of values is a row."""
+    columns = ["o_orderstatus", "o_orderpriority"]
+    return select(orders(spark, sf_dir), resolve=columns, collapse="none", group_by="o_custkey")
+
+
 @query(
     "SELECT DISTINCT o_orderkey AS hash, coalesce(a.l_returnflag, 'None') AS returnflag, b.l_linenumber AS linenumber"
     " FROM orders LEFT JOIN lineitem a ON a.l_orderkey = o_orderkey LEFT JOIN lineitem b ON b.l_orderkey = o_orderkey"
@@ -243,14 +249,23 @@ def collapse_max(spark, sf_dir):
     return select(orders(spark, sf_dir), resolve=["returnflag", "linenumber"], collapse="max")
 
 
+@query(
+    "SELECT o_custkey, min(o_orderpriority) AS low, min(o_totalprice) AS cheap, max(o_orderpriority) AS high,"
+    " max(o_totalprice) AS dear FROM orders GROUP BY 1"
+)
+def collapse_min_max(spark, sf_dir):
+    namespace, columns = orders(spark, sf_dir), ["o_orderpriority", "o_totalprice"]
+    low = select(namespace, resolve=columns, collapse="min", group_by="o_custkey").toDF("o_custkey", "low", "cheap")
+    high = select(namespace, resolve=columns, collapse="max", group_by="o_custkey").toDF("o_custkey", "high", "dear")
+    return low.join(high, "o_custkey")
+
+
 @query(
     "SELECT l_orderkey AS hash, min(CAST(l_linenumber * 5 AS VARCHAR)) AS lo, max(CAST(l_linenumber * 5 AS VARCHAR)) AS hi"
     " FROM lineitem GROUP BY 1"
 )
 def collapse_min_max_text(spark, sf_dir):
     """Text compares as text: 10 before 5."""
-    from hashloom.plans.namespace import Database
-
     lines = table(spark, sf_dir, "lineitem")
     text = (F.col("l_linenumber") * 5).cast("string")
     values = lines.select(F.col("l_orderkey").alias("hash"), text.alias("value"))
@@ -294,8 +309,6 @@ def collapse_count(spark, sf_dir):
 def collapse_num(spark, sf_dir):
     namespace = orders(spark, sf_dir)
     lines = namespace["ord_base"].many["quantity"]
-    from hashloom.plans.namespace import Database
-
     only = Namespace([Database.of("ord_lines", many={"quantity": lines}, context="ord")])
     counted = select(only, resolve=["quantity"], collapse="count").withColumnRenamed("quantity", "n")
     summed = select(only, resolve=["quantity"], collapse="sum").withColumnRenamed("quantity", "s")
@@ -355,8 +368,6 @@ def collapse_term_rows(spark, sf_dir):
     namespace = orders(spark, sf_dir)
     base = namespace["ord_base"]
     text = base.many["quantity"].frame.withColumn("l_quantity", F.col("l_quantity").cast("int").cast("string"))
-    from hashloom.plans.namespace import Values
-
     changed = Namespace([base.with_parts(many=base.many | {"quantity": Values(text, "l_quantity")})])
     return select(changed, feature("quantity") > term("o_totalprice") / 10000, ["quantity"])
 
@@ -367,8 +378,8 @@ _DIGEST = "md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"
 @query(
     f"SELECT {_DIGEST} AS digest, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS representative FROM documents GROUP BY 1"
 )
-def equivalence_classes_of_texts(spark, sf_dir):
-    return equivalence_classes(documents_database(spark, sf_dir).entities)
+def equivalence_classes(spark, sf_dir):
+    return identity.equivalence_classes(documents_database(spark, sf_dir).entities)
 
 
 @query(
@@ -377,7 +388,7 @@ def equivalence_classes_of_texts(spark, sf_dir):
 )
 def equivalence_class_members(spark, sf_dir):
     digests = documents_database(spark, sf_dir).entities.select("hash", "digest")
-    return class_members(written(digests, "digests"))
+    return identity.class_members(written(digests, "digests"))
 
 
 @query(f"SELECT {_DIGEST} AS digest, CAST(min(doc_id) AS BIGINT) AS hash FROM documents GROUP BY 1")
@@ -397,29 +408,29 @@ def order_by_key(spark, sf_dir):
 
 @query("SELECT o_orderkey AS hash, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 1000")
 def page(spark, sf_dir):
-    return page_of(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 1)
+    return paging.page(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 1)
 
 
 @query("SELECT o_orderkey AS hash, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 11000")
 def page_deep(spark, sf_dir):
     """The same far from the start, found through the sizes of key ranges."""
-    return page_of(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 11, top_rows=2000)
+    return paging.page(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 11, top_rows=2000)
 
 
 @query("SELECT o_orderkey AS hash, o_orderstatus FROM orders WHERE o_orderkey > 777 ORDER BY 1 LIMIT 1000")
 def page_following(spark, sf_dir):
-    return page_after(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 777)
+    return paging.page_after(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 777)
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS pages FROM orders")
 def page_count(spark, sf_dir):
-    return count_pages(select(orders(spark, sf_dir), collapse=None))
+    return paging.page_count(select(orders(spark, sf_dir), collapse=None))
 
 
 @query(
     "SELECT page_id AS hash, min(url) AS local, min(list_extract(string_split(url, '/'), -1)) AS filename"
     " FROM pages SEMI JOIN benchmark ON page_id = item_id GROUP BY 1"
 )
-def lookup_entity_paths(spark, sf_dir):
+def lookup_entity(spark, sf_dir):
     wanted = hashed(table(spark, sf_dir, "benchmark"), "item_id")
-    return lookup_entity(Namespace([pages_database(spark, sf_dir)]), wanted)
+    return paging.lookup_entity(Namespace([pages_database(spark, sf_dir)]), wanted)

@@ -17,13 +17,18 @@ from hashloom.suite.registry import (
     documents_database,
     hashed,
     labels_database,
-    orders,
     orders_database,
     query,
     table,
 )
 
 
+def _flags(spark, sf_dir):
+    """The orders with the two flags of their lines."""
+    database = orders_database(spark, sf_dir)
+    return database.with_parts(many={name: database.many[name] for name in ("returnflag", "linestatus")})
+
+
 @query("SELECT d.doc_id AS hash, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def open_databases(spark, sf_dir):
     """Two saved databases opened as one namespace, read through Spark SQL views."""
@@ -138,7 +143,7 @@ def export_links(spark, sf_dir):
 )
 def export_database(spark, sf_dir):
     folder = working_folder(spark, "exported")
-    copied = tables.export_database(orders_database(spark, sf_dir), f"{folder}/ord_base")
+    copied = tables.export_database(_flags(spark, sf_dir), f"{folder}/ord_base")
     return select(Namespace([copied]), feature("returnflag") == "A", ["returnflag"])
 
 
@@ -150,7 +155,7 @@ def export_database(spark, sf_dir):
 def save_database(spark, sf_dir):
     """Saved, changed and saved again: the second version adds files to one table."""
     path = f"{working_folder(spark, 'saved')}/ord_base"
-    first = tables.save_database(orders_database(spark, sf_dir), path)
+    first = tables.save_database(_flags(spark, sf_dir), path)
     partial = entity_hashes(Namespace([first]), feature("o_orderstatus") == "P")
     changed = writes.set_values(first, "returnflag", partial.withColumn("value", F.lit("X")))
     second = tables.save_database(changed, path)
@@ -166,5 +171,5 @@ def save_database(spark, sf_dir):
 def save_database_bucketed(spark, sf_dir):
     """Tables bucketed by hash: the query joins and aggregates them without a shuffle."""
     path = f"{working_folder(spark, 'bucketed')}/ord_base"
-    saved = tables.save_database(orders_database(spark, sf_dir), path, buckets=8)
+    saved = tables.save_database(_flags(spark, sf_dir), path, buckets=8)
     return select(Namespace([saved]), feature("o_totalprice") > 100000, ["returnflag"])
