@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.plans.namespace import Namespace
 from hashloom.plans.query import select
+from hashloom.session import written
 
 PAGE_ROWS = 1000
 #: Slices that end within this many rows are cut with a top-k; deeper ones are narrowed first.
@@ -26,30 +27,28 @@ def page(frame: DataFrame, key: str, number: int, rows: int = PAGE_ROWS, top_row
     """Page ``number``, counted from 0, of a frame ordered by a unique key.
 
     A slice near the start is a top-k.  A deep slice would drag all rows before it through one
-    task, so its key range is found first: the rows of a few dozen key ranges are counted,
-    exactly, and the frame is filtered to the ranges that hold the slice, until few rows remain
-    before it.  The key filter reaches the scan.
+    task, so its key range is found first: the keys, written once, are counted in a few dozen
+    ranges, exactly, and again inside the ranges that hold the slice, until few rows remain before
+    it.  The frame is then filtered to that range of keys, which reaches the scan.
     """
     start = number * rows
-    while start + rows > top_rows:
-        narrowed = _narrow(frame, key, start, rows)
-        if narrowed is None:
-            break
-        frame, skipped = narrowed
-        if not skipped:
-            break
-        start -= skipped
+    if start + rows > top_rows:
+        keys = written(frame.select(key), "keys")
+        while start + rows > top_rows:
+            inside, skipped = _narrow(keys, key, start, rows)
+            if not skipped:
+                break
+            keys, frame, start = keys.where(inside), frame.where(inside), start - skipped
     return frame.orderBy(key).offset(start).limit(rows)
 
 
-def _narrow(frame: DataFrame, key: str, start: int, rows: int):
-    """The frame cut to the key ranges with the rows from start on, and the rows cut off before."""
-    bounds = _bounds(frame, key)
+def _narrow(keys: DataFrame, key: str, start: int, rows: int) -> tuple[Column, int]:
+    """The key ranges with the rows from start on, as a filter, and the rows before them."""
+    bounds = _bounds(keys, key)
     if not bounds:
-        return None
-    edges = F.array(*[F.lit(b) for b in bounds])
-    bucket = F.size(F.filter(edges, lambda edge: edge <= F.col(key)))
-    counts = {row["bucket"]: row["count"] for row in frame.groupBy(bucket.alias("bucket")).count().collect()}
+        return F.lit(True), 0
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda edge: edge <= F.col(key)))
+    counts = {row["bucket"]: row["count"] for row in keys.groupBy(bucket.alias("bucket")).count().collect()}
     before, index = 0, 0
     while index < len(bounds) and before + counts.get(index, 0) <= start:
         before += counts.get(index, 0)
@@ -58,11 +57,12 @@ def _narrow(frame: DataFrame, key: str, start: int, rows: int):
     while last < len(bounds) and end + counts.get(last, 0) < start + rows:
         end += counts.get(last, 0)
         last += 1
+    inside = F.lit(True)
     if index > 0:
-        frame = frame.where(F.col(key) >= F.lit(bounds[index - 1]))
+        inside = inside & (F.col(key) >= F.lit(bounds[index - 1]))
     if last < len(bounds):
-        frame = frame.where(F.col(key) < F.lit(bounds[last]))
-    return frame, before
+        inside = inside & (F.col(key) < F.lit(bounds[last]))
+    return inside, before
 
 
 def _bounds(frame: DataFrame, key: str) -> list:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from hashloom.operators.skew import hot_keys, spread_join
 from hashloom.plans.filters import Predicate
 from hashloom.plans.namespace import (
+    ENTITIES,
     Database,
     Feature,
     FeatureError,
@@ -45,8 +46,17 @@ def _without(mapping: dict, *names: str) -> dict:
 
 def _entities_changed(database: Database, entities: DataFrame, **parts) -> Database:
     """Replace the entity table; it is no longer what the files hold."""
-    files = parts.pop("files", database.files)
-    return database.with_parts(entities=entities, files=_without(files, "features"), **parts)
+    files, added = _without(database.files, ENTITIES), _without(database.added, ENTITIES)
+    return database.with_parts(entities=entities, files=files, added=added, **parts)
+
+
+def _entities_added(database: Database, rows: DataFrame) -> Database:
+    """Append rows to the entity table; saving writes only them."""
+    before = database.added.get(ENTITIES)
+    added = rows if before is None else before.unionByName(rows)
+    return database.with_parts(
+        entities=database.entities.unionByName(rows), added=database.added | {ENTITIES: added}
+    )
 
 
 # ---- features ------------------------------------------------------------------------------
@@ -87,7 +97,7 @@ def _add_entities(database: Database, hashes: DataFrame) -> Database:
         if f.name != "hash"
     ]
     rows = unknown.select("hash", *columns).select(*database.entities.columns)
-    return _entities_changed(database, database.entities.unionByName(rows))
+    return _entities_added(database, rows)
 
 
 def rename_feature(database: Database, name: str, new_name: str) -> Database:

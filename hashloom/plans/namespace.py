@@ -16,6 +16,9 @@ from hashloom.operators.skew import hot_keys, listed_keys
 #: What an entity without a value of a text feature shows.
 UNSET = "None"
 
+#: Name of the entity table among the tables of a database.
+ENTITIES = "features"
+
 # Names a feature cannot have.
 RESERVED = ("hash", "value", "features")
 
@@ -88,7 +91,8 @@ def check_feature_name(name: str) -> None:
 @dataclass(frozen=True)
 class Database:
     """One source of features: the entity table (``hash`` and the single-valued features) and the
-    multi-valued features.  A default is shown wherever a single-valued feature is null."""
+    multi-valued features.  A default is shown wherever a single-valued feature is null.  ``files``
+    says which tables are stored where, ``added`` holds rows of stored tables not written yet."""
 
     name: str
     context: str

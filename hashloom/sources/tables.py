@@ -19,9 +19,8 @@ from pyspark.sql.utils import AnalysisException
 
 from hashloom.functions.text import Contexts, database_name_of
 from hashloom.operators.skew import hot_counts
-from hashloom.plans.namespace import Database, FeatureError, Namespace, Values
+from hashloom.plans.namespace import ENTITIES, Database, FeatureError, Namespace, Values
 
-ENTITIES = "features"
 _WRITERS = 8
 _LOG_SCHEMA = (
     "version bigint, database string, context string, table string, position int, "

@@ -46,6 +46,8 @@ def test_versions(spark, database, frame, tmp_path):
     assert new[: len(old)] == old and len(new) == len(old) + 1
     assert rows_of(spark.read.parquet(f"{path}/{new[-1]}")) == [("c", "3"), ("d", "4")]
     assert rows_of(second.many["tag"].pairs()) == [("a", "1"), ("a", "2"), ("b", "1"), ("c", "3"), ("d", "4")]
+    (_, old), (_, new) = first.files["features"], second.files["features"]
+    assert new[: len(old)] == old and hashes_of(spark.read.parquet(f"{path}/{new[-1]}")) == ["d"]
     assert hashes_of(second.entities) == ["a", "b", "c", "d"]
     third = tables.save_database(writes.reset_values(second, "s", ["x"]), path)
     assert third.files["tag"] == second.files["tag"] and third.files["features"] != second.files["features"]
