@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,6 +181,23 @@ class Namespace:
     def position(self, database: str) -> int:
         return list(self.databases).index(database)
 
+    def feature_names(self, database: str | None = None) -> list[str]:
+        """Names of the features of one or all databases, without the hash."""
+        chosen = [self.databases[database]] if database else list(self.databases.values())
+        return list(dict.fromkeys(n for d in chosen for n in d.features if n != "hash"))
+
+    def registry(self, spark: SparkSession) -> DataFrame:
+        """The features of all databases as a frame, in order of precedence."""
+        rows = [
+            (d.name, d.context, f.name, "1:n" if f.many else "1:1", f.data_type.simpleString(),
+             None if f.default is None else str(f.default), position)
+            for position, d in enumerate(self.databases.values())
+            for f in d.features.values()
+            if not f.is_hash
+        ]
+        columns = "database string, context string, feature string, cardinality string, type string"
+        return spark.createDataFrame(rows, f"{columns}, default string, position int")
+
     def find(self, address: str, database: str | None = None) -> Feature:
         """The feature an address stands for."""
         scope, _, name = address.rpartition(":")

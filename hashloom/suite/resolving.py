@@ -411,6 +411,17 @@ def page(spark, sf_dir):
     return paging.page(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 1)
 
 
+@query(
+    f"SELECT doc_id AS hash, lang, source, CAST(n_chars AS VARCHAR) AS n_chars, {_DIGEST} AS digest FROM documents"
+    " WHERE n_chars > 200 ORDER BY 1 LIMIT 1000"
+)
+def page_all_features(spark, sf_dir):
+    """The first page of a filter with all features of one database."""
+    namespace = documents(spark, sf_dir)
+    features = [f"doc_base:{name}" for name in namespace.feature_names("doc_base")]
+    return paging.page(select(namespace, feature("n_chars") > 200, features), "hash", 0)
+
+
 @query("SELECT o_orderkey AS hash, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 11000")
 def page_deep(spark, sf_dir):
     """The same far from the start, found through the sizes of key ranges."""

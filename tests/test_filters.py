@@ -115,6 +115,25 @@ def test_names(two):
         select(two, how="outer")
 
 
+def test_registry(spark, two):
+    assert two.feature_names() == ["size", "tag", "extra"] and two.feature_names("test2") == ["tag", "extra"]
+    rows = [(r.database, r.feature, r.cardinality, r.default, r.position) for r in two.registry(spark).collect()]
+    assert rows == [
+        ("test1", "size", "1:1", "0", 0),
+        ("test1", "tag", "1:n", None, 0),
+        ("test2", "tag", "1:n", None, 1),
+        ("test2", "extra", "1:n", None, 1),
+    ]
+    assert two.find("tag").database == "test1" and two.find("tag", "test2").database == "test2"
+    assert two.find("cnf:size").database == "test1"
+    with pytest.raises(FeatureError):
+        two.find("test1:tag", "test2")
+    with pytest.raises(FeatureError):
+        Namespace([two.first, two.first])
+    with pytest.raises(FeatureError):
+        two.translator("cnf", "kis")
+
+
 @pytest.fixture
 def paths(frame):
     names = ["xorshift", "scheduling", "planning"]

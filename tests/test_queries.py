@@ -4,6 +4,7 @@ import re
 
 import pytest
 from check_queries import compare, connect, entry_module
+from hashloom.operators import skew
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry_module.queries()
@@ -57,3 +58,24 @@ def test_one_aggregation_for_many_conditions(large):
 def test_single_valued_queries_do_not_shuffle(large):
     for name in ("pred_all", "resolve", "default_fill", "pred_term_one", "add_feature"):
         assert "Exchange" not in plan_of(QUERIES[name](large, SF_DIR))
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "resolve_two_multi_rows",
+        "resolve_cross_context",
+        "resolve_cross_context_backwards",
+        "group_by_feature_many_values",
+        "join_on_many_key",
+        "pred_term_neq_many",
+        "equivalence_class_members",
+        "reset_one_by_frames",
+        "reset_many",
+        "delete_entities",
+    ],
+)
+def test_query_equals_sql_with_hot_keys(spark, connection, name, monkeypatch):
+    """The same with every key of more than two rows salted."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    assert compare(spark, connection, SF_DIR, name) is None
