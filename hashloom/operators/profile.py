@@ -86,7 +86,6 @@ def _database_profile(database: Database, exact: bool) -> list[DataFrame]:
 
 def _measured(database: Database, frame: DataFrame, columns: dict[Feature, Column], exact: bool) -> DataFrame:
     """Entities with a value and distinct values of some features of one table, a row each."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     many = next(iter(columns)).many
     values = {f: F.when(c != UNSET, c) if f.is_text else c for f, c in columns.items()}
     having = {f: v.isNotNull() for f, v in values.items()}
@@ -95,14 +94,14 @@ def _measured(database: Database, frame: DataFrame, columns: dict[Feature, Colum
         # one row per entity first: the entities of all features are counted with one shuffle
         owners = frame.groupBy("hash").agg(*[F.bool_or(h).alias(f.name) for f, h in having.items()])
         having = {f: F.col(f.name) for f in columns}
-    counted = [F.count_if(h).alias(f"{f.name}__set") for f, h in having.items()]
-    sizes = [distinct(v).alias(f"{f.name}__distinct") for f, v in values.items()]
-    if many:
-        parts = [_listed(owners.agg(*counted), columns, "set"), _listed(frame.agg(*sizes), columns, "distinct")]
-        measured = parts[0].join(parts[1], "feature")
+    counted = _listed(owners.agg(*[F.count_if(h).alias(f.name) for f, h in having.items()]), columns, "n_set")
+    if exact:
+        # a scan of one column each, instead of one pass that repeats every row per feature
+        sizes = reduce(DataFrame.unionByName, [_distinct(frame, f, v) for f, v in values.items()])
     else:
-        both = frame.agg(*counted, *sizes)
-        measured = _listed(both, columns, "set", "distinct")
+        estimates = frame.agg(*[F.approx_count_distinct(v).alias(f.name) for f, v in values.items()])
+        sizes = _listed(estimates, columns, "n_distinct")
+    measured = counted.join(sizes, "feature")
     described = F.create_map(*[part for f in columns for part in (F.lit(f.name), _description(f))])
     return measured.select(
         F.lit(database.name).alias("database"),
@@ -122,10 +121,12 @@ def _description(feature: Feature) -> Column:
     )
 
 
-def _listed(measures: DataFrame, columns: dict[Feature, Column], *kinds: str) -> DataFrame:
+def _distinct(frame: DataFrame, feature: Feature, value: Column) -> DataFrame:
+    values = frame.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
+    return values.agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(feature.name).alias("feature"), "n_distinct")
+
+
+def _listed(measures: DataFrame, columns: dict[Feature, Column], name: str) -> DataFrame:
     """The one row of measures as a row per feature."""
-    rows = [
-        F.struct(F.lit(f.name).alias("feature"), *[F.col(f"{f.name}__{k}").cast("bigint").alias(f"n_{k}") for k in kinds])
-        for f in columns
-    ]
+    rows = [F.struct(F.lit(f.name).alias("feature"), F.col(f.name).cast("bigint").alias(name)) for f in columns]
     return measures.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
