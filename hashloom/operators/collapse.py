@@ -67,8 +67,9 @@ def collapse_rows(
     columns are made distinct before they are read as numbers.
     """
     extra = extra or []
-    texts = [n for n in named if collapse in ("sum", "avg") and not _is_numeric(n[2])]
-    plain = [n for n in named if n not in texts]
+    by_text = [collapse in ("sum", "avg") and not _is_numeric(data_type) for _, _, data_type in named]
+    texts = [n for n, is_text in zip(named, by_text) if is_text]
+    plain = [n for n, is_text in zip(named, by_text) if not is_text]
     aggregates = [_aggregate(name, collapse, distinct) for _, name, _ in plain] + extra
     parts = []
     if aggregates or not texts:

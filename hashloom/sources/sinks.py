@@ -9,9 +9,15 @@ NULL_TEXT = "[None]"
 
 
 def export_delimited(frame: DataFrame, path: str, delimiter: str = " ", header: bool = False) -> None:
-    """Write rows as delimited text, nulls as [None]."""
-    writer = frame.write.option("sep", delimiter).option("header", header).option("nullValue", NULL_TEXT)
-    writer.option("emptyValue", "").csv(path)
+    """Write rows as delimited text, nulls as [None], values as they are: nothing is quoted.  With
+    a header every file starts with the column names."""
+    lines = frame.select(delimited_line(frame, delimiter).alias(delimiter.join(frame.columns)))
+    if not header:
+        lines.write.text(path)
+        return
+    # one column per line, with separators that texts do not hold, so that the writer adds nothing
+    writer = lines.write.option("header", True).option("sep", "\x01").option("quote", "\x02").option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def delimited_line(frame: DataFrame, delimiter: str = " ") -> Column:

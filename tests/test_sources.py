@@ -167,6 +167,11 @@ def test_exports(spark, database, tmp_path):
     sinks.export_delimited(result, str(tmp_path / "out"), ";", header=True)
     lines = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
     assert lines == {"hash;n;tag;gone", "a;1;1;[None]", "a;1;2;[None]", "b;2;1;[None]", "c;0;None;[None]"}
+    raw = result.where("hash = 'a'").select(F.lit(' "x y" ').alias("quoted"), "gone")
+    for header in (False, True):
+        sinks.export_delimited(raw, str(tmp_path / f"raw{header}"), header=header)
+        written = {r.value for r in spark.read.text(str(tmp_path / f"raw{header}")).collect()}
+        assert written == {' "x y"  [None]'} | ({"quoted gone"} if header else set())
     joined = result.select(sinks.delimited_line(result, ";").alias("line"))
     assert {r.line for r in joined.collect()} == lines - {"hash;n;tag;gone"}
     sinks.export_links(result, str(tmp_path / "links"), "http://h/file/", "kis", "cnf")
