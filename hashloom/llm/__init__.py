@@ -1,6 +1,30 @@
 """Operators of a training-data pipeline.  Nothing else in the library imports this package."""
 
-from hashloom.llm import contamination, exact, near, packing, quality, sharding
+from hashloom.llm import (
+    contamination,
+    exact,
+    html_text,
+    language_model,
+    near,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substring,
+)
 from hashloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "contamination", "exact", "near", "packing", "quality", "sharding"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "contamination",
+    "exact",
+    "html_text",
+    "language_model",
+    "near",
+    "packing",
+    "pii",
+    "quality",
+    "sharding",
+    "substring",
+]

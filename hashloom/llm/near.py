@@ -161,7 +161,6 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     been compared, or are in one component anyway, so no link that could join two components is missed.
     In the first round each member asks its smallest centre first, and the others only if still apart.
     """
-    spark = documents.sparkSession
     keyed = representatives.select("rep", "n", _keys("signature").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
     active = written(keyed.join(shared, "key"), "near-buckets")
@@ -194,7 +193,6 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
         apart = apart.where("_low <> _high").select("key")
         active = written(rest.join(apart, "key", "left_semi"), "near-buckets")
         centres *= 4
-    del spark
     return labels
 
 
