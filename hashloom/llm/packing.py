@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from hashloom.llm.registry import query
 CAPACITY = 2_048
 END_ID = 0
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -29,18 +31,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Letters whose lower case and normal form are plain, then marks of ASCII but the apostrophe.  The
+# tokenizer puts a word of this form into lower case and splits it here; other words it gets whole.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if it is printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(byte if byte in printable else next(others)) for byte in range(256)]
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit integers, word by word.
 
     The tokenizer splits at white space before anything else and drops it, so the ids of a text are
-    those of its words in order.  Words repeat, so their ids are remembered; words that are not known
-    are encoded together.
+    those of its words in order.  Words repeat, and so do their letters in other cases and before other
+    marks: the ids of both are remembered, up to a number of them, after which memory starts anew.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._remembered, self._known = Tokenizer.from_file(path), remembered, {}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._model, self._remembered = self._tokenizer.model, remembered
+        self._known: dict[bytes, bytes] = {}
+        self._pieces: dict[str, bytes] = {"": b""}
+        self._letters = _byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self._pieces.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else "".join(map(self._letters.__getitem__, piece.encode()))
+            found = array("I", [token.id for token in self._model.tokenize(letters)]).tobytes()
+            self._pieces[piece] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        match = _SIMPLE.fullmatch(word)
+        # A special token is written in letters and marks, too; it is no simple word, as it begins with a mark.
+        if match:
+            return self._piece(match[1].lower()) + self._piece(match[2])
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: bytes) -> bytes:
         listed, known = text.split(), self._known
@@ -50,10 +83,10 @@ class WordIds:
             pass
         if len(known) > self._remembered:
             known.clear()
-        fresh = list(set(listed).difference(known))
-        coded = self._tokenizer.encode_batch([word.decode() for word in fresh], add_special_tokens=False)
-        for word, encoding in zip(fresh, coded):
-            known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        if len(self._pieces) > self._remembered:
+            self._pieces = {"": b""}
+        for word in set(listed).difference(known):
+            known[word] = self._word(word.decode())
         return b"".join(map(known.__getitem__, listed))
 
 
