@@ -25,8 +25,22 @@ TIMEOUT = "timeout"
 MEMOUT = "memout"
 FILEOUT = "fileout"
 
-#: What an exception of a caller's function says about the run.
-_STATUS_OF = ((TimeoutError, TIMEOUT), (MemoryError, MEMOUT), (OSError, FILEOUT))
+
+
+class OutputLimitError(Exception):
+    """A caller's function wrote more than it may."""
+
+
+#: What an exception of a caller's function says about the run; any other is a failure.
+_STATUS_OF = ((TimeoutError, TIMEOUT), (MemoryError, MEMOUT), (OutputLimitError, FILEOUT))
+
+#: Instances of one Arrow batch: each may be a large file.
+_BATCH_ROWS = 16
+
+
+def _in_small_batches(instances: DataFrame) -> DataFrame:
+    instances.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH_ROWS)
+    return instances
 
 
 def check_context(database: Database, contexts: list[str]) -> None:
@@ -83,11 +97,11 @@ def remove_stale(database: Database, listing: DataFrame) -> Database:
 def extract_features(
     instances: DataFrame, extractor: Callable[[str, bytes], list[tuple[str, object]]]
 ) -> DataFrame:
-    """Apply a function to every instance: rows (hash, feature, value, status).
+    """Apply a function to every instance: rows (hash, feature, value, status, position).
 
     The function takes path and content and returns (feature, value) pairs.  Every instance gives
     one row without a feature that carries its status, an instance that succeeds one more per
-    pair; one that fails gives no values.
+    pair, with the pair's position; one that fails gives no values.
     """
     hash_type = instances.schema["hash"].dataType.simpleString()
 
@@ -96,12 +110,12 @@ def extract_features(
             rows = []
             for key, path, content in zip(batch["hash"], batch["path"], batch["content"]):
                 values, status = _attempt(extractor, path, content)
-                rows.append((key, None, None, status))
-                rows.extend((key, name, str(value), status) for name, value in values)
-            yield pd.DataFrame(rows, columns=["hash", "feature", "value", "status"])
+                rows.append((key, None, None, status, 0))
+                rows.extend((key, name, str(value), status, at) for at, (name, value) in enumerate(values, 1))
+            yield pd.DataFrame(rows, columns=["hash", "feature", "value", "status", "position"])
 
-    schema = f"hash {hash_type}, feature string, value string, status string"
-    return instances.select("hash", "path", "content").mapInPandas(run, schema)
+    schema = f"hash {hash_type}, feature string, value string, status string, position int"
+    return _in_small_batches(instances).select("hash", "path", "content").mapInPandas(run, schema)
 
 
 def _attempt(function: Callable, path: str, content: bytes) -> tuple[list, str]:
@@ -112,7 +126,8 @@ def _attempt(function: Callable, path: str, content: bytes) -> tuple[list, str]:
 
 
 def extracted_triples(extracted: DataFrame) -> DataFrame:
-    return extracted.where(F.col("feature").isNotNull()).select("hash", "feature", "value")
+    """The values with their position: the last one of a single-valued feature is stored."""
+    return extracted.where(F.col("feature").isNotNull()).select("hash", "feature", "value", "position")
 
 
 def run_status(extracted: DataFrame) -> DataFrame:
@@ -146,7 +161,8 @@ def store_features(
         database = add_feature(database, name, default, permissive=True)
     # the extractor runs once, whatever the number of tables that take its triples
     triples = written(triples, "triples")
-    return set_values_batch(database, triples, [name for name, _ in declared])
+    order = ["position"] if "position" in triples.columns else None
+    return set_values_batch(database, triples, [name for name, _ in declared], order)
 
 
 # ---- derivation ----------------------------------------------------------------------------
@@ -165,7 +181,7 @@ def transform_content(instances: DataFrame, transformer: Callable[[str, bytes],
             yield pd.DataFrame(rows, columns=["hash", "path", "derived", "status"])
 
     schema = f"hash {hash_type}, path string, derived binary, status string"
-    return instances.select("hash", "path", "content").mapInPandas(run, schema)
+    return _in_small_batches(instances).select("hash", "path", "content").mapInPandas(run, schema)
 
 
 def pending_derivations(

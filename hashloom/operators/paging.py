@@ -36,17 +36,18 @@ def page(frame: DataFrame, key: str, number: int, rows: int = PAGE_ROWS, top_row
         keys = written(frame.select(key), "keys")
         while start + rows > top_rows:
             inside, skipped = _narrow(keys, key, start, rows)
-            if not skipped:
+            if inside is None:
                 break
             keys, frame, start = keys.where(inside), frame.where(inside), start - skipped
     return frame.orderBy(key).offset(start).limit(rows)
 
 
-def _narrow(keys: DataFrame, key: str, start: int, rows: int) -> tuple[Column, int]:
-    """The key ranges with the rows from start on, as a filter, and the rows before them."""
+def _narrow(keys: DataFrame, key: str, start: int, rows: int) -> tuple[Column | None, int]:
+    """The key ranges with the rows from start on, as a filter, and the rows before them; None
+    instead of a filter if it would keep all rows.  Null keys come first, in the first range."""
     bounds = _bounds(keys, key)
     if not bounds:
-        return F.lit(True), 0
+        return None, 0
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda edge: edge <= F.col(key)))
     counts = {row["bucket"]: row["count"] for row in keys.groupBy(bucket.alias("bucket")).count().collect()}
     before, index = 0, 0
@@ -57,18 +58,17 @@ def _narrow(keys: DataFrame, key: str, start: int, rows: int) -> tuple[Column, i
     while last < len(bounds) and end + counts.get(last, 0) < start + rows:
         end += counts.get(last, 0)
         last += 1
-    inside = F.lit(True)
-    if index > 0:
-        inside = inside & (F.col(key) >= F.lit(bounds[index - 1]))
-    if last < len(bounds):
-        inside = inside & (F.col(key) < F.lit(bounds[last]))
-    return inside, before
+    low = F.col(key) >= F.lit(bounds[index - 1]) if index > 0 else None
+    high = F.col(key) < F.lit(bounds[last]) if last < len(bounds) else None
+    if low is None and high is not None:
+        return high | F.col(key).isNull(), before
+    return (low if high is None else low & high), before
 
 
 def _bounds(frame: DataFrame, key: str) -> list:
     """Ascending bounds of key ranges of similar size, placed by keys drawn evenly by their hash.
     The ranges are counted afterwards, so where the bounds lie does not change the result."""
-    drawn = frame.select(key).orderBy(F.xxhash64(key), key).limit(RANGES * DRAWN).collect()
+    drawn = frame.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(RANGES * DRAWN).collect()
     keys = [row[0] for row in drawn]
     keys.sort(key=lambda k: k.encode() if isinstance(k, str) else k)
     return list(dict.fromkeys(keys[DRAWN::DRAWN]))

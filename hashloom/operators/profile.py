@@ -52,11 +52,12 @@ def feature_strings(namespace: Namespace, address: str) -> DataFrame:
     return rows.select(text.alias("value")).distinct().orderBy("value")
 
 
-def catalogue_profile(namespace: Namespace, exact: bool = False) -> DataFrame:
+def catalogue_profile(namespace: Namespace, exact: bool = True) -> DataFrame:
     """One row per feature of every database: where it lives, how many entities have a value, how
     many distinct values there are and the share of entities without one.
 
-    Every table is read once.  Distinct values are estimated (about 2 percent) unless ``exact``.
+    Distinct values are exact; without ``exact`` they are estimated (about 2 percent) and every table
+    is read once.
     """
     totals, parts = [], []
     for database in namespace.databases.values():

@@ -4,9 +4,8 @@ The adaptive skew join of Spark splits only the preserved side of an outer join,
 join reads both sides straight from a shuffle.  Here the heavy keys are found beforehand, and
 their rows are spread over several tasks by a salt:
 
-* at most ``HOT_KEYS`` keys with more than ``HOT_ROWS`` rows count as hot, so the table of hot keys
-  that is broadcast has a fixed bound; a key that is not among them has less than a thousandth of
-  the rows and takes the ordinary way;
+* every key with more than ``HOT_ROWS`` rows counts as hot; N rows have fewer than N / HOT_ROWS such
+  keys, which bounds the table of hot keys that is broadcast, and no key is left out;
 * the salt is a hash of the row, so a task that is run again spreads its rows the same way;
 * the other side is repeated once per salt, for hot keys only.
 """
@@ -19,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
 
 _SALTS = "__salts"
 _SALT = "__salt"
@@ -33,18 +31,17 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def hottest(counted: DataFrame, key: str, count: str) -> DataFrame:
     """The same from counts that are known already."""
-    hot = counted.where(F.col(count) > HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS)
+    hot = counted.where(F.col(count) > HOT_ROWS)
     return hot.select(key, _salts(F.col(count)).alias(_SALTS))
 
 
 def hot_counts(rows: DataFrame, keys: tuple[str, ...]) -> dict[str, list]:
-    """The hot keys of several columns, as text, with their rows: at most HOT_KEYS per column, to
-    be recorded with a table."""
+    """The hot keys of several columns, as text, with their rows, to be
+    recorded with a table."""
     parts = []
     for key in keys:
         counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS)
-        top = counted.orderBy(F.desc("rows"), key).limit(HOT_KEYS)
-        parts.append(top.select(F.lit(key).alias("column"), F.col(key).cast("string").alias("key"), "rows"))
+        parts.append(counted.select(F.lit(key).alias("column"), F.col(key).cast("string").alias("key"), "rows"))
     found: dict[str, list] = {key: [] for key in keys}
     for row in reduce(DataFrame.union, parts).collect():
         found[row["column"]].append((row["key"], row["rows"]))

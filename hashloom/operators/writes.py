@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from hashloom.operators.skew import hot_keys, spread_join
 from hashloom.plans.filters import Predicate
 from hashloom.plans.namespace import (
+    BASE,
     ENTITIES,
     Database,
     Feature,
@@ -292,7 +293,8 @@ def delete_entities(database: Database, hashes: DataFrame) -> Database:
     doomed = hashes.select("hash").distinct()
     many = _delete_from_values(database, doomed)
     entities = database.entities.join(doomed, "hash", "left_anti")
-    return database.with_parts(entities=entities, many=many, files={}, added={})
+    base = {name: stored for name, stored in database.files.items() if name == BASE}
+    return database.with_parts(entities=entities, many=many, files=base, added={})
 
 
 def _delete_from_values(database: Database, doomed: DataFrame) -> dict:

@@ -18,6 +18,8 @@ UNSET = "None"
 
 #: Name of the entity table among the tables of a database.
 ENTITIES = "features"
+#: Under this name the files of a database say which version of which folder it was read from.
+BASE = ""
 
 # Names a feature cannot have.
 RESERVED = ("hash", "value", "features")

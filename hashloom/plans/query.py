@@ -69,10 +69,12 @@ def restrict(frame: DataFrame, hashes, column: str = "hash", hot: DataFrame | No
         return frame
     if not isinstance(hashes, DataFrame):
         hashes = list(hashes)
+        field = frame.schema[column].dataType
         if len(hashes) <= _MAX_LITERALS:
-            return frame.where(F.col(column).isin(hashes))
-        field = frame.schema[column].dataType.simpleString()
-        hashes = frame.sparkSession.createDataFrame([(h,) for h in hashes], f"hash {field}")
+            return frame.where(F.col(column).isin([F.lit(h).cast(field) for h in hashes]))
+        # ids of any type, cast as the literals are
+        listed = [(None if h is None else str(h),) for h in hashes]
+        hashes = frame.sparkSession.createDataFrame(listed, "hash string").select(F.col("hash").cast(field))
     wanted = hashes.select(F.col("hash").alias(column)).distinct()
     return spread_join(frame, wanted, column, "left_semi", hot)
 

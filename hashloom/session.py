@@ -36,7 +36,8 @@ def working_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get(_CHECKPOINT, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set {_CHECKPOINT} to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="hashloom-")
         spark.conf.set(_CHECKPOINT, root)

@@ -1,10 +1,12 @@
 """Databases as Parquet: open, save, export.
 
-A database is a folder.  ``data`` holds one folder per written table and save; ``log`` is a small
-Parquet table that gains the rows of a version with every save: one row per table, naming its
-files and features.  Opening reads the newest version.  Nothing that a version refers to is ever
+A database is a folder.  ``data`` holds one folder per written table and save, ``log`` one small folder
+per version: one row per table, naming its files, buckets and features.  A file in ``commits``, named
+after the version and created only if it does not exist, makes a version visible.  Opening reads the
+log of the newest version.  Nothing that a version refers to is ever
 overwritten, so a database can be saved while it is being read, and a save that dies before its
-last step leaves the version before it in place.  One writer at a time per folder.
+last step leaves the version before it in place.  The second of
+two writers is refused.
 """
 
 from __future__ import annotations
@@ -15,11 +17,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from hashloom.functions.text import Contexts, database_name_of
 from hashloom.operators.skew import hot_counts
-from hashloom.plans.namespace import ENTITIES, Database, FeatureError, Namespace, Values
+from hashloom.plans.namespace import BASE, ENTITIES, Database, FeatureError, Namespace, Values
 
 _WRITERS = 8
 _LOG_SCHEMA = (
@@ -28,30 +29,60 @@ _LOG_SCHEMA = (
 )
 
 
+class StaleHandleError(FeatureError):
+    """Another version was saved since the database was opened."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _commits(spark: SparkSession, path: str, last: int | None = None) -> dict[int, str]:
+    """The log folder of each version, or of the ``last`` ones.  A commit file without its whole
+    line is not finished."""
+    system, place = _file_system(spark, f"{path}/commits")
+    if not system.exists(place):
+        return {}
+    files = sorted(str(entry.getPath()) for entry in system.listStatus(place))[-(last or 0) :]
+    rows = spark.read.text(files).select("value", F.col("_metadata.file_name").alias("name")) if files else None
+    found = [] if rows is None else rows.where(F.col("value").startswith("log/")).collect()
+    return {int(row["name"]): row["value"] for row in found}
+
+
+def _commit(spark: SparkSession, path: str, version: int, log: str) -> None:
+    """Make a version visible by creating the file named after it, which must not exist yet."""
+    system, place = _file_system(spark, f"{path}/commits/{version:010d}")
+    try:
+        out = system.create(place, False)
+    except Exception as error:  # noqa: BLE001 - any file system's own exception
+        raise StaleHandleError(f"version {version} of {path} was saved by another writer") from error
+    out.write(bytearray(f"{log}\n".encode()))
+    out.close()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
     """The registry of all versions, or None before the first save."""
-    try:
-        return spark.read.schema(_LOG_SCHEMA).parquet(f"{path}/log")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+    folders = list(_commits(spark, path).values())
+    return spark.read.schema(_LOG_SCHEMA).parquet(*[f"{path}/{log}" for log in folders]) if folders else None
 
 
-def _newest(log: DataFrame | None) -> list:
-    """The rows of the newest version: one per table of the database."""
-    if log is None:
+def _newest(spark: SparkSession, path: str) -> list:
+    """The rows of the newest version: one per table of the database.  No other version's are read."""
+    commits = _commits(spark, path, last=2)
+    if not commits:
         return []
-    version = log.agg(F.max("version")).head()[0]
-    return [] if version is None else log.where(F.col("version") == version).orderBy("position").collect()
+    log = spark.read.schema(_LOG_SCHEMA).parquet(f"{path}/{commits[max(commits)]}")
+    return log.orderBy("position").collect()
 
 
 def open_database(spark: SparkSession, path: str, contexts: Contexts | None = None) -> Database:
     """Open a saved database."""
-    rows = _newest(read_log(spark, path))
+    rows = _newest(spark, path)
     if not rows:
         raise FeatureError(f"no database at {path}")
-    files, many, entities, defaults = {}, {}, None, {}
+    files, many, entities, defaults = {BASE: (path, rows[0].version)}, {}, None, {}
     for row in rows:
         frame = _read(spark, path, row)
         files[row.table] = (path, tuple(row.files))
@@ -102,12 +133,19 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
 
     Unchanged tables are not written again, inserted pairs are written next to the stored ones.
     With ``buckets`` the tables are bucketed and sorted by hash, so that joins and aggregations on
-    the hash need no shuffle; changed tables are then written as a whole.  Choose buckets only
-    where no entity holds a large share of a table.
+    the hash need no shuffle; changed tables, and tables stored with another number of buckets, are
+    then written as a whole.  Choose buckets only where no entity holds a large share of a table.
+
+    A version is saved once: a database that was opened here before the newest version was saved is
+    refused (StaleHandleError), and so is the second of two writers that save at the same time.
     """
     spark = database.entities.sparkSession
-    rows = _newest(read_log(spark, path))
+    rows = _newest(spark, path)
     version = rows[0].version + 1 if rows else 1
+    root, base = database.files.get(BASE, (None, 0))
+    if root == path and base != version - 1:
+        raise StaleHandleError(f"version {version - 1} of {path} was saved since version {base} was opened")
+    had_buckets = {tuple(row.files): row.buckets for row in rows}
     folder = f"data/v{version:08d}-{uuid.uuid4().hex[:12]}"
     tables = {ENTITIES: database.entities} | {name: source.pairs() for name, source in database.many.items()}
 
@@ -116,10 +154,11 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
         root, stored = database.files.get(table, (None, ()))
         stored = stored if root == path else ()
         fresh = database.added.get(table) if stored else None
-        if stored and fresh is None:
+        alike = had_buckets.get(tuple(stored)) == buckets
+        if stored and alike and fresh is None:
             return list(stored), database.many[table].hot if table != ENTITIES else {}
         part = f"{folder}/{table}"
-        if stored and not buckets:
+        if stored and alike and not buckets:
             fresh.write.parquet(f"{path}/{part}")
             stored = (*stored, part)
         else:
@@ -135,7 +174,9 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
         defaults = json.dumps(database.defaults if table == ENTITIES else {})
         row = (version, database.name, database.context, table, position, defaults, json.dumps(hot))
         log.append((*row, stored, buckets, note))
-    spark.createDataFrame(log, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    place = f"log/v{version:08d}-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame(log, _LOG_SCHEMA).coalesce(1).write.parquet(f"{path}/{place}")
+    _commit(spark, path, version, place)
     return open_database(spark, path)
 
 

@@ -16,11 +16,17 @@ from hashloom.operators.writes import set_values_batch
 from hashloom.plans.namespace import Database
 
 def land_triples(
-    triples: DataFrame, path: str, checkpoint: str, many: list[str] | None = None, available_now: bool = True
+    triples: DataFrame,
+    path: str,
+    checkpoint: str,
+    many: list[str] | None = None,
+    available_now: bool = True,
+    delay: str | None = None,
 ) -> StreamingQuery:
     """Start the stream that lands triples (hash, feature, value, time, tie).  ``many`` names the
-    multi-valued features, whose pairs are all kept."""
+    multi-valued features, whose pairs are all kept; with a ``delay`` repeated deliveries are dropped."""
     many = many or []
+    triples = triples if delay is None else deduplicated(triples, delay, many)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         _last(batch, many).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -36,10 +42,15 @@ def _last(triples: DataFrame, many: list[str]) -> DataFrame:
     return triples.groupBy("hash", "feature", pair).agg(newest).select("hash", "feature", "last.*")
 
 
-def deduplicated(triples: DataFrame, delay: str) -> DataFrame:
-    """Drop repeated (hash, feature, value) triples within a delay, for sources that deliver more
-    than once; the state is bounded by the watermark."""
-    return triples.withWatermark("time", delay).dropDuplicatesWithinWatermark(["hash", "feature", "value"])
+def deduplicated(triples: DataFrame, delay: str, many: list[str] | None = None) -> DataFrame:
+    """Drop triples that a source delivers again within a delay; the state is bounded by the watermark.
+
+    A pair of a multi-valued feature (``many``) is the same whenever it comes.  A value of a single-valued one is
+    only the same at the same time and tie: A, B, A are three values, of which the last must win.
+    """
+    moment = F.when(~F.col("feature").isin(many or []), F.struct("time", "tie"))
+    marked = triples.withColumn("__moment", moment).withWatermark("time", delay)
+    return marked.dropDuplicatesWithinWatermark(["hash", "feature", "value", "__moment"]).drop("__moment")
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:

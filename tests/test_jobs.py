@@ -54,6 +54,21 @@ def test_extraction(spark, instances, extractor):
         jobs.store_features(database, jobs.extracted_triples(extracted), declared, ["kis"])
 
 
+def test_last_value_wins_and_named_statuses(spark):
+    def extractor(path, content):
+        raised = {b"1": jobs.OutputLimitError, b"2": FileNotFoundError}.get(bytes(content))
+        if raised:
+            raise raised(path)
+        return [("f", 9), ("f", 1)]
+
+    rows = [(f"h{i}", f"/d/{i}", b"%d" % i) for i in range(3)]
+    extracted = jobs.extract_features(spark.createDataFrame(rows, "hash string, path string, content binary"), extractor)
+    assert {row.status: row.n for row in jobs.run_status(extracted).collect()} == {"success": 1, "fileout": 1, "failure": 1}
+    database = Database.of("cnf_db", spark.createDataFrame([("h0",)], "hash string"))
+    stored = jobs.store_features(database, jobs.extracted_triples(extracted), [("f", "0")], ["cnf"])
+    assert rows_of(stored.entities) == [("h0", "1")]
+
+
 def test_hundred_instances(spark):
     """A callback feature for a hundred entities, as one write."""
     rows = [(str(i), f"/d/{i}", b"%d" % i) for i in range(100)]
@@ -122,14 +137,27 @@ def test_stream(spark, tmp_path):
 
 
 def test_stream_without_repetitions(spark, tmp_path):
-    schema = "hash string, feature string, value string, time timestamp"
-    rows = [("a", "f", "x", "2024-01-01 10:00:00"), ("a", "f", "x", "2024-01-01 10:05:00"), ("a", "f", "y", "2024-01-01 10:06:00")]
+    schema = "hash string, feature string, value string, time timestamp, tie bigint"
+    rows = [("a", "f", "x", "2024-01-01 10:00:00", 1), ("a", "f", "x", "2024-01-01 10:05:00", 2), ("a", "f", "y", "2024-01-01 10:06:00", 3)]
+    rows += [("a", "one", value, f"2024-01-01 10:0{at}:00", at) for at, value in enumerate("ABA")] + [("a", "one", "B", "2024-01-01 10:01:00", 1)]
     frame = spark.createDataFrame(rows, schema.replace("timestamp", "string"))
     frame.withColumn("time", F.to_timestamp("time")).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    writer = upsert.deduplicated(stream, "1 hour").writeStream.format("parquet").trigger(availableNow=True)
+    writer = upsert.deduplicated(stream, "1 hour", ["f"]).writeStream.format("parquet").trigger(availableNow=True)
     writer.option("checkpointLocation", str(tmp_path / "state")).start(str(tmp_path / "out")).awaitTermination()
-    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y"]
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.value for r in found.where("feature = 'f'").collect()) == ["x", "y"]
+    assert [r.value for r in found.where("feature = 'one'").orderBy("time").collect()] == ["A", "B", "A"]
+    base = writes.add_feature(Database.empty(spark, "db"), "one", "none")
+    assert rows_of(upsert.apply_landed(base, found, ["one"]).entities) == [("a", "A")]
+
+
+def test_page_of_the_first_range_is_bounded(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") > 2, F.col("id")).alias("k"))
+    found = page(frame, "k", 2, 100, top_rows=100)
+    assert [r.k for r in found.collect()] == list(range(200, 300))
+    assert "k#" in found._jdf.queryExecution().optimizedPlan().toString() and "<" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.k for r in page(frame, "k", 0, 5, top_rows=1).collect()] == [None, None, None, 3, 4]
 
 
 def test_pages(spark):

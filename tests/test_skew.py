@@ -39,11 +39,11 @@ def test_hot_rows_are_divided(sides):
     assert len(sizes) == salts and max(sizes) < 30
 
 
-def test_number_of_hot_keys_is_bounded(sides, monkeypatch):
+def test_every_hot_key_is_salted(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 1)
-    monkeypatch.setattr(skew, "HOT_KEYS", 3)
-    rows, single = sides
+    rows = spark.range(4_000).select((F.col("id") % 2_000).alias("k"), F.col("id").alias("v"))
     hot = skew.hot_keys(rows, "k")
-    assert hot.count() == 3
+    assert hot.count() == 2_000 and hot.where("__salts = 2").count() == 2_000
+    single = spark.range(2_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     joined = skew.spread_join(rows, single, "k", "inner", hot).select("k", "v", "w")
     assert rows_of(joined) == rows_of(rows.join(single, "k").select("k", "v", "w"))
