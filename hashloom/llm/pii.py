@@ -466,11 +466,14 @@ def training_texts(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> lis
     """
     marked = F.contains(F.col("text"), F.lit("@")) | F.col("text").rlike("[0-9]{3}")
     part = F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 10000), 20000)")
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", part.alias("text"), marked.alias("marked"))
-    chosen = []
+    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    narrow, chosen = rows.select("doc_id", marked.alias("marked")), []
     for wanted in (True, False):
-        order = rows.where(F.col("marked") == wanted).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2)
-        chosen.extend(row["text"] for row in order.select("text").collect())
+        # Ids first: every task would send its first texts to the driver otherwise.
+        first = narrow.where(F.col("marked") == wanted).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2)
+        ids = [row["doc_id"] for row in first.collect()]
+        texts = rows.where(F.col("doc_id").isin(ids)).select(part.alias("text")).limit(limit // 2)
+        chosen.extend(row["text"] for row in texts.collect())
     return chosen
 
 
