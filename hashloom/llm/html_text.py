@@ -315,8 +315,12 @@ def main_texts(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFr
     rows.  Broken markup is read as far as it goes: what is not closed ends with its parent.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sample = rows.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(training_pages)
-    weights = train([row["html"] for row in sample.select("html").collect()])
+    usable = rows.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    # Ids first: every task would send its first pages to the driver otherwise.
+    first = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(training_pages)
+    ids = [row["page_id"] for row in first.collect()]
+    sample = usable.where(F.col("page_id").isin(ids)).select("html").limit(training_pages)
+    weights = train([row["html"] for row in sample.collect()])
     return rows.mapInArrow(_extracted(weights), "page_id long, url string, text string, n_chars long")
 
 
