@@ -15,11 +15,15 @@ from hashloom.llm.registry import query
 #: Words of a shingle, and the share of common shingles in percent from which two documents are linked.
 SHINGLE, SIMILARITY = 5, 75
 #: A signature has CHUNKS x SYMBOLS symbols of BITS bits.  A chunk may have ERRORS differing symbols.
-CHUNKS, SYMBOLS, BITS, ERRORS = 12, 4, 16, 1
-#: Pairs of signatures that differ in at most this many of the 48 symbols are certain to meet: spread
-#: over 12 chunks, more than one error in every chunk takes 24.  Two sets with three quarters of their
-#: shingles in common differ in 12 symbols on average and fail to meet once in 10 million pairs.
+CHUNKS, SYMBOLS, BITS, ERRORS = 16, 6, 16, 1
+#: Pairs of signatures that differ in at most this many of the 96 symbols are certain to meet in the
+#: index: spread over 16 chunks, more than one error in every chunk takes 32.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Pairs that meet are asked for the distance of 4 more bits of each symbol, and go beyond this one.  Two sets
+#: with just three quarters of their shingles in common differ in 22 of these on average and in more than 42
+#: twice in a million pairs; they fail to meet in the index five times in a million.  Closer sets fail more seldom.
+MOST_DIFFERENT, SKETCH_BITS = 42, 4
+SKETCH = [f"s{i}" for i in range(CHUNKS * SYMBOLS * SKETCH_BITS // 64)]
 
 _POLYNOMIAL = 0x9E3779B97F4A7C15
 _random = np.random.default_rng(20_240_229)
@@ -36,33 +40,38 @@ def shingles(text: bytes, hashes: WordHashes, width: int = SHINGLE) -> np.ndarra
     return np.unique(rolling(hashes.of(listed), wide, _POLYNOMIAL) ^ np.uint64(width - wide))
 
 
-def signature(values: np.ndarray) -> bytes:
-    """The low bits of the minimum of every hash function over a set of shingles."""
+def signature(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """16 bits of the minimum of every hash function over a set of shingles, and 4 others as 64-bit words."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(values), 2_048):
         block = values[at : at + 2_048, None] * _FACTORS + _OFFSETS
         np.minimum(least, block.min(axis=0), out=least)
-    return mixed(least).astype("<u2").tobytes()
+    least = mixed(least)
+    four = (least >> np.uint64(60)).reshape(-1, 64 // SKETCH_BITS) << (np.arange(0, 64, SKETCH_BITS, dtype=np.uint64))
+    return least.astype("<u2").tobytes(), np.bitwise_or.reduce(four, axis=1).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        counts, first, second, signatures = [], [], [], []
+        counts, first, second, signatures, sketches = [], [], [], [], []
         for text in texts(batch):
             values = shingles(text, hashes)
             counts.append(len(values))
             first.append(int(mixed(values).sum(dtype=np.uint64).astype(np.int64)))
             second.append(int(mixed(values ^ np.uint64(_POLYNOMIAL)).sum(dtype=np.uint64).astype(np.int64)))
-            signatures.append(signature(values) if len(values) else None)
+            own, sketch = signature(values)
+            signatures.append(own)
+            sketches.append(sketch)
         columns = [
             batch.column("doc_id"),
             pa.array(counts, pa.int64()),
             pa.array(first, pa.int64()),
             pa.array(second, pa.int64()),
             pa.array(signatures, pa.binary()),
+            *(pa.array([sketch[i] for sketch in sketches], pa.int64()) for i in range(len(SKETCH))),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "signature"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "signature", *SKETCH])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +108,17 @@ def _split_by_size(smaller: str, larger: str):
     return 100 * F.least(smaller, larger) >= SIMILARITY * F.greatest(smaller, larger)
 
 
+def _alike(other: str):
+    """Whether the sketches of a row and of the row with the prefix ``other`` are near enough."""
+    differing = F.lit(0)
+    for name in SKETCH:
+        bits = F.col(name).bitwiseXOR(F.col(other + name))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differing = differing + F.bit_count(bits)
+    return differing <= MOST_DIFFERENT
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, component) of all ends of the links (a, b): large-star and small-star rounds.
 
@@ -146,9 +166,9 @@ def _labelled(frame: DataFrame, labels: DataFrame | None, rep: str, name: str) -
     """Add the component of ``rep``: itself as long as it has no links."""
     if labels is None:
         return frame.withColumn(name, F.col(rep))
-    side = labels.select(F.col("rep").alias("_rep"), F.col("component").alias("_component"))
-    joined = frame.join(side, frame[rep] == side["_rep"], "left")
-    return joined.withColumn(name, F.coalesce("_component", rep)).drop("_rep", "_component")
+    side = labels.select(F.col("rep").alias("_end"), F.col("component").alias("_label"))
+    joined = frame.join(side, frame[rep] == side["_end"], "left")
+    return joined.withColumn(name, F.coalesce("_label", rep)).drop("_end", "_label")
 
 
 def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | None:
@@ -157,25 +177,27 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     The buckets are the groups of representatives with one index key.  A bucket is never expanded into
     all its pairs at once: a round compares its first members (the centres) with all its others that are not known to be
     in the same component, then retires the centres and all buckets whose members are in one component.
-    Rounds go on, with four times as many centres each, until no bucket is left: all pairs of a bucket have then
+    Rounds go on, with eight times as many centres each, until no bucket is left: all pairs of a bucket have then
     been compared, or are in one component anyway, so no link that could join two components is missed.
     In the first round each member asks its smallest centre first, and the others only if still apart.
     """
-    keyed = representatives.select("rep", "n", _keys("signature").alias("key"))
+    keyed = representatives.select("rep", _keys("signature").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
-    active = written(keyed.join(shared, "key"), "near-buckets")
+    meeting = keyed.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
+    active = written(meeting, "near-buckets")
     wanted = active.select(F.col("rep").alias("_wanted")).distinct()
     sources = documents.join(wanted, documents["doc_id"] == wanted["_wanted"], "left_semi")
     sets = written(sources.mapInArrow(_sets, "rep long, members array<long>"), "near-sets")
     links, labels, centres = None, None, 1
     while not active.isEmpty():
         order = Window.partitionBy("key").orderBy("rep")
-        first = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres)
-        first = first.select("key", F.col("rep").alias("_centre"), F.col("n").alias("_n"), *_component_of(active, "_of"))
-        meeting = active.join(first, "key").where((F.col("rep") != F.col("_centre")) & _split_by_size("n", "_n"))
+        first = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres).drop("_rank")
+        first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
+        apart = (F.col("rep") != F.col("_rep")) & _split_by_size("n", "_n") & _alike("_")
         if "component" in active.columns:
-            meeting = meeting.where(F.col("component") != F.col("_of"))
-        pairs = meeting.select(F.least("rep", "_centre").alias("a"), F.greatest("rep", "_centre").alias("b")).distinct()
+            apart = apart & (F.col("component") != F.col("_component"))
+        meeting = active.join(first, "key").where(apart)
+        pairs = meeting.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
         pairs = written(pairs, "near-pairs")
         if links is None:
             one = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
@@ -188,18 +210,14 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
             links = links.unionByName(more)
             labels = written(components(links), "near-components")
         rest = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") > centres)
-        rest = _labelled(rest.select("key", "rep", "n"), labels, "rep", "component")
+        rest = _labelled(rest.drop("_rank", "component"), labels, "rep", "component")
         apart = rest.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
         apart = apart.where("_low <> _high").select("key")
         active = written(rest.join(apart, "key", "left_semi"), "near-buckets")
-        centres *= 4
+        centres *= 8
     return labels
 
 
-def _component_of(active: DataFrame, name: str) -> list:
-    return [F.col("component").alias(name)] if "component" in active.columns else []
-
-
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -214,13 +232,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     cost one row per task.  Candidates come from the index, links from the full sets.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(rows.mapInArrow(_signed, "doc_id long, n long, d1 long, d2 long, signature binary"), "near-signatures")
+    schema = "doc_id long, n long, d1 long, d2 long, signature binary, " + ", ".join(f"{name} long" for name in SKETCH)
+    signed = written(rows.mapInArrow(_signed, schema), "near-signatures")
     digest = ["n", "d1", "d2"]
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
-    representatives = written(
-        named.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
-        "near-representatives",
-    )
+    same_set = [F.first(name).alias(name) for name in ("signature", *SKETCH)]
+    classes = named.groupBy(*digest).agg(F.min("doc_id").alias("rep"), *same_set)
+    representatives = written(classes, "near-representatives")
     labels = _linked(rows, representatives)
     classes = _labelled(representatives.select(*digest, "rep"), labels, "rep", "component")
     classes = classes.select(*(F.col(name).alias(f"_{name}") for name in digest), "component")
