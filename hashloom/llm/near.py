@@ -177,6 +177,7 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     The buckets are the groups of representatives with one index key.  A bucket is never expanded into
     all its pairs at once: a round compares its first members (the centres) with all its others that are not known to be
     in the same component, then retires the centres and all buckets whose members are in one component.
+    Members of small components are centres first: once they are retired, a bucket of one large component is done.
     Rounds go on, with eight times as many centres each, until no bucket is left: all pairs of a bucket have then
     been compared, or are in one component anyway, so no link that could join two components is missed.
     In the first round each member asks its smallest centre first, and the others only if still apart.
@@ -184,13 +185,13 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     keyed = representatives.select("rep", _keys("signature").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
     meeting = keyed.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
-    active = written(meeting, "near-buckets")
+    active = written(meeting.withColumn("size", F.lit(1).cast("long")), "near-buckets")
     wanted = active.select(F.col("rep").alias("_wanted")).distinct()
     sources = documents.join(wanted, documents["doc_id"] == wanted["_wanted"], "left_semi")
     sets = written(sources.mapInArrow(_sets, "rep long, members array<long>"), "near-sets")
     links, labels, centres = None, None, 1
     while not active.isEmpty():
-        order = Window.partitionBy("key").orderBy("rep")
+        order = Window.partitionBy("key").orderBy("size", "rep")
         first = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres).drop("_rank")
         first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
         apart = (F.col("rep") != F.col("_rep")) & _split_by_size("n", "_n") & _alike("_")
@@ -210,7 +211,13 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
             links = links.unionByName(more)
             labels = written(components(links), "near-components")
         rest = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") > centres)
-        rest = _labelled(rest.drop("_rank", "component"), labels, "rep", "component")
+        rest = _labelled(rest.drop("_rank", "component", "size"), labels, "rep", "component")
+        if labels is None:
+            rest = rest.withColumn("size", F.lit(1).cast("long"))
+        else:
+            sizes = labels.groupBy(F.col("component").alias("_whole")).agg(F.count(F.lit(1)).alias("_size"))
+            rest = rest.join(sizes, rest["component"] == sizes["_whole"], "left")
+            rest = rest.withColumn("size", F.coalesce("_size", F.lit(1).cast("long"))).drop("_whole", "_size")
         apart = rest.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
         apart = apart.where("_low <> _high").select("key")
         active = written(rest.join(apart, "key", "left_semi"), "near-buckets")
