@@ -85,11 +85,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keys(signature: str):
-    """Index keys of a signature: every chunk with every choice of one symbol left out.
+def _keys(signature: str, rep: str):
+    """Index keys of a signature, (key, spare): every chunk with every choice of one symbol left out.
 
     Two chunks with at most one differing symbol agree in the key that leaves it out, so these keys
-    enumerate all errors that a chunk is allowed.
+    enumerate all errors that a chunk is allowed.  Equal chunks agree in all their keys, and are to be
+    compared in the first one only: ``spare`` stands for the symbol left out, and for the representative
+    itself in the first key of a chunk, so a pair is due in just those of its keys where spares differ.
     """
     width, keys = BITS // 8, []
     for chunk in range(CHUNKS):
@@ -99,8 +101,12 @@ def _keys(signature: str):
                 for symbol in range(SYMBOLS)
                 if symbol != skipped
             ]
-            keys.append(F.xxhash64(F.lit(chunk * SYMBOLS + skipped), *parts))
-    return F.explode(F.array(*keys))
+            key = F.xxhash64(F.lit(chunk * SYMBOLS + skipped), *parts)
+            # the upper half of the CRC-32 of two bytes is one-to-one
+            spare = F.crc32(F.substring(signature, (chunk * SYMBOLS + skipped) * width + 1, width))
+            spare = F.shiftright(spare, 16)
+            keys.append(F.struct(key.alias("key"), (spare if skipped else F.col(rep)).alias("spare")))
+    return F.inline(F.array(*keys))
 
 
 def _split_by_size(smaller: str, larger: str):
@@ -174,7 +180,8 @@ def _labelled(frame: DataFrame, labels: DataFrame | None, rep: str, name: str) -
 def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | None:
     """Components of the representatives (rep, component), or None if there are no links.
 
-    The buckets are the groups of representatives with one index key.  A bucket is never expanded into
+    The buckets are the groups of representatives with one index key; one whose members share the spare
+    symbol holds no pair that is due there and is left out.  A bucket is never expanded into
     all its pairs at once: a round compares its first members (the centres) with all its others that are not known to be
     in the same component, then retires the centres and all buckets whose members are in one component.
     Members of small components are centres first: once they are retired, a bucket of one large component is done.
@@ -182,8 +189,9 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     been compared, or are in one component anyway, so no link that could join two components is missed.
     In the first round each member asks its smallest centre first, and the others only if still apart.
     """
-    keyed = representatives.select("rep", _keys("signature").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
+    keyed = representatives.select("rep", _keys("signature", "rep"))
+    spares = F.min("spare").alias("_least"), F.max("spare").alias("_most")
+    shared = keyed.groupBy("key").agg(*spares).where("_least <> _most").select("key")
     meeting = keyed.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
     active = written(meeting.withColumn("size", F.lit(1).cast("long")), "near-buckets")
     wanted = active.select(F.col("rep").alias("_wanted")).distinct()
@@ -194,7 +202,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
         order = Window.partitionBy("key").orderBy("size", "rep")
         first = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres).drop("_rank")
         first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
-        apart = (F.col("rep") != F.col("_rep")) & _split_by_size("n", "_n") & _alike("_")
+        apart = (F.col("rep") != F.col("_rep")) & (F.col("spare") != F.col("_spare"))
+        apart = apart & _split_by_size("n", "_n") & _alike("_")
         if "component" in active.columns:
             apart = apart & (F.col("component") != F.col("_component"))
         meeting = active.join(first, "key").where(apart)
@@ -218,8 +227,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
             sizes = labels.groupBy(F.col("component").alias("_whole")).agg(F.count(F.lit(1)).alias("_size"))
             rest = rest.join(sizes, rest["component"] == sizes["_whole"], "left")
             rest = rest.withColumn("size", F.coalesce("_size", F.lit(1).cast("long"))).drop("_whole", "_size")
-        apart = rest.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        apart = apart.where("_low <> _high").select("key")
+        apart = rest.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), *spares)
+        apart = apart.where("_low <> _high AND _least <> _most").select("key")
         active = written(rest.join(apart, "key", "left_semi"), "near-buckets")
         centres *= 8
     return labels

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -88,6 +90,22 @@ def test_near(docs):
         assert by[None].component_id is None and by[None].kept
 
 
+def test_near_pairs_are_due_in_few_keys(spark):
+    """Two signatures agree in a key exactly where a chunk has at most one error, and are due in one key of an
+    equal chunk; a spare names its symbol one-to-one."""
+    assert len({zlib.crc32(bytes(two)) >> 16 for two in itertools.product(range(256), repeat=2)}) == 1 << 16
+    one = np.arange(near.CHUNKS * near.SYMBOLS, dtype="<u2")
+    two = one.copy()
+    two[near.SYMBOLS : near.SYMBOLS + 2] += 1  # two errors in the second chunk, one in the third
+    two[2 * near.SYMBOLS + 3] += 256
+    two[3 * near.SYMBOLS] += 1  # and one in the first symbol of the fourth
+    rows = spark.createDataFrame([(7, bytearray(one.tobytes())), (9, bytearray(two.tobytes()))], "rep long, signature binary")
+    keyed = rows.select("rep", near._keys("signature", "rep")).groupBy("key")
+    counts = keyed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("spare").alias("spares")).where("n = 2").collect()
+    assert len(counts) == (near.CHUNKS - 3) * near.SYMBOLS + 2
+    assert sum(row.spares == 2 for row in counts) == near.CHUNKS - 1
+
+
 def test_near_equals_all_pairs(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(300)]
