@@ -34,6 +34,9 @@ class OutputLimitError(Exception):
 #: What an exception of a caller's function says about the run; any other is a failure.
 _STATUS_OF = ((TimeoutError, TIMEOUT), (MemoryError, MEMOUT), (OutputLimitError, FILEOUT))
 
+#: Contexts whose files hold clauses.
+CLAUSE_CONTEXTS = ["cnf", "sancnf"]
+
 #: Instances of one Arrow batch: each may be a large file.
 _BATCH_ROWS = 16
 
@@ -75,13 +78,21 @@ def path_triples(files: DataFrame, digest: Column | None = None) -> DataFrame:
     return named.select("hash", F.explode(pairs).alias("pair")).select("hash", "pair.feature", "pair.value")
 
 
-def register_files(database: Database, files: DataFrame) -> Database:
-    """Add the files not registered yet: digest, path and file name."""
+def register_files(database: Database, files: DataFrame, digest: Column | None = None) -> Database:
+    """Add the files not registered yet: digest, path and file name.
+
+    The digest of a file depends on its context.  Without one given, only contexts of clause files are accepted,
+    whose identity is the digest of their canonical tokens.
+    """
+    if digest is None:
+        check_context(database, CLAUSE_CONTEXTS)
+        digest = content_digest(F.col("content"))
     for name in ("local", "filename"):
         database = add_feature(database, name, permissive=True)
-    fresh = new_paths(files, database.many["local"].pairs())
-    # contents are read and digested once, whatever the number of tables that take the triples
-    triples = written(path_triples(fresh), "paths")
+    # contents are digested where they are read; only paths and digests are shuffled
+    digests = written(files.select("path", digest.alias("hash")), "digests")
+    fresh = new_paths(digests, database.many["local"].pairs())
+    triples = path_triples(fresh, F.col("hash"))
     return set_values_batch(database, triples, ["local", "filename"])
 
 

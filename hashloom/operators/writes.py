@@ -27,7 +27,7 @@ from hashloom.plans.namespace import (
     check_feature_name,
     known_entities,
 )
-from hashloom.plans.query import entity_hashes, restrict
+from hashloom.plans.query import entity_hashes, restrict, short_list_or_frame
 
 
 def _feature(database: Database, name: str) -> Feature:
@@ -91,7 +91,7 @@ def init_entities(database: Database) -> Database:
 def _add_entities(database: Database, hashes: DataFrame) -> Database:
     """Add unknown hashes; their single-valued features get the defaults."""
     hashes = hashes.select(F.col("hash").cast(database.entities.schema["hash"].dataType))
-    unknown = hashes.join(database.entities.select("hash"), "hash", "left_anti").distinct()
+    unknown = _unknown(hashes, database.entities).distinct()
     columns = [
         F.lit(database.defaults.get(f.name)).cast(f.dataType).alias(f.name)
         for f in database.entities.schema
@@ -101,6 +101,13 @@ def _add_entities(database: Database, hashes: DataFrame) -> Database:
     return _entities_added(database, rows)
 
 
+def _unknown(rows: DataFrame, stored: DataFrame, on: tuple[str, ...] = ("hash",), hot: DataFrame | None = None) -> DataFrame:
+    """The rows that are not stored yet.  The stored side is first reduced to the hashes of the rows: these are
+    the small side, so Spark can broadcast them and the stored side is read without a shuffle."""
+    near = spread_join(stored.select(*on), rows.select("hash").distinct(), "hash", "left_semi", hot)
+    return rows.join(near, list(on), "left_anti")
+
+
 def rename_feature(database: Database, name: str, new_name: str) -> Database:
     feature = _feature(database, name)
     check_feature_name(new_name)
@@ -183,7 +190,7 @@ def _upsert(database: Database, features: list[Feature], wide: DataFrame) -> Dat
         for c in database.entities.columns
     ]
     known = database.entities.join(updates, "hash", "left").select(*merged)
-    unknown = updates.join(database.entities.select("hash"), "hash", "left_anti")
+    unknown = _unknown(updates, database.entities)
     inserted = [
         F.col("hash")
         if f.name == "hash"
@@ -204,7 +211,9 @@ def _insert_pairs(database: Database, feature: Feature, rows: DataFrame) -> Data
     rows = rows.select(F.col("hash").cast(hash_type), F.col("value").cast(feature.data_type))
     rows = rows.where(F.col("value").isNotNull()).distinct()
     stored = source.pairs()
-    fresh = rows.join(stored, ["hash", "value"], "left_anti")
+    # hot hashes are known of saved tables; looking for them elsewhere would cost what this saves
+    hot = None if source.hot is None else source.hot_keys("hash")
+    fresh = _unknown(rows, source.rows(), ("hash", "value"), hot)
     added = database.added.get(feature.name)
     added = fresh if added is None else added.unionByName(fresh)
     frame = stored.unionByName(fresh)
@@ -244,6 +253,8 @@ def reset_values(database: Database, name: str, values=None, hashes=None) -> Dat
     entities = database.entities
     column = database.single(name)
     hit = F.lit(True)
+    values = None if values is None else short_list_or_frame(entities, values, name, "value")
+    hashes = None if hashes is None else short_list_or_frame(entities, hashes, "hash", "hash")
     if values is not None:
         if isinstance(values, DataFrame):
             marked = values.select(F.col("value").alias("__value"), F.lit(True).alias("__in_values")).distinct()
@@ -251,14 +262,14 @@ def reset_values(database: Database, name: str, values=None, hashes=None) -> Dat
             entities = spread_join(keyed, marked, "__value", "left", hot_keys(keyed, "__value")).drop("__value")
             hit = hit & F.coalesce(F.col("__in_values"), F.lit(False))
         else:
-            hit = hit & F.coalesce(column.isin(list(values)), F.lit(False))
+            hit = hit & F.coalesce(column.isin(values), F.lit(False))
     if hashes is not None:
         if isinstance(hashes, DataFrame):
             marked = hashes.select("hash", F.lit(True).alias("__in_hashes")).distinct()
             entities = entities.join(marked, "hash", "left")
             hit = hit & F.coalesce(F.col("__in_hashes"), F.lit(False))
         else:
-            hit = hit & F.col("hash").isin(list(hashes))
+            hit = hit & F.coalesce(F.col("hash").isin(hashes), F.lit(False))
     default = F.lit(database.defaults.get(name)).cast(database.entities.schema[name].dataType)
     merged = [
         F.when(hit, default).otherwise(column).alias(name) if c == name else F.col(c)
@@ -270,16 +281,20 @@ def reset_values(database: Database, name: str, values=None, hashes=None) -> Dat
 def _remove_pairs(database: Database, name: str, values, hashes) -> Database:
     source = database.many[name]
     stored = source.pairs()
-    wanted = {c: w for c, w in (("hash", hashes), ("value", values)) if w is not None}
+    wanted = {
+        c: short_list_or_frame(stored, w, c, c) for c, w in (("hash", hashes), ("value", values)) if w is not None
+    }
     if any(isinstance(w, DataFrame) for w in wanted.values()):
         doomed = stored
         for column, some in wanted.items():
             is_frame = isinstance(some, DataFrame)
-            some = some.select(F.col(column).alias("hash")) if is_frame else some
-            doomed = restrict(doomed, some, column, source.hot_keys(column) if is_frame else None)
+            if is_frame:
+                doomed = restrict(doomed, some.select(F.col(column).alias("hash")), column, source.hot_keys(column))
+            else:
+                doomed = doomed.where(F.col(column).isin(some))
         kept = stored.join(doomed, ["hash", "value"], "left_anti")
     else:
-        hits = [F.col(column).isin(list(some)) for column, some in wanted.items()]
+        hits = [F.col(column).isin(some) for column, some in wanted.items()]
         kept = stored.where(~reduce(Column.__and__, hits))
     return database.with_parts(
         many=database.many | {name: Values(kept, unique=True)},

@@ -67,18 +67,26 @@ def restrict(frame: DataFrame, hashes, column: str = "hash", hot: DataFrame | No
     """Keep the rows of given hashes: a short list is a literal filter, a frame a semi join."""
     if hashes is None:
         return frame
+    hashes = short_list_or_frame(frame, hashes, column, "hash")
     if not isinstance(hashes, DataFrame):
-        hashes = list(hashes)
-        field = frame.schema[column].dataType
-        if len(hashes) <= _MAX_LITERALS:
-            return frame.where(F.col(column).isin([F.lit(h).cast(field) for h in hashes]))
-        # ids of any type, cast as the literals are
-        listed = [(None if h is None else str(h),) for h in hashes]
-        hashes = frame.sparkSession.createDataFrame(listed, "hash string").select(F.col("hash").cast(field))
+        return frame.where(F.col(column).isin(hashes))
     wanted = hashes.select(F.col("hash").alias(column)).distinct()
     return spread_join(frame, wanted, column, "left_semi", hot)
 
 
+def short_list_or_frame(frame: DataFrame, values, column: str, name: str) -> list[Column] | DataFrame:
+    """Values to look for in a column: a short list as literals of its type, a long one as a frame with the
+    column ``name``, cast in the same way; a frame stays."""
+    if isinstance(values, DataFrame):
+        return values
+    values = list(values)
+    field = frame.schema[column].dataType
+    if len(values) <= _MAX_LITERALS:
+        return [F.lit(v).cast(field) for v in values]
+    listed = [(None if v is None else str(v),) for v in values]
+    return frame.sparkSession.createDataFrame(listed, f"`{name}` string").select(F.col(name).cast(field))
+
+
 def _renamed(hot: DataFrame | None, old: str, new: str) -> DataFrame | None:
     return None if hot is None else hot.withColumnRenamed(old, new)
 

@@ -13,21 +13,31 @@ from pyspark.sql import types as T
 
 from hashloom.functions.text import COMPRESSED, Contexts, has_suffix
 
+#: Bytes of the longest file that is read as one row; a value of a row cannot hold 2 GB.
+LONGEST = 2_000_000_000
+
 _UNPACK = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".xz": lzma.decompress, ".lzma": lzma.decompress}
 
 
 def scan_instances(spark: SparkSession, root: str, context: str, contexts: Contexts | None = None) -> DataFrame:
     """Files of a context below a folder: path, size, time and content, compressed ones unpacked.
 
-    The name pattern is applied while listing.  A file is one row, so files beyond 2 GB have to be
-    left out by the caller through ``length``; select only path columns where content is not used.
+    The name pattern is applied while listing.  A file is one row, so files too long for one are not among
+    them: ``oversized_instances`` lists these.  Select only path columns where content is not used.
     """
     contexts = contexts or Contexts()
     suffix = contexts.suffix[context]
     packed = ",".join(COMPRESSED[1:])
-    plain = _binary(spark, root, f"*{suffix}")
-    other = _binary(spark, root, f"*{suffix}{{{packed}}}").withColumn("content", unpack("path", "content"))
-    return plain.unionByName(other)
+    plain = _binary(spark, root, f"*{suffix}").where(F.col("length") <= LONGEST)
+    other = _binary(spark, root, f"*{suffix}{{{packed}}}").where(F.col("length") <= LONGEST)
+    return plain.unionByName(other.withColumn("content", unpack("path", "content")))
+
+
+def oversized_instances(spark: SparkSession, root: str, context: str, contexts: Contexts | None = None) -> DataFrame:
+    """The files that ``scan_instances`` leaves out: path, size and time of those too long for one row."""
+    suffix = (contexts or Contexts()).suffix[context]
+    files = _binary(spark, root, f"*{suffix}{{{','.join(COMPRESSED)}}}").drop("content")
+    return files.where(F.col("length") > LONGEST)
 
 
 def _binary(spark: SparkSession, root: str, pattern: str) -> DataFrame:

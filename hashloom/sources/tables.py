@@ -203,13 +203,18 @@ def export_database(database: Database, path: str) -> Database:
 def scan_feature_tables(
     spark: SparkSession,
     path: str,
-    tables: list[str],
+    tables: list[str] | None = None,
     defaults: dict | None = None,
     contexts: Contexts | None = None,
 ) -> Database:
     """A database from plain Parquet folders ``<path>/<table>``: names with a leading underscore
-    are skipped, ``features`` is the entity table, every other table a multi-valued feature."""
+    are skipped, ``features`` is the entity table, every other table a multi-valued feature.
+    Without ``tables`` they are all folders found below the path."""
     contexts = contexts or Contexts()
+    if tables is None:
+        system, place = _file_system(spark, path)
+        found = [entry for entry in system.listStatus(place) if entry.isDirectory()]
+        tables = sorted(entry.getPath().getName() for entry in found)
     frames = {t: spark.read.parquet(f"{path}/{t}") for t in tables if not t.startswith("_")}
     entities = frames.pop(ENTITIES, None)
     if entities is not None:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from hashloom.functions.digest import text_digest
+from hashloom.functions.digest import content_digest, text_digest
 from hashloom.operators import jobs
 from hashloom.plans.namespace import Database, Namespace
 from hashloom.plans.query import select
@@ -38,7 +38,8 @@ _PAGE_TOKENS = TOKENS_SQL.replace("doc_id, ", "url, ").replace("(text", "(html")
     " GROUP BY ALL"
 )
 def register_files(spark, sf_dir):
-    database = jobs.register_files(Database.empty(spark, "web_new", contexts=CONTEXTS), _files(spark, sf_dir))
+    empty = Database.empty(spark, "web_new", contexts=CONTEXTS)
+    database = jobs.register_files(empty, _files(spark, sf_dir), content_digest(F.col("content")))
     parts = [
         database.many[name].pairs().select("hash", F.lit(name).alias("feature"), "value")
         for name in ("local", "filename")

@@ -55,7 +55,7 @@ def scan_feature_tables(spark, sf_dir):
     pairs = lines.select(F.col("l_orderkey").alias("hash"), F.col("l_returnflag").alias("value"))
     pairs.write.parquet(f"{folder}/returnflag")
     pairs.limit(0).write.parquet(f"{folder}/_hidden")
-    database = tables.scan_feature_tables(spark, folder, ["features", "returnflag", "_hidden"], contexts=CONTEXTS)
+    database = tables.scan_feature_tables(spark, folder, contexts=CONTEXTS)
     return select(Namespace([database]), resolve=["o_orderstatus", "returnflag"])
 
 

@@ -197,6 +197,63 @@ def test_instances(spark, tmp_path):
     assert [r.value for r in left.many["local"].pairs().collect()] == [f"{tmp_path}/x.cnf"]
 
 
+def test_long_files_are_listed_apart(spark, tmp_path, monkeypatch):
+    for name, size in (("a.cnf", 3), ("b.cnf", 30), ("c.cnf.gz", 40), ("d.txt", 50)):
+        (tmp_path / name).write_bytes(b"1" * size)
+    monkeypatch.setattr(files, "LONGEST", 10)
+    names = [[r.path.rsplit("/", 1)[1] for r in scan(spark, str(tmp_path), "cnf").select("path").collect()]
+             for scan in (files.scan_instances, files.oversized_instances)]
+    assert names[0] == ["a.cnf"] and sorted(names[1]) == ["b.cnf", "c.cnf.gz"]
+
+
+def test_tables_are_found(spark, frame, tmp_path):
+    frame([("a", "1")]).write.parquet(str(tmp_path / "db" / "tag"))
+    frame([("a", "1")]).write.parquet(str(tmp_path / "db" / "_hidden"))
+    frame([("a", "x")], "hash string, s string").write.parquet(str(tmp_path / "db" / "features"))
+    found = tables.scan_feature_tables(spark, str(tmp_path / "db"))
+    assert sorted(found.features) == ["hash", "s", "tag"]
+
+
+def test_identity_depends_on_context(spark, frame):
+    listed = frame([("/x/a.opb", bytearray(b"x"))], "path string, content binary")
+    empty = Database.empty(spark, "opb_local")
+    with pytest.raises(FeatureError):
+        jobs.register_files(empty, listed)
+    stored = jobs.register_files(empty, listed, F.md5("content"))
+    assert rows_of(stored.many["local"].pairs()) == [("9dd4e461268c8034f5c8564e155c67a6", "/x/a.opb")]
+
+
+def test_insert_reads_stored_pairs_without_shuffle(spark, frame, tmp_path):
+    """The stored side meets the broadcast hashes of the new rows before anything else."""
+    pairs = spark.range(100_000).select(F.col("id").cast("string").alias("hash"), F.lit("1").alias("value"))
+    saved = tables.save_database(Database.of("test", many={"tag": pairs}), str(tmp_path / "db"))
+    frame([("5", "1"), ("5", "2"), ("new", "3")]).write.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        changed = writes.set_values(saved, "tag", spark.read.parquet(str(tmp_path / "rows")))
+        for added in (changed.added["tag"], changed.added["features"]):
+            plan = added._jdf.queryExecution().executedPlan().toString().splitlines()
+            at = next(i for i, line in enumerate(plan) if "BroadcastHashJoin" in line and "LeftSemi" in line)
+            scan = next(i for i, line in enumerate(plan) if i > at and "FileScan" in line)
+            assert not any("Exchange" in line for line in plan[at:scan])
+        assert rows_of(changed.added["tag"]) == [("5", "2"), ("new", "3")]
+        assert hashes_of(changed.added["features"]) == ["new"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lists_of_any_length(frame):
+    """A list of 1,001 texts for a number feature selects as one of 1,000 does."""
+    entities = frame([(1, 1), (2, 2)], "hash bigint, n int")
+    database = Database.of("test", entities, {"tag": frame([(1, 1), (2, 2)], "hash bigint, value int")}, {"n": 0})
+    for size in (1_000, 1_001):
+        listed = ["2", *map(str, range(10_000, 10_000 + size - 1))]
+        assert rows_of(writes.reset_values(database, "n", listed).entities) == [(1, 1), (2, 0)]
+        assert rows_of(writes.reset_values(database, "n", hashes=listed).entities) == [(1, 1), (2, 0)]
+        assert rows_of(writes.reset_values(database, "tag", listed, listed).many["tag"].pairs()) == [(1, 1)]
+        assert hashes_of(select(Namespace([database]), hashes=listed)) == [2]
+
+
 def test_exports(spark, database, tmp_path):
     result = select(Namespace([database]), resolve=["n", "tag"], collapse=None).withColumn("gone", F.lit(None).cast("string"))
     sinks.export_delimited(result, str(tmp_path / "out"), ";", header=True)
