@@ -31,6 +31,8 @@ SILENT_TAGS = frozenset(
     "script style noscript template head title iframe object svg math canvas audio video button input select option"
     " textarea datalist".split()
 )
+#: All that a head may hold; its end tag may be omitted, so whatever else comes ends an open head.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements and words of class, id and role that tell what a part of a page is for.
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILERPLATE_TAGS = frozenset("nav aside footer form menu dialog".split())
@@ -52,8 +54,9 @@ class _Blocks(HTMLParser):
     """The text blocks of a page in order, each with what its ancestors say about it.
 
     Open elements are kept as a stack; an end tag closes up to its element, one without is ignored, a new
-    paragraph or list item closes an open one.  Every element knows the state it hands down, so deep
-    nesting costs nothing extra.
+    paragraph or list item closes an open one, and what can't be in a head closes an open head.  Every
+    element knows the state it hands down, so deep nesting costs nothing extra.  Classes of html and body
+    name what a page has, not what the whole of it is for: they make nothing boilerplate or a site header.
     """
 
     def __init__(self):
@@ -76,7 +79,13 @@ class _Blocks(HTMLParser):
             self._lowest = self._depth
         self._parts, self._linked = [], 0
 
+    def _end_head(self) -> None:
+        while any(open_[0] == "head" for open_ in self._stack):
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or (self._stack[-1][0] == "head" and tag not in HEAD_TAGS):
+            self._end_head()
         if tag in VOID_TAGS:
             if tag == "br":
                 self._parts.append(" ")
@@ -93,8 +102,9 @@ class _Blocks(HTMLParser):
         named = " ".join(value for key, value in attrs if key in ("class", "id", "role") and value)
         words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())) if named else frozenset()
         content = tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
-        boilerplate = tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS)
-        header = (tag == "header" or "header" in words) and not top[3]
+        page = tag in ("html", "body")
+        boilerplate = tag in BOILERPLATE_TAGS or (not page and bool(words & BOILERPLATE_WORDS))
+        header = (tag == "header" or (not page and "header" in words)) and not top[3]
         hidden = any(key == "hidden" or (key == "aria-hidden" and value == "true") for key, value in attrs)
         self._elements += 1
         self._stack.append(
@@ -134,6 +144,8 @@ class _Blocks(HTMLParser):
                 return  # a stray inline end tag doesn't reach beyond its section
 
     def handle_data(self, data: str) -> None:
+        if self._stack[-1][0] == "head" and data.strip(" \t\n\f\r"):
+            self._end_head()
         top = self._stack[-1]
         if top[2]:
             return

@@ -219,6 +219,36 @@ def test_pages(spark):
     assert html_text.main_texts(spark.createDataFrame([], schema)).count() == 0
 
 
+HEAD = "<title>Title</title><meta charset=utf-8><script>var a = '<p>';</script>"
+ARTICLE = "<article><h1>Heading</h1><p>A sentence of the article.</p><p>And one more of it.</p></article>"
+ASIDE = "<nav><a href=/>Home</a></nav>{}<div class='sidebar'><p>Nice, thanks a lot!</p></div>"
+
+
+@pytest.mark.parametrize("article", [ARTICLE, ARTICLE.replace("article>", "main>"), f"<div>{ARTICLE}</div>"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head>{head}</head><body>{body}</body></html>",
+        "<html><head>{head}<body>{body}</body></html>",
+        "<html><head>{head}{body}</html>",
+        "<head>{head}<noscript><p>Silent.</p><body>{body}",
+        "<html><head>{head}</head><body class='home has-sidebar'>{body}</body></html>",
+        "<html class='cookie-banner'><head>{head}<body id=navigation class='site-header' role=search>{body}",
+    ],
+)
+def test_heads_without_end_and_words_of_the_whole_page(page, article):
+    html = page.format(head=HEAD, body=ASIDE.format(article))
+    assert html_text.extract(html) == "Heading\n\nA sentence of the article.\n\nAnd one more of it."
+
+
+def test_text_ends_a_head():
+    plain = "Some plain sentence of many words in the page itself, right here."
+    assert html_text.extract(f"<html><head> {HEAD}\n{plain}</html>") == plain
+    assert html_text.extract(f"<html><head> {HEAD}\n</html>") == ""
+    # words of the body don't make its blocks a site header
+    assert html_text.extract(f"<body class='sticky-header'><div>{plain}</div>") == plain
+
+
 def test_minimum_cut():
     rng = random.Random(3)
     for _ in range(100):
