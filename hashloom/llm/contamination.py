@@ -156,11 +156,11 @@ class Segment:
 # -- asking it -----------------------------------------------------------------------------------
 
 
-def _item_passes(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _item_passes(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks of bounded size: (item_id as text, words); items without words are left out."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for row in rows.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).toLocalIterator():
+    for row in rows.where(F.col("text").isNotNull()).toLocalIterator():
         listed = item_words(row["text"].encode())
         if listed:
             block.append((row["item_id"], listed))
@@ -259,8 +259,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     occurring windows sorted as strings, near_items those with a proximity match (``span`` > 0).  A null
     or empty text has no words; a null doc_id is a document as any other; rows that repeat a doc_id are
     counted as one document.  Items of fewer words than the width are one window, items without words
-    are left out, equal windows of several items hit for all of them.  Empty tables give no rows or no
-    hits.  Documents without a match keep their row.
+    are left out, equal windows of several items hit for all of them.  Items with a null id are searched
+    as any other and are together one item: the null in the first place of items or near_items, counted
+    in n_items.  Empty tables give no rows or no hits.  Documents without a match keep their row.
     """
     found = written(matches(build_index(documents), benchmark, width, span), "benchmark-matches")
     prepared(documents.sparkSession)
@@ -269,9 +270,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     inside = exact.select("doc_id", F.explode(F.expr("sequence(start, start + length - 1)")).alias("at"))
     hit = inside.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
     listed = found.select("doc_id", "near", F.explode("items").alias("item")).distinct()
+    # Lists leave nulls out: a null id goes in as a struct.
+    held = F.struct("item")
     named = listed.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("item")))).alias("items"),
-        F.sort_array(F.collect_list(F.when(F.col("near"), F.col("item")))).alias("near_items"),
+        F.sort_array(F.collect_list(F.when(~F.col("near"), held))["item"]).alias("items"),
+        F.sort_array(F.collect_list(F.when(F.col("near"), held))["item"]).alias("near_items"),
     )
     nothing = F.array().cast("array<string>")
     joined = clean

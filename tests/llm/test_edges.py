@@ -150,6 +150,28 @@ def test_contamination(docs, bench):
         assert not by[3].contaminated and by[1].near_items == ["1"]
 
 
+def test_contamination_by_items_without_id(spark, tmp_path):
+    import duckdb
+
+    texts = ["x a b c d e f g h i j y", "x", "k l m", "k l m a b c d e f g h i j"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(None, "a b c d e f g h i j"), (None, "k l m"), (5, "k l m")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = contamination.contamination(frame, bench, span=4).collect()
+    got = {r.doc_id: (r.n_hit, r["items"], r.n_items, r.contaminated, r.near_items) for r in rows}
+    assert got == {
+        0: (10, [None], 1, True, []),
+        1: (0, [], 0, False, []),
+        2: (3, [None, "5"], 2, True, [None, "5"]),
+        3: (13, [None, "5"], 2, True, [None, "5"]),
+    }
+    for name, table in (("documents", frame), ("benchmark", bench)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = contamination.op3_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(duckdb.sql(contamination.SQL).fetchall())
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs, shards=3).collect()
     assert len(rows) == count(docs)
