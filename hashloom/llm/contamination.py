@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import batches_of, packed, packed_sorted, prepared, table, texts, unpacked, written
+from hashloom.llm.common import BATCH_ROWS, batches_of, filesystem, packed, prepared, table, texts, unpacked
+from hashloom.llm.common import working_folder, written
 from hashloom.llm.registry import query
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
 #: Documents of one segment of the index.
 SEGMENT_DOCUMENTS = 512
-#: Words of benchmark items that one pass over the index carries; more items take more passes.
-PASS_WORDS = 500_000
+#: Words of windows of benchmark items that a task holds at a time.
+BLOCK_WORDS = 500_000
 #: Words between two documents of a segment, more than any window or span is wide.
 GAP = 1 << 16
 
@@ -156,103 +157,175 @@ class Segment:
 # -- asking it -----------------------------------------------------------------------------------
 
 
-def _item_passes(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in blocks of bounded size: (item_id as text, words); items without words are left out."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for row in rows.where(F.col("text").isNotNull()).toLocalIterator():
-        listed = item_words(row["text"].encode())
-        if listed:
-            block.append((row["item_id"], listed))
-            size += len(listed)
-        if size >= PASS_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _windows(items: list[tuple[str, list[bytes]]], width: int) -> dict[tuple[bytes, ...], list[int]]:
-    found: dict[tuple[bytes, ...], list[int]] = {}
-    for number, (_, listed) in enumerate(items):
-        for at in range(max(1, len(listed) - width + 1)):
-            owners = found.setdefault(tuple(listed[at : at + width]), [])
-            if not owners or owners[-1] != number:
-                owners.append(number)
+WINDOWS, TERMS = "item string, term binary, window binary", "item string, terms binary"
+
+
+def _windows(width: int, rows: int):
+    """The distinct windows of each item, their words joined by a blank, with the longest word of each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for name, text in zip(batch.column("item_id").to_pylist(), texts(batch)):
+                listed = item_words(text)
+                count = max(1, len(listed) - width + 1) if listed else 0
+                for low in range(0, count, rows):
+                    found = dict.fromkeys(tuple(listed[at : at + width]) for at in range(low, min(count, low + rows)))
+                    held.extend((name, max(window, key=len), b" ".join(window)) for window in found)
+                    if len(held) >= rows:
+                        yield _table(held, WINDOWS)
+                        held = []
+        if held:
+            yield _table(held, WINDOWS)
+
+    return cut
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item, joined by a blank."""
+    for batch in batches:
+        named = zip(batch.column("item_id").to_pylist(), map(item_words, texts(batch)))
+        yield _table([(name, b" ".join(dict.fromkeys(listed))) for name, listed in named if listed], TERMS)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    arrays = [pa.array([row[at] for row in rows], types[kind]) for at, (_, kind) in enumerate(fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+class _Blocks:
+    """The rows of a table of the shared folder in blocks of so many rows; a table of one block is kept."""
+
+    def __init__(self, folder: str, rows: int, parse: Callable[[pa.RecordBatch], list | dict]):
+        self._folder, self._rows, self._parse, self._kept = folder, rows, parse, None
+
+    def __iter__(self) -> Iterator[list | dict]:
+        if self._kept is not None:
+            yield from self._kept
+            return
+        kept, count = [], 0
+        for block in self._read():
+            parsed = self._parse(block)
+            count += block.num_rows
+            if count <= self._rows:
+                kept.append(parsed)
+            else:
+                kept = []
+            yield parsed
+        if count <= self._rows:
+            self._kept = kept
+
+    def _read(self) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        system, inside = filesystem(self._folder)
+        names = sorted(info.path for info in system.get_file_info(fs.FileSelector(inside)))
+        for name in names:
+            if name.rpartition("/")[2].startswith("part-"):
+                with system.open_input_file(name) as source:
+                    yield from parquet.ParquetFile(source, pre_buffer=False).iter_batches(batch_size=self._rows)
+
+
+def _by_term(block: pa.RecordBatch) -> dict[bytes, dict[bytes, list[str | None]]]:
+    """term -> window -> the items that have it."""
+    found: dict[bytes, dict[bytes, list[str | None]]] = {}
+    for name, term, window in zip(*(block.column(key).to_pylist() for key in ("item", "term", "window"))):
+        found.setdefault(term, {}).setdefault(window, []).append(name)
     return found
 
 
-_HIT_ROW = "doc_id long, n_words long, start long, length int, items array<string>, near boolean"
+def _by_item(block: pa.RecordBatch) -> list[tuple[str | None, bytes]]:
+    return list(zip(block.column("item").to_pylist(), block.column("terms").to_pylist()))
+
 
+_HIT_ROW = "doc_id long, n_words long, start long, length int, items array<string>, near boolean"
 
-def _matches(items: list[tuple[str, list[bytes]]], width: int, span: int, first: bool):
-    windows = _windows(items, width)
-    names = [name for name, _ in items]
-    needed: dict[bytes, list[tuple[bytes, ...]]] = {}
-    for window in windows:
-        needed.setdefault(max(window, key=len), []).append(window)
 
+def _matches(windows: str, rows: int, terms: str | None, span: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = _Blocks(windows, rows, _by_term)
+        items = _Blocks(terms, BATCH_ROWS, _by_item) if terms else ()
         for batch in batches:
             for row in batch.to_pylist():
                 segment = Segment(row)
-                out: dict[str, list] = {key: [] for key in ("doc", "start", "length", "items", "near")}
-                if first:  # every document once, with its number of words
-                    n = len(segment.documents)
-                    for key, value in (("doc", range(n)), ("start", [0] * n), ("length", [0] * n)):
-                        out[key].extend(value)
-                    out["items"].extend([[]] * n)
-                    out["near"].extend([False] * n)
-                for term, listed in needed.items():
-                    if not segment.count(term):
-                        continue  # a window without one of its terms occurs nowhere here
-                    for window in listed:
-                        starts = segment.phrase(window)
-                        if len(starts):
-                            doc = segment.document_of(starts)
-                            out["doc"].extend(doc.tolist())
-                            out["start"].extend((starts - segment.starts[doc]).tolist())
-                            out["length"].extend([len(window)] * len(starts))
-                            out["items"].extend([[names[i] for i in windows[window]]] * len(starts))
-                            out["near"].extend([False] * len(starts))
-                if span:
-                    for name, listed in items:
-                        centres = segment.near(tuple(listed), span)
-                        for doc in np.unique(segment.document_of(centres)).tolist():
-                            for key, value in zip(out, (doc, 0, 0, [name], True)):
-                                out[key].append(value)
-                doc = np.array(out["doc"], dtype=np.int64)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(segment.documents[doc], mask=segment.nulls[doc]),
-                        "n_words": segment.lengths[doc],
-                        "start": pa.array(out["start"], pa.int64()),
-                        "length": pa.array(out["length"], pa.int32()),
-                        "items": pa.array(out["items"], pa.list_(pa.string())),
-                        "near": pa.array(out["near"], pa.bool_()),
-                    }
-                )
+                n = len(segment.documents)  # every document once, with its number of words
+                yield _hits(segment, list(range(n)), [0] * n, [0] * n, [[]] * n, False)
+                for block in listed:
+                    yield from _phrases(segment, block)
+                for block in items:
+                    for name, joined in block:
+                        centres = segment.near(tuple(joined.split(b" ")), span)
+                        docs = np.unique(segment.document_of(centres)).tolist()
+                        if docs:
+                            nothing = [0] * len(docs)
+                            yield _hits(segment, docs, nothing, nothing, [[name]] * len(docs), True)
 
     return ask
 
 
-def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int = 0) -> DataFrame:
+def _phrases(segment: Segment, block: dict[bytes, dict[bytes, list[str | None]]]) -> Iterator[pa.RecordBatch]:
+    """The occurrences of a block's windows in a segment."""
+    docs, at, lengths, names = [], [], [], []
+    for term, windows in block.items():
+        if not segment.count(term):
+            continue  # a window without one of its terms occurs nowhere here
+        for window, owners in windows.items():
+            phrase = tuple(window.split(b" "))
+            starts = segment.phrase(phrase)
+            if len(starts):
+                doc = segment.document_of(starts)
+                docs.extend(doc.tolist())
+                at.extend((starts - segment.starts[doc]).tolist())
+                lengths.extend([len(phrase)] * len(starts))
+                names.extend([owners] * len(starts))
+    if docs:
+        yield _hits(segment, docs, at, lengths, names, False)
+
+
+def _hits(segment: Segment, docs: list, starts: list, lengths: list, names: list, near: bool) -> pa.RecordBatch:
+    doc = np.array(docs, dtype=np.int64)
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": pa.array(segment.documents[doc], mask=segment.nulls[doc]),
+            "n_words": segment.lengths[doc],
+            "start": pa.array(starts, pa.int64()),
+            "length": pa.array(lengths, pa.int32()),
+            "items": pa.array(names, pa.list_(pa.string())),
+            "near": pa.array([near] * len(docs), pa.bool_()),
+        }
+    )
+
+
+def matches(
+    index: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int = 0, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """Matches of the items' windows in the indexed documents.
 
     Rows: doc_id, n_words, start, length (a window's occurrence), items (whose windows it is), near.
     Each document has one row of length 0 beside its matches.  With ``span`` there are also rows with
     ``near``: documents where all words of an item lie within ``span`` words of its rarest one.
-    The items go over the index in passes of bounded size; segments are asked where they lie.
-    """
-    prepared(index.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = None
-    for block in _item_passes(benchmark):
-        part = index.mapInArrow(_matches(block, width, span, found is None), _HIT_ROW)
-        found = part if found is None else found.unionByName(part)
-    return index.mapInArrow(_matches([], width, span, True), _HIT_ROW) if found is None else found
-
 
-def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int = 0) -> DataFrame:
+    Tasks cut the items into windows and write them to the shared folder; no item reaches the driver.
+    Segments are asked where they lie, once: their tasks read the windows in blocks of ``block_words``
+    words, again for each segment unless all are one block.  A window that lies in several blocks is
+    found again with the items of each.
+    """
+    spark, rows = index.sparkSession, max(1, block_words // width)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    windows = working_folder(prepared(spark), "benchmark-windows")
+    items.mapInArrow(_windows(width, rows), WINDOWS).write.parquet(windows)
+    terms = working_folder(spark, "benchmark-terms") if span else None
+    if terms:
+        items.mapInArrow(_terms, TERMS).write.parquet(terms)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    return index.mapInArrow(_matches(windows, rows, terms, span), _HIT_ROW)
+
+
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int = 0, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, contaminated, near_items.
 
     n_hit counts the words inside any occurrence of a window of any item, items lists the items with
@@ -263,7 +336,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     as any other and are together one item: the null in the first place of items or near_items, counted
     in n_items.  Empty tables give no rows or no hits.  Documents without a match keep their row.
     """
-    found = written(matches(build_index(documents), benchmark, width, span), "benchmark-matches")
+    found = written(matches(build_index(documents), benchmark, width, span, block_words), "benchmark-matches")
     prepared(documents.sparkSession)
     clean = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     exact = found.where(F.col("length") > 0)

@@ -172,6 +172,31 @@ def test_contamination_by_items_without_id(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(duckdb.sql(contamination.SQL).fetchall())
 
 
+@pytest.mark.parametrize("block_words", [1, 40, 500_000])
+def test_contamination_keeps_the_benchmark_off_the_driver(spark, monkeypatch, block_words):
+    """Long items, windows of several items and repeated ones, in blocks of any size, against plain search."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    items = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 3, 4, 5, 9, 200)] + ["a b c a", "c a b c a"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    with monkeypatch.context() as patched:
+        for name in ("toLocalIterator", "collect", "toPandas", "toArrow", "take"):
+            patched.setattr(type(frame), name, lambda *_, **__: pytest.fail("rows on the driver"))
+        found = contamination.contamination(frame, bench, width=4, block_words=block_words)
+    want = {}
+    for i, words in enumerate(map(str.split, texts)):
+        hit, names = set(), set()
+        for item, listed in enumerate(map(str.split, items)):
+            for at in range(max(1, len(listed) - 3) if listed else 0):
+                part = listed[at : at + 4]
+                starts = [s for s in range(len(words) - len(part) + 1) if words[s : s + len(part)] == part]
+                hit.update(s + k for s in starts for k in range(len(part)))
+                names.update([str(item)] if starts else [])
+        want[i] = (len(words), len(hit), sorted(names))
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()} == want
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs, shards=3).collect()
     assert len(rows) == count(docs)
