@@ -177,6 +177,16 @@ def _labelled(frame: DataFrame, labels: DataFrame | None, rep: str, name: str) -
     return joined.withColumn(name, F.coalesce("_label", rep)).drop("_end", "_label")
 
 
+def _centres(active: DataFrame, centres: int) -> DataFrame:
+    """The first rows of every bucket, ``centres`` at most: each task passes on that many of its own rows of a key.
+
+    The order is total, so every plan that asks has the same centres.
+    """
+    active.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str((1 << 31) - 1))
+    order = Window.partitionBy("key").orderBy("size", "rep", "spare")
+    return active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres).drop("_rank")
+
+
 def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | None:
     """Components of the representatives (rep, component), or None if there are no links.
 
@@ -187,6 +197,7 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     Members of small components are centres first: once they are retired, a bucket of one large component is done.
     Rounds go on, with eight times as many centres each, until no bucket is left: all pairs of a bucket have then
     been compared, or are in one component anyway, so no link that could join two components is missed.
+    No task holds a bucket to rank it: the centres are picked per task first, the others are what an anti join leaves.
     In the first round each member asks its smallest centre first, and the others only if still apart.
     """
     keyed = representatives.select("rep", _keys("signature", "rep"))
@@ -199,8 +210,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     sets = written(sources.mapInArrow(_sets, "rep long, members array<long>"), "near-sets")
     links, labels, centres = None, None, 1
     while not active.isEmpty():
-        order = Window.partitionBy("key").orderBy("size", "rep")
-        first = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres).drop("_rank")
+        first = _centres(active, centres)
+        retired = first.select("key", "rep", "spare")
         first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
         apart = (F.col("rep") != F.col("_rep")) & (F.col("spare") != F.col("_spare"))
         apart = apart & _split_by_size("n", "_n") & _alike("_")
@@ -219,8 +230,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(components(links), "near-components")
-        rest = active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") > centres)
-        rest = _labelled(rest.drop("_rank", "component", "size"), labels, "rep", "component")
+        rest = active.join(retired, ["key", "rep", "spare"], "left_anti")
+        rest = _labelled(rest.drop("component", "size"), labels, "rep", "component")
         if labels is None:
             rest = rest.withColumn("size", F.lit(1).cast("long"))
         else:

@@ -106,6 +106,32 @@ def test_near_pairs_are_due_in_few_keys(spark):
     assert sum(row.spares == 2 for row in counts) == near.CHUNKS - 1
 
 
+def test_near_ranks_no_whole_bucket(spark, monkeypatch):
+    """Texts with a common passage share buckets over several rounds; every ranking is limited per task first."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} " + " ".join(f"u{i}x{k}" for k in range(20)) for i in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans, write = [], near.written
+
+    def written(frame, purpose):
+        plans.append((purpose, frame._jdf.queryExecution().executedPlan().toString()))
+        return write(frame, purpose)
+
+    monkeypatch.setattr(near, "written", written)
+    assert {r.component_id for r in near.near_duplicates(frame).collect()} == set(range(120))
+    assert sum(purpose == "near-buckets" for purpose, _ in plans) > 3
+    for _, plan in plans:
+        assert len(re.findall(r"\bWindow \[", plan)) * 2 == len(re.findall(r"\bWindowGroupLimit \[", plan))
+
+
+def test_centres_are_the_first_of_every_bucket(spark):
+    rows = [(k, r, r * k % 5, r * k % 7 + 1) for k in range(5) for r in range(1, 1500 if k == 1 else 30)]
+    active = spark.createDataFrame(rows, "key long, rep long, spare long, size long").repartition(5)
+    for centres in (1, 8, 1200):
+        want = {row for k in range(5) for row in sorted((x for x in rows if x[0] == k), key=lambda x: (x[3], x[1]))[:centres]}
+        assert {tuple(r) for r in near._centres(active, centres).collect()} == want
+
+
 def test_near_equals_all_pairs(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(300)]
