@@ -134,3 +134,58 @@ def test_pipeline_stages_keep_what_they_decide(spark, connection):
     assert fourth == {r.doc_id for r in query(spark, 3)[1].collect() if not r.contaminated}
     packed = pipeline.run(spark, SF_DIR)
     assert {r.doc_id for r in packed.select("doc_id").collect()} <= good
+
+
+def one_of_each_text(texts):
+    return {max(i for i in texts if texts[i] == text): text for text in set(texts.values())}
+
+
+def one_of_each_component(texts):
+    sets, first = {}, {i: i for i in texts}
+    for i, text in texts.items():
+        words = re.sub(r"[A-Z]", lambda m: m[0].lower(), text).encode().split()
+        sets[i] = {tuple(words[at : at + 5]) for at in range(max(1, len(words) - 4))} if words else set()
+    changed = True
+    while changed:
+        changed = False
+        for a in texts:
+            for b in texts:
+                common, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+                if first[a] < first[b] and union and 100 * common >= 75 * union:
+                    first[b], changed = first[a], True
+    return {i: text for i, text in texts.items() if first[i] == i}
+
+
+def without_windows(texts, items, width=10):
+    def folded(text):
+        return f" {' '.join(re.sub(rb'[^a-z0-9\x80-\xff]+', b' ', text.encode().lower()).decode().split(' '))} "
+
+    windows = set()
+    for words in (folded(item).split(" ")[1:-1] for item in items):
+        words = [word for word in words if word]
+        windows |= {" ".join(words[at : at + width]) for at in range(max(1, len(words) - width + 1))} if words else set()
+    return {i: text for i, text in texts.items() if not any(f" {w} " in folded(text).replace("  ", " ") for w in windows)}
+
+
+def test_pipeline_equals_plain_stages(spark):
+    import corpus_pipeline as pipeline
+    from hashloom.llm.packing import tokenizer_path
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    items = [r.text or "" for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text or "" for r in pipeline.quality(spark, docs, SF_DIR).collect()}
+    left = [texts, one_of_each_text(texts)]
+    left.append(one_of_each_component(left[-1]))
+    left.append(without_windows(left[-1], items))
+    assert docs.count() > len(left[0]) and len(left[-1]) > 0
+    tokenizer, want = Tokenizer.from_file(tokenizer_path()), {}
+    for doc_id, text in left[-1].items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            want[doc_id, piece] = (start, len(part), zlib.crc32(part.tobytes()))
+    rows = pipeline.run(spark, SF_DIR).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want), [
+        len(stage) for stage in left
+    ]
