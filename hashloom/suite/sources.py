@@ -89,12 +89,50 @@ def merge_csv(spark, sf_dir):
 
 @query("SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def scan_instances(spark, sf_dir):
-    """All texts as files of a folder tree, listed with their sizes; contents are not read."""
+    """All texts as plain and compressed files of a folder tree, read back and unpacked.
+
+    A file holds a thousand texts at most.  Spark's writer has no xz: tasks write these files, a retried
+    one the same bytes under the same name.
+    """
     folder = working_folder(spark, "instances")
-    table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").text(folder)
+    rows = table(spark, sf_dir, "documents").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("kind"))
+    for kind, codec in enumerate(("none", "gzip", "bzip2")):
+        part = rows.where(F.col("kind") == kind).drop("kind").write.partitionBy("lang")
+        part.option("compression", codec).option("maxRecordsPerFile", 1000).text(f"{folder}/{codec}")
+    rows.where("kind = 3").select("lang", "text").mapInArrow(_xz_files(f"{folder}/xz"), "path string").count()
     found = files.scan_instances(spark, folder, "doc", CONTEXTS)
     lang = F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang")
-    return found.groupBy(lang).agg(F.sum("length").alias("bytes"))
+    return found.select(lang, F.length("content").alias("n")).groupBy("lang").agg(F.sum("n").alias("bytes"))
+
+
+def _xz_files(folder: str):
+    """Write the texts of each batch, a line each, as one xz file a language."""
+
+    def write(batches):
+        import lzma
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        root = re.sub(r"^file:/+", "/", folder)
+        system, root = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                lines: dict = {}
+                for row in batch.slice(low, 1000).to_pylist():
+                    lines.setdefault(row["lang"], []).append((row["text"] or "").encode() + b"\n")
+                for lang, listed in lines.items():
+                    path = f"{root}/lang={lang}/{task}-{number}.txt.xz"
+                    system.create_dir(path.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(path) as out:
+                        out.write(lzma.compress(b"".join(listed), preset=1))
+                    yield pa.RecordBatch.from_pydict({"path": [path]})
+                number += 1
+
+    return write
 
 
 @query("SELECT doc_id AS hash, lang FROM documents SEMI JOIN labels USING (doc_id) WHERE lang <> 'en'")

@@ -274,3 +274,19 @@ def test_exports(spark, database, tmp_path):
 def test_contexts():
     contexts = Contexts()
     assert contexts.suffixes("kis") == [".kis", ".kis.gz", ".kis.lzma", ".kis.xz", ".kis.bz2"]
+
+
+def test_scanned_instances_are_read_from_files_of_all_kinds(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from hashloom.suite import sources
+
+    folder = str(tmp_path / "instances")
+    monkeypatch.setattr(sources, "working_folder", lambda *_: folder)
+    listed = sources.scan_instances(spark, "/root/testdata/sf0.001").collect()
+    found = files.scan_instances(spark, folder, "doc", sources.CONTEXTS).select("path", "content").collect()
+    assert {r.path.partition(".txt")[2] for r in found} == {"", ".gz", ".bz2", ".xz"}
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    lines = Counter(line for r in found for line in bytes(r.content).split(b"\n")[:-1])
+    assert lines == Counter(line for text in texts for line in text.encode().split(b"\n"))
+    assert sum(r.bytes for r in listed) == sum(len(r.content) for r in found)
