@@ -26,10 +26,10 @@ def documents(spark):
 
 def test_every_number_is_registered():
     names = {int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in entry_module.queries()) if m}
-    assert names == set(range(1, 11)) and "pipeline" in entry_module.queries()
+    assert names == set(range(1, 14)) and "pipeline" in entry_module.queries()
 
 
-@pytest.mark.parametrize("number", [2, 3, 6, 7])
+@pytest.mark.parametrize("number", [2, 3, 6, 7, 12, 13])
 def test_equals_sql(spark, connection, number):
     name, _ = query(spark, number)
     assert compare(spark, connection, SF_DIR, name) is None
