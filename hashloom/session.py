@@ -41,7 +41,26 @@ def working_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(f"set {_CHECKPOINT} to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="hashloom-")
         spark.conf.set(_CHECKPOINT, root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, root).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path as its object."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark itself reads and writes it by, so that tasks that open files
+    themselves go to the same store.  Only paths of the local scheme stand for the disk of a machine."""
+    system, place = file_system(spark, path)
+    return system.makeQualified(place).toString()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate folder that no frame reads any more."""
+    system, place = file_system(spark, path)
+    system.delete(place, True)
 
 
 def written(frame, purpose: str):

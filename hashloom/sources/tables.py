@@ -5,24 +5,33 @@ per version: one row per table, naming its files, buckets and features.  A file
 after the version and created only if it does not exist, makes a version visible.  Opening reads the
 log of the newest version.  Nothing that a version refers to is ever
 overwritten, so a database can be saved while it is being read, and a save that dies before its
-last step leaves the version before it in place.  The second of
-two writers is refused.
+last step leaves the version before it in place.  A writer that dies while
+it makes its version visible leaves an unfinished commit file, whose number the next writer passes over.  The second of
+two writers is refused.  That needs a store that creates a file for one of two callers only, as local disks
+and HDFS do; on others writers need a lock of their own.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.text import Contexts, database_name_of
 from hashloom.operators.skew import hot_counts
 from hashloom.plans.namespace import BASE, ENTITIES, Database, FeatureError, Namespace, Values
+from hashloom.session import file_system
 
 _WRITERS = 8
+#: Commit files that are looked at first; older ones matter only if none of these is finished.
+_RECENT = 8
+#: So long a commit file may be unfinished before its writer is taken for dead.
+WAIT_SECONDS = 10.0
 _LOG_SCHEMA = (
     "version bigint, database string, context string, table string, position int, "
     "defaults string, hot string, files array<string>, buckets int, note string"
@@ -33,50 +42,87 @@ class StaleHandleError(FeatureError):
     """Another version was saved since the database was opened."""
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def _commits(spark: SparkSession, path: str, last: int | None = None) -> dict[int, str]:
-    """The log folder of each version, or of the ``last`` ones.  A commit file without its whole
-    line is not finished."""
-    system, place = _file_system(spark, f"{path}/commits")
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of all commit files, finished or not."""
+    system, place = file_system(spark, f"{path}/commits")
     if not system.exists(place):
-        return {}
-    files = sorted(str(entry.getPath()) for entry in system.listStatus(place))[-(last or 0) :]
-    rows = spark.read.text(files).select("value", F.col("_metadata.file_name").alias("name")) if files else None
-    found = [] if rows is None else rows.where(F.col("value").startswith("log/")).collect()
-    return {int(row["name"]): row["value"] for row in found}
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(place)]
+    return sorted(int(name) for name in names if name.isdigit())
 
 
-def _commit(spark: SparkSession, path: str, version: int, log: str) -> None:
-    """Make a version visible by creating the file named after it, which must not exist yet."""
-    system, place = _file_system(spark, f"{path}/commits/{version:010d}")
+def _finished(spark: SparkSession, path: str, numbers: list[int]) -> dict[int, str]:
+    """The log folder of each version among the numbers.  A commit file without its whole line is not
+    finished: its writer is at work, or died."""
+    if not numbers:
+        return {}
+    rows = spark.read.text([f"{path}/commits/{number:010d}" for number in numbers], wholetext=True)
+    rows = rows.select("value", F.col("_metadata.file_name").alias("name")).collect()
+    whole = {int(r["name"]): r["value"] for r in rows if r["value"].startswith("log/") and r["value"].endswith("\n")}
+    return {number: line.rstrip("\n") for number, line in whole.items()}
+
+
+def _settled(spark: SparkSession, path: str, numbers: list[int]) -> bool:
+    """Whether any of the commit files gets finished; one that isn't after WAIT_SECONDS belongs to a
+    writer that died."""
+    while numbers and not _finished(spark, path, numbers):
+        system, _ = file_system(spark, path)
+        places = [file_system(spark, f"{path}/commits/{number:010d}")[1] for number in numbers]
+        age = time.time() - max(system.getFileStatus(place).getModificationTime() for place in places) / 1000
+        if age >= WAIT_SECONDS:
+            return False
+        time.sleep(min(0.5, WAIT_SECONDS))
+    return bool(numbers)
+
+
+def _commit(spark: SparkSession, path: str, version: int, log: str, skipped: tuple[int, ...] = ()) -> None:
+    """Make a version visible by creating the file named after it, which must not exist yet.
+
+    ``skipped`` are the unfinished numbers since the version that this one follows.  Their writers are taken for dead;
+    should one be late instead, either it finds this version when it has finished, or this writer
+    finds its file finished before writing its own line.  One of the two is then refused.
+    """
+    system, place = file_system(spark, f"{path}/commits/{version:010d}")
     try:
         out = system.create(place, False)
-    except Exception as error:  # noqa: BLE001 - any file system's own exception
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
         raise StaleHandleError(f"version {version} of {path} was saved by another writer") from error
+    if _finished(spark, path, list(skipped)):
+        out.close()
+        raise StaleHandleError(f"another writer of {path} came in before version {version}")
     out.write(bytearray(f"{log}\n".encode()))
     out.close()
+    later = [number for number in _numbers(spark, path) if number > version]
+    if _settled(spark, path, later):
+        raise StaleHandleError(f"version {version} of {path} came too late, {max(later)} was saved")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
     """The registry of all versions, or None before the first save."""
-    folders = list(_commits(spark, path).values())
+    folders = list(_finished(spark, path, _numbers(spark, path)).values())
     return spark.read.schema(_LOG_SCHEMA).parquet(*[f"{path}/{log}" for log in folders]) if folders else None
 
 
 def _newest(spark: SparkSession, path: str) -> list:
     """The rows of the newest version: one per table of the database.  No other version's are read."""
-    commits = _commits(spark, path, last=2)
-    if not commits:
+    numbers = _numbers(spark, path)
+    finished = _finished(spark, path, numbers[-_RECENT:]) or _finished(spark, path, numbers)
+    if not finished:
         return []
-    log = spark.read.schema(_LOG_SCHEMA).parquet(f"{path}/{commits[max(commits)]}")
+    log = spark.read.schema(_LOG_SCHEMA).parquet(f"{path}/{finished[max(finished)]}")
     return log.orderBy("position").collect()
 
 
+def _next_version(spark: SparkSession, path: str, newest: int) -> tuple[int, tuple[int, ...]]:
+    """The first free number, and the unfinished ones between it and the newest version, settled."""
+    used = [number for number in _numbers(spark, path) if number > newest]
+    if _settled(spark, path, used):
+        raise StaleHandleError(f"version {max(used)} of {path} was just saved by another writer")
+    return max([newest, *used]) + 1, tuple(used)
+
+
 def open_database(spark: SparkSession, path: str, contexts: Contexts | None = None) -> Database:
     """Open a saved database."""
     rows = _newest(spark, path)
@@ -141,10 +187,11 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
     """
     spark = database.entities.sparkSession
     rows = _newest(spark, path)
-    version = rows[0].version + 1 if rows else 1
+    newest = rows[0].version if rows else 0
     root, base = database.files.get(BASE, (None, 0))
-    if root == path and base != version - 1:
-        raise StaleHandleError(f"version {version - 1} of {path} was saved since version {base} was opened")
+    if root == path and base != newest:
+        raise StaleHandleError(f"version {newest} of {path} was saved since version {base} was opened")
+    version, skipped = _next_version(spark, path, newest)
     had_buckets = {tuple(row.files): row.buckets for row in rows}
     folder = f"data/v{version:08d}-{uuid.uuid4().hex[:12]}"
     tables = {ENTITIES: database.entities} | {name: source.pairs() for name, source in database.many.items()}
@@ -176,7 +223,7 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
         log.append((*row, stored, buckets, note))
     place = f"log/v{version:08d}-{uuid.uuid4().hex[:12]}"
     spark.createDataFrame(log, _LOG_SCHEMA).coalesce(1).write.parquet(f"{path}/{place}")
-    _commit(spark, path, version, place)
+    _commit(spark, path, version, place, skipped)
     return open_database(spark, path)
 
 
@@ -212,7 +259,7 @@ def scan_feature_tables(
     Without ``tables`` they are all folders found below the path."""
     contexts = contexts or Contexts()
     if tables is None:
-        system, place = _file_system(spark, path)
+        system, place = file_system(spark, path)
         found = [entry for entry in system.listStatus(place) if entry.isDirectory()]
         tables = sorted(entry.getPath().getName() for entry in found)
     frames = {t: spark.read.parquet(f"{path}/{t}") for t in tables if not t.startswith("_")}

@@ -391,6 +391,31 @@ def equivalence_class_members(spark, sf_dir):
     return identity.class_members(written(digests, "digests"))
 
 
+_ENDS = "(SELECT doc_id, left(t, 40) AS opening, right(t, 40) AS ending FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents))"
+_STARS = " UNION ALL ".join(
+    f"SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY {c}) AS b FROM ends WHERE {c} IS NOT NULL" for c in ("opening", "ending")
+)
+
+
+@query(
+    f"WITH RECURSIVE ends AS MATERIALIZED {_ENDS}, stars AS MATERIALIZED ({_STARS}),"
+    " links AS MATERIALIZED (SELECT a, b FROM stars UNION SELECT b, a FROM stars),"
+    " reached(hash, label) AS (SELECT doc_id, doc_id FROM ends UNION"
+    " SELECT b, label FROM reached JOIN links ON a = hash WHERE label < b),"
+    " classes AS (SELECT hash, min(label) AS representative FROM reached GROUP BY 1)"
+    " SELECT hash, representative, CAST(count(*) OVER (PARTITION BY representative) AS BIGINT) AS n FROM classes"
+)
+def equivalence_classes_of_two_digests(spark, sf_dir):
+    """Documents that begin or end alike, through others too: classes over two digest features."""
+    normal = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\f\r]+", " "))
+    ends = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("hash"),
+        F.md5(F.left(normal, F.lit(40))).alias("opening"),
+        F.md5(F.right(normal, F.lit(40))).alias("ending"),
+    )
+    return identity.connected_classes(written(ends, "ends"), ["opening", "ending"])
+
+
 @query(f"SELECT {_DIGEST} AS digest, CAST(min(doc_id) AS BIGINT) AS hash FROM documents GROUP BY 1")
 def group_by_digest(spark, sf_dir):
     """The digest is a feature, so grouping by it gives the classes."""

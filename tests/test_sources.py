@@ -92,6 +92,54 @@ def test_stale_and_concurrent_writers(spark, database, frame, tmp_path, monkeypa
     assert pairs == [("a", "1"), ("a", "2"), ("a", "5"), ("b", "1"), ("c", "3")]
 
 
+def test_a_dead_writer_does_not_lock_the_database(spark, database, frame, tmp_path, monkeypatch):
+    """Commit files that were created and never finished are passed over; the next version is saved and found."""
+    monkeypatch.setattr(tables, "WAIT_SECONDS", 0.2)
+    path = str(tmp_path / "db")
+    first = tables.save_database(database, path)
+    for number, line in ((2, ""), (3, "log/v00000003-cut off")):
+        (tmp_path / "db" / "commits" / f"{number:010d}").write_text(line)
+    fresh = tables.open_database(spark, path)
+    assert rows_of(fresh.entities) == rows_of(first.entities)
+    second = tables.save_database(writes.set_values(fresh, "tag", frame([("c", "3")])), path)
+    assert second.files[""] == (path, 4) and len(rows_of(second.many["tag"].pairs())) == 4
+    with pytest.raises(tables.StaleHandleError):
+        tables.save_database(writes.set_values(first, "tag", frame([("c", "4")])), path)
+    for number in range(5, 20):  # more dead writers than are looked at first
+        (tmp_path / "db" / "commits" / f"{number:010d}").write_text("")
+    third = tables.save_database(writes.set_values(second, "tag", frame([("c", "5")])), path)
+    assert third.files[""] == (path, 20) and tables.read_log(spark, path).select("version").distinct().count() == 3
+
+
+def test_a_late_writer_and_the_one_that_passed_it_over(spark, database, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "WAIT_SECONDS", 0.2)
+    path = str(tmp_path / "db")
+    tables.save_database(database, path)
+    # the writer of version 2 finishes before version 3 writes its line: version 3 is refused
+    late = tmp_path / "db" / "commits" / f"{2:010d}"
+    late.write_text("")
+    assert tables._next_version(spark, path, 1) == (3, (2,))
+    late.write_text("log/late\n")
+    with pytest.raises(tables.StaleHandleError, match="came in before"):
+        tables._commit(spark, path, 3, "log/three", (2,))
+    # the unfinished file that this left doesn't refuse the late one, a finished version 4 does
+    assert not tables._settled(spark, path, [3])
+    tables._commit(spark, path, 4, "log/four", (3,))
+    assert tables._settled(spark, path, [3, 4])
+    with pytest.raises(tables.StaleHandleError, match="another writer"):
+        tables._commit(spark, path, 4, "log/again")
+    (tmp_path / "db" / "commits" / f"{6:010d}").write_text("log/six\n")
+    with pytest.raises(tables.StaleHandleError, match="too late"):
+        tables._commit(spark, path, 5, "log/five")
+
+
+def test_other_errors_are_not_called_stale(spark, tmp_path):
+    (tmp_path / "file").write_text("")
+    with pytest.raises(Exception) as caught:
+        tables._commit(spark, str(tmp_path / "file"), 1, "log/x")
+    assert not isinstance(caught.value, tables.StaleHandleError)
+
+
 def test_same_write_twice(spark, database, frame, tmp_path):
     path = str(tmp_path / "db")
     current = tables.save_database(database, path)
