@@ -73,7 +73,8 @@ def register_files(database: Database, files: DataFrame, digest: Column | None =
     """Add the files not registered yet: digest, path and file name.
 
     The digest of a file depends on its context.  Without one given, only contexts of clause files are accepted,
-    whose identity is the digest of their canonical tokens.
+    whose identity is the digest of their canonical tokens.  Files with a digest already (``F.col("hash")``, as of
+    ``instance_digests``) need no content; those without one are left out.
     """
     if digest is None:
         check_context(database, CLAUSE_CONTEXTS)
@@ -81,7 +82,7 @@ def register_files(database: Database, files: DataFrame, digest: Column | None =
     for name in ("local", "filename"):
         database = add_feature(database, name, permissive=True)
     # contents are digested where they are read; only paths and digests are shuffled
-    digests = written(files.select("path", digest.alias("hash")), "digests")
+    digests = written(files.select("path", digest.alias("hash")).where("hash IS NOT NULL"), "digests")
     fresh = new_paths(digests, database.many["local"].pairs())
     triples = path_triples(fresh, F.col("hash"))
     return set_values_batch(database, triples, ["local", "filename"])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.text import Contexts, clean_column_name, database_name_of
 from hashloom.plans.namespace import Database, FeatureError, Values
+from hashloom.session import qualified
+from hashloom.sources.streamed import ToolLines
 
 # The delimiters a file may use.
 DELIMITERS = (";", ",", " ", "\t")
@@ -84,22 +86,33 @@ _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _BLANKS = " \t\x0b\x0c"
 
 
-def read_tool_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Files of lines ``<feature> <value>`` as rows (path, feature, value)."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return tool_values(files, "path", F.col("value"))
+def read_tool_lines(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """Files of lines ``<feature> <value>`` as rows (path, feature, value); the last line of a feature wins.
+
+    No file is held as a whole: several tasks read the splits of one, and the byte at which a line starts gives the
+    order.  Options ``split`` and ``block`` are the bytes of a split and of a read.
+    """
+    spark.dataSource.register(ToolLines)
+    reader = spark.read.format(ToolLines.name())
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return _last_values(reader.load(qualified(spark, path)), "path", "offset", F.col("line"))
 
 
 def tool_values(frame: DataFrame, key: str, output: Column) -> DataFrame:
     """The (feature, value) pairs of a tool's output text: the first word names the feature, the
     rest of the line is the value, which may be empty; the last line of a feature wins."""
     lines = frame.select(key, F.posexplode(F.split(output, _LINE_END)).alias("line", "text"))
-    words = lines.withColumn("text", F.btrim("text", F.lit(_BLANKS))).where(F.col("text") != "")
+    return _last_values(lines, key, "line", F.col("text"))
+
+
+def _last_values(lines: DataFrame, key: str, position: str, text: Column) -> DataFrame:
+    words = lines.select(key, position, F.btrim(text, F.lit(_BLANKS)).alias("text")).where(F.col("text") != "")
     parts = F.split(F.col("text"), r"\s+", 2)
     pairs = words.select(
         key,
-        "line",
+        position,
         parts[0].alias("feature"),
         F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("value"),
     )
-    return pairs.groupBy(key, "feature").agg(F.max_by("value", "line").alias("value"))
+    return pairs.groupBy(key, "feature").agg(F.max_by("value", position).alias("value"))

@@ -21,6 +21,7 @@ from hashloom.suite.registry import (
     query,
     table,
 )
+from hashloom.suite.scalars import TOKENS_SQL
 
 
 def _flags(spark, sf_dir):
@@ -105,6 +106,76 @@ def scan_instances(spark, sf_dir):
     return found.select(lang, F.length("content").alias("n")).groupBy("lang").agg(F.sum("n").alias("bytes"))
 
 
+_PARTS = 500
+
+#: Some letters are digits and q begins a comment, so that texts read as clauses.
+_LETTERS, _DIGITS = "etaoin", "012345"
+_AS_CLAUSES = f"translate(regexp_replace(text, '[^{_LETTERS}q\\n]', ' ', 'g'), '{_LETTERS}', '{_DIGITS}')"
+_JOINED_SQL = f"(SELECT doc_id // {_PARTS} AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1)"
+
+
+def _document_files(spark, sf_dir, folder: str, suffixes: list[str], text) -> None:
+    """All texts, one after the other, in files of 500 documents, by turns plain and packed.  Tasks write text by text."""
+    part = F.floor(F.coalesce("doc_id", F.lit(0)) / _PARTS).cast("bigint").alias("part")
+    rows = table(spark, sf_dir, "documents").select(part, "doc_id", F.encode(text, "UTF-8").alias("text"))
+    ordered = rows.repartition("part").sortWithinPartitions("part", "doc_id")
+    ordered.mapInArrow(_part_files(folder, suffixes), "path string").count()
+
+
+def _part_files(folder: str, suffixes: list[str]):
+    """Write consecutive rows (part, text) of a part into its file; a retried task writes the same bytes."""
+
+    def write(batches):
+        import lzma
+
+        import pyarrow as pa
+
+        from hashloom.sources.streamed import store
+
+        codecs = {"gz": "gzip", "bz2": "bz2"}
+        system, root = store(folder)
+        system.create_dir(root, recursive=True)
+        current, raw, out = None, None, None
+
+        def close():
+            if out is not None and out is not raw:
+                out.close()
+            if raw is not None:
+                raw.close()
+
+        for batch in batches:
+            names = []
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist()):
+                if part != current:
+                    close()
+                    current, suffix = part, suffixes[part % len(suffixes)]
+                    names.append(f"{root}/{part}{suffix}")
+                    ending = suffix.rsplit(".", 1)[-1]
+                    raw = system.open_output_stream(names[-1], compression=codecs.get(ending))
+                    out = lzma.LZMAFile(raw, "wb", preset=0) if ending == "xz" else raw
+                out.write((text or b"") + b"\n")
+            yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+        close()
+
+    return write
+
+
+@query(
+    "SELECT part, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, md5(tokens) AS hash,"
+    " CAST(len([t for t in string_split(tokens, ' ') if t = '0']) AS BIGINT) AS clauses,"
+    " CAST(coalesce(list_max([abs(try_cast(t AS BIGINT)) for t in string_split(tokens, ' ')]), 0) AS BIGINT) AS variables"
+    " FROM " + TOKENS_SQL.replace("documents", _JOINED_SQL.replace("string_agg(text", f"string_agg({_AS_CLAUSES}")).replace("doc_id, ", "part, text, ", 1)
+)
+def instance_digests(spark, sf_dir):
+    """Plain and packed files of 500 documents, digested in blocks of 64 KiB: no file is held as a whole."""
+    folder = working_folder(spark, "digests")
+    text = F.translate(F.regexp_replace("text", f"[^{_LETTERS}q\\n]", " "), _LETTERS, _DIGITS)
+    _document_files(spark, sf_dir, folder, [".txt", ".txt.gz", ".txt.bz2", ".txt.xz"], text)
+    found = files.instance_digests(spark, folder, "doc", CONTEXTS, block=1 << 16, task=4 << 20)
+    part = F.regexp_extract("path", r"([0-9]+)\.txt", 1).cast("bigint").alias("part")
+    return found.select(part, "bytes", "hash", "clauses", "variables")
+
+
 def _xz_files(folder: str):
     """Write the texts of each batch, a line each, as one xz file a language."""
 
@@ -156,6 +227,22 @@ def read_tool_lines(spark, sf_dir):
     return delimited.tool_values(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
+@query(
+    "SELECT part, feature, arg_max(value, line) AS value FROM (SELECT part, line,"
+    " regexp_extract(text, '^([^ \\t]+)', 1) AS feature, regexp_replace(text, '^[^ \\t]+[ \\t]*', '') AS value"
+    " FROM (SELECT part, generate_subscripts(lines, 1) AS line, trim(unnest(lines), ' \t\r') AS text"
+    f" FROM (SELECT part, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]') AS lines FROM {_JOINED_SQL}))"
+    " WHERE text <> '') GROUP BY 1, 2"
+)
+def read_tool_files(spark, sf_dir):
+    """Files of 500 texts read as a tool's output, in splits of 256 KiB that different tasks read."""
+    folder = working_folder(spark, "tool")
+    _document_files(spark, sf_dir, folder, [".txt"], F.col("text"))
+    found = delimited.read_tool_lines(spark, folder, split=1 << 18, block=1 << 16)
+    part = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("bigint").alias("part")
+    return found.select(part, "feature", "value")
+
+
 @query(
     "SELECT doc_id || ' ' || lang || ' ' || coalesce(CAST(quality AS VARCHAR), '[None]') AS value"
     " FROM documents LEFT JOIN labels USING (doc_id)"

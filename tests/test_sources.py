@@ -254,6 +254,90 @@ def test_long_files_are_listed_apart(spark, tmp_path, monkeypatch):
     assert names[0] == ["a.cnf"] and sorted(names[1]) == ["b.cnf", "c.cnf.gz"]
 
 
+def test_packed_files_that_unpack_too_long_are_listed(spark, tmp_path, monkeypatch):
+    """An expanding file has no content and is in the list of long ones; the others are read."""
+    (tmp_path / "small.cnf.gz").write_bytes(gzip.compress(b"1 0"))
+    (tmp_path / "large.cnf.xz").write_bytes(lzma.compress(b"1 0 " * 100_000))
+    monkeypatch.setattr(files, "LONGEST", 1_000)
+    found = {r.path.rsplit("/", 1)[1]: r.content for r in files.scan_instances(spark, str(tmp_path), "cnf").collect()}
+    assert found == {"small.cnf.gz": b"1 0", "large.cnf.xz": None}
+    (long,) = files.oversized_instances(spark, str(tmp_path), "cnf").collect()
+    assert long.path.endswith("large.cnf.xz")
+    digests = files.instance_digests(spark, str(tmp_path), "cnf", block=999)
+    rows = {r.path.rsplit("/", 1)[1]: (r.bytes, r.clauses, r.variables, r.error) for r in digests.collect()}
+    assert rows == {"small.cnf.gz": (3, 1, 1, None), "large.cnf.xz": (400_000, 100_000, 1, None)}
+
+
+def test_digests_of_blocks_equal_those_of_contents(spark, frame, tmp_path):
+    """Files of all kinds in blocks of all sizes have the digest and counts of the expressions."""
+    import random
+
+    from hashloom.functions.digest import base_features, content_digest
+
+    rng = random.Random(7)
+    bodies = [bytes(rng.choices(b"0012-9 \t\n\r\x00cp\xc3.", k=size)) for size in (0, 1, 2, 50, 300, 5_000)]
+    bodies += [b"c only a comment", b"1 2 0", b"-" + b"0" * 200_000 + b"42 7", b"5" * 200_000 + b" 0"]
+    pack = {"": bytes, ".gz": gzip.compress, ".bz2": bz2.compress, ".xz": lzma.compress}
+    for k, body in enumerate(bodies):
+        for ending, function in pack.items():
+            (tmp_path / f"{k}.cnf{ending}").write_bytes(function(body))
+    (tmp_path / "broken.cnf.gz").write_bytes(b"no gzip")
+    (tmp_path / ".hidden.cnf").write_bytes(b"1 0")
+    content = frame([(str(k), bytearray(body)) for k, body in enumerate(bodies)], "k string, content binary")
+    counts = base_features(F.col("content"))
+    wanted = content.select("k", content_digest(F.col("content")).alias("hash"), counts["clauses"].alias("c"), counts["variables"].alias("v"))
+    want = {r.k: (r.hash, r.c, r.v) for r in wanted.collect()}
+    for block in (1, 7, 1 << 20):
+        rows = files.instance_digests(spark, str(tmp_path), "cnf", block=block, task=2_000).collect()
+        bad = [r for r in rows if r.error]
+        assert len(rows) == 4 * len(bodies) + 1 and [r.path.rsplit("/", 1)[1] for r in bad] == ["broken.cnf.gz"]
+        for r in rows:
+            name = r.path.rsplit("/", 1)[1].split(".")[0]
+            assert r in bad or (r.hash, r.clauses, r.variables) == want[name] and r.bytes == len(bodies[int(name)])
+    database = jobs.register_files(Database.empty(spark, "cnf_local"), rows_frame(spark, rows), F.col("hash"))
+    assert len(rows_of(database.many["local"].pairs())) == 4 * len(bodies)
+
+
+def rows_frame(spark, rows):
+    return spark.createDataFrame([(r.path, r.hash) for r in rows], "path string, hash string")
+
+
+def test_blocks_bound_the_memory_of_a_digest(tmp_path):
+    """A packed file of 64 MB is digested within a few blocks of memory."""
+    import tracemalloc
+
+    from hashloom.functions.tokens import TokenDigest
+    from hashloom.sources import streamed
+
+    (tmp_path / "x.cnf.xz").write_bytes(lzma.compress(b"1 -2 3 0\nc comment\n" * 3_400_000, preset=0))
+    system, path = streamed.store(str(tmp_path / "x.cnf.xz"))
+    digest = TokenDigest()
+    tracemalloc.start()
+    for block in streamed.blocks(system, path, 1 << 16):
+        digest.update(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert digest.bytes > 60 << 20 and digest.clauses == 3_400_000 and peak < 4 << 20
+
+
+def test_one_split_and_many_read_the_same_lines(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\n\n"]
+    text = "".join(f"f{rng.randrange(9)} {'v€' * rng.randrange(9)}{rng.choice(ends)}" for _ in range(800)) + "last line"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_bytes(text.encode())
+    (tmp_path / "a" / "y.txt").write_bytes(b"\xff\xfe broken\n")
+    (tmp_path / "a" / "empty.txt").write_bytes(b"")
+    found = [
+        rows_of(delimited.read_tool_lines(spark, str(tmp_path / "a"), split=split, block=block))
+        for split, block in ((1 << 20, 1 << 20), (64, 1 << 20), (501, 7))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 11
+    assert dict((f, v) for p, f, v in found[0] if p.endswith("x.txt"))["last"] == "line"
+
+
 def test_tables_are_found(spark, frame, tmp_path):
     frame([("a", "1")]).write.parquet(str(tmp_path / "db" / "tag"))
     frame([("a", "1")]).write.parquet(str(tmp_path / "db" / "_hidden"))
