@@ -8,16 +8,20 @@ over Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from hashloom.functions.digest import base_features, content_digest
 from hashloom.functions.text import Contexts, base_name, target_path
 from hashloom.operators.writes import add_feature, reset_values, set_values_batch
 from hashloom.plans.namespace import Database, FeatureError
 from hashloom.session import written
+from hashloom.sources.streamed import blocks, store
 
 SUCCESS = "success"
 FAILURE = "failure"
@@ -128,6 +132,104 @@ def _attempt(function: Callable, path: str, content: bytes) -> tuple[list, str]:
         return [], next((status for kind, status in _STATUS_OF if isinstance(error, kind)), FAILURE)
 
 
+@dataclass(frozen=True)
+class Extractor:
+    """A function over instances that declares its features itself.
+
+    ``function`` takes path and content and returns (feature, value) pairs.  ``declared`` lists its features as (name, type,
+    default): one with a default is single-valued, the last value counts; one without (None) has all its values.  With ``streams`` the
+    function gets an iterator over blocks of the unpacked content instead, so a file of any size can be read.
+    """
+
+    name: str
+    function: Callable[[str, bytes], list[tuple[str, object]]]
+    declared: tuple[tuple[str, str, object], ...]
+    streams: bool = False
+
+    def schema(self) -> T.StructType:
+        """The status of a run, then a column per declared feature: its type, or a list of it."""
+        types = [(name, kind if default is not None else f"array<{kind}>") for name, kind, default in self.declared]
+        fields = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in types]
+        return T.StructType([T.StructField("status", T.StringType()), *fields])
+
+    def row(self, path: str, content: bytes | None) -> tuple:
+        """Status and features of one instance; features of a run that failed, or that it doesn't give, are null."""
+        values, status = _attempt(self.function, path, self._content(path, content))
+        found: dict[str, list] = {}
+        for name, value in values:
+            found.setdefault(name, []).append(value)
+        try:
+            features = [self._value(kind, default, found.get(name)) for name, kind, default in self.declared]
+        except (TypeError, ValueError):  # a value that is not of the declared type
+            return (FAILURE, *(None for _ in self.declared))
+        return (status, *features)
+
+    def _content(self, path: str, content: bytes | None):
+        if not self.streams:
+            return content
+        if content is not None:
+            return iter([bytes(content)])
+        system, inside = store(path)
+        return blocks(system, inside)
+
+    @staticmethod
+    def _value(kind: str, default, values: list | None):
+        if values is None:
+            return None
+        made = [_CASTS.get(kind, str)(value) for value in values]
+        return made if default is None else made[-1]
+
+
+_CASTS = {"bigint": int, "int": int, "double": float, "boolean": bool}
+
+#: Name of the table function under which extractors are called from SQL.
+EXTRACT = "extract_features"
+
+
+def register_extractors(spark: SparkSession, extractors: list[Extractor], name: str = EXTRACT) -> None:
+    """Make extractors a table function of SQL: ``FROM instances, LATERAL extract_features('words', path, content)``.
+
+    The columns follow from the extractor that the first argument names: Spark asks ``analyze`` for them
+    while it plans.  An instance gives one row, whatever its run came to.  Instances pass one by one; no session
+    setting is needed.  An extractor that streams opens the file of the path itself if content is null.
+    """
+    known = {extractor.name: extractor for extractor in extractors}
+    schemas = {extractor.name: extractor.schema() for extractor in extractors}
+
+    class Extract:
+        @staticmethod
+        def analyze(extractor: AnalyzeArgument, path: AnalyzeArgument, content: AnalyzeArgument) -> AnalyzeResult:
+            if not extractor.isConstantExpression or extractor.value not in known:
+                raise ValueError(f"the first argument must name an extractor, one of {sorted(known)}")
+            return AnalyzeResult(schema=schemas[extractor.value])
+
+        def eval(self, extractor: str, path: str, content: bytes | None):
+            yield known[extractor].row(path, content)
+
+    spark.udtf.register(name, F.udtf(Extract))
+
+
+def store_extracted(
+    database: Database, rows: DataFrame, extractor: Extractor, contexts: list[str]
+) -> Database:
+    """Write rows (hash, features) of an extractor; the features it declares are created as needed."""
+    pairs = [
+        _pairs(name, F.array(name) if default is not None else F.col(name)) for name, _, default in extractor.declared
+    ]
+    exploded = rows.select("hash", F.explode(F.flatten(F.array(*pairs))).alias("pair"))
+    triples = exploded.select("hash", "pair.feature", "pair.value").where("value IS NOT NULL")
+    return store_features(database, triples, [(name, default) for name, _, default in extractor.declared], contexts)
+
+
+def _pairs(name: str, values: Column) -> Column:
+    """(feature, value) of every value of a list; none of a null."""
+    none = F.array().cast("array<struct<feature:string,value:string>>")
+    named = F.transform(
+        values, lambda value: F.struct(F.lit(name).alias("feature"), value.cast("string").alias("value"))
+    )
+    return F.coalesce(named, none)
+
+
 def extracted_triples(extracted: DataFrame) -> DataFrame:
     """The values with their position: the last one of a single-valued feature is stored."""
     return extracted.where(F.col("feature").isNotNull()).select("hash", "feature", "value", "position")

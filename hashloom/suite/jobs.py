@@ -101,6 +101,57 @@ def extract_features(spark, sf_dir):
     return stored.entities.select("hash", *[F.col(c).cast("bigint").alias(c) for c in ("words", "longest")])
 
 
+COUNT_WORDS = jobs.Extractor("words", count_words, (("words", "bigint", 0), ("longest", "bigint", 0)))
+
+
+def line_starts(path: str, blocks) -> list[tuple[str, object]]:
+    """Extractor over blocks: how many line feeds there are, and the first letters of all lines, in lower case."""
+    lines, starts, at_start = 0, set(), True
+    for block in blocks:
+        lines += block.count(b"\n")
+        starts |= set(re.findall(rb"\n([A-Za-z])", block))
+        if at_start and re.match(rb"[A-Za-z]", block):
+            starts.add(block[:1])
+        at_start = block.endswith(b"\n")
+    return [("lines", lines), *(("start", letter) for letter in sorted({s.lower().decode() for s in starts}))]
+
+
+LINE_STARTS = jobs.Extractor("line_starts", line_starts, (("lines", "bigint", 0), ("start", "string", None)), streams=True)
+
+
+@query(
+    "SELECT doc_id AS hash, CASE WHEN len(words) >= 20 THEN 'success' ELSE 'failure' END AS status,"
+    " CASE WHEN len(words) >= 20 THEN len(words) END AS words,"
+    " CASE WHEN len(words) >= 20 THEN list_max([octet_length(encode(w)) for w in words]) END AS longest"
+    f" FROM {_WORDS}"
+)
+def extract_features_lateral(spark, sf_dir):
+    """The extractor as a table function of SQL; its columns are the features it declares."""
+    jobs.register_extractors(spark, [COUNT_WORDS, LINE_STARTS])
+    _instances(spark, sf_dir).createOrReplaceTempView("document_instances")
+    return spark.sql(
+        "SELECT i.hash, x.* FROM document_instances i, LATERAL extract_features('words', i.path, i.content) x"
+    )
+
+
+@query(
+    "SELECT doc_id AS hash, CAST(len(regexp_extract_all(text, '\n')) AS VARCHAR) AS lines,"
+    " coalesce(array_to_string(list_sort(list_distinct([lower(s) for s in regexp_extract_all(text, '(?:^|\n)([A-Za-z])', 1)])),"
+    " ','), '') AS start FROM documents"
+)
+def store_extracted(spark, sf_dir):
+    """A single-valued and a multi-valued feature, declared by the extractor, stored and resolved."""
+    jobs.register_extractors(spark, [COUNT_WORDS, LINE_STARTS])
+    _instances(spark, sf_dir).createOrReplaceTempView("document_instances")
+    rows = spark.sql(
+        "SELECT i.hash, x.* FROM document_instances i, LATERAL extract_features('line_starts', i.path, i.content) x"
+    )
+    database = Database.of("doc_lines", _instances(spark, sf_dir).select("hash"), contexts=CONTEXTS)
+    stored = jobs.store_extracted(database, rows, LINE_STARTS, ["doc"])
+    found = select(Namespace([stored]), resolve=["lines", "start"])
+    return found.withColumn("start", F.when(F.col("start") != "None", F.col("start")).otherwise(""))
+
+
 @query(
     "SELECT CASE WHEN len(words) >= 20 THEN 'success' ELSE 'failure' END AS status, CAST(count(*) AS BIGINT) AS n"
     f" FROM {_WORDS} GROUP BY 1"

@@ -195,3 +195,39 @@ def test_lookup(spark, frame):
     pairs = {"local": frame([("a", "/2"), ("a", "/1")]), "filename": frame([("a", "2"), ("a", "1"), ("b", "3")])}
     found = lookup_entity(Namespace([Database.of("cnf_f", None, pairs)]), ["a"])
     assert rows_of(found) == [("a", "/1", "1")]
+
+
+def test_extractors_declare_their_features(spark, frame, tmp_path):
+    """The table function's columns follow from the extractor named; no session setting changes."""
+    import gzip
+
+    def sizes(path, content):
+        if path == "/late":
+            raise TimeoutError
+        if path == "/odd":
+            return [("size", "no number")]
+        return [("size", 1), ("size", len(content)), ("part", "x"), ("part", "y"), ("other", 5)]
+
+    def longest_block(path, blocks):
+        return [("blocks", sum(1 for _ in blocks))]
+
+    before = {row.key: row.value for row in spark.sql("SET").collect()}
+    one = jobs.Extractor("sizes", sizes, (("size", "bigint", 0), ("part", "string", None), ("unset", "double", 1.5)))
+    two = jobs.Extractor("blocks", longest_block, (("blocks", "int", 0),), streams=True)
+    jobs.register_extractors(spark, [one, two])
+    rows = [("a", "/a", bytearray(b"abc")), ("b", "/late", bytearray(b"")), ("c", "/odd", bytearray(b""))]
+    frame(rows, "hash string, path string, content binary").createOrReplaceTempView("instances")
+    made = spark.sql("SELECT i.hash, x.* FROM instances i, LATERAL extract_features('sizes', path, content) x")
+    assert made.dtypes == [("hash", "string"), ("status", "string"), ("size", "bigint"), ("part", "array<string>"), ("unset", "double")]
+    assert rows_of(made) == [("a", "success", 3, ["x", "y"], None), ("b", "timeout", None, None, None), ("c", "failure", None, None, None)]
+    stored = jobs.store_extracted(Database.of("cnf_x", frame([("a",), ("b",)], "hash string")), made, one, ["cnf"])
+    found = rows_of(select(Namespace([stored]), resolve=["size", "part", "unset"]))
+    assert found == [("a", "3", "x,y", "1.5"), ("b", "0", "None", "1.5")]
+    (tmp_path / "x.gz").write_bytes(gzip.compress(b"1" * (20 << 20)))
+    frame([("a", str(tmp_path / "x.gz"))], "hash string, path string").createOrReplaceTempView("paths")
+    made = spark.sql("SELECT x.* FROM paths, LATERAL extract_features('blocks', path, NULL) x")
+    assert rows_of(made) == [("success", 3)]
+    with pytest.raises(Exception, match="must name an extractor"):
+        spark.sql("SELECT x.* FROM paths, LATERAL extract_features('unknown', path, NULL) x").collect()
+    after = {row.key: row.value for row in spark.sql("SET").collect()}
+    assert {k: v for k, v in after.items() if "checkpoint" not in k} == {k: v for k, v in before.items() if "checkpoint" not in k}
