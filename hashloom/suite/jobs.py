@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hashloom.functions.digest import content_digest, text_digest
@@ -11,7 +12,7 @@ from hashloom.operators import jobs
 from hashloom.plans.namespace import Database, Namespace
 from hashloom.plans.query import select
 from hashloom.session import working_folder, written
-from hashloom.streaming import upsert
+from hashloom.streaming import latest, upsert
 from hashloom.suite.registry import CONTEXTS, pages_database, query, table
 from hashloom.suite.scalars import TOKENS_SQL
 
@@ -259,6 +260,31 @@ def stream_upsert(spark, sf_dir):
     ).join(merged.entities, "hash")
 
 
+@query(
+    "SELECT user_id AS hash, event_type AS feature, arg_max(value, (ts, event_id)) AS value, max(ts) AS time"
+    " FROM events GROUP BY 1, 2"
+)
+def stream_latest(spark, sf_dir):
+    """The events in two deliveries, the stream stopped between them: the second goes on with the state of the
+    first, and brings events earlier than those already seen."""
+    folder = working_folder(spark, "latest")
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("hash"),
+        F.col("event_type").alias("feature"),
+        "value",
+        F.col("ts").cast("timestamp").alias("time"),
+        F.col("event_id").alias("tie"),
+    )
+    for delivery in range(2):
+        part = events.where(F.pmod(F.xxhash64("tie"), F.lit(2)) == delivery)
+        part.write.parquet(f"{folder}/in/{delivery}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
+        query = latest.land_latest(stream, f"{folder}/landed", f"{folder}/state", "3650 days", pd.Timedelta(days=3650))
+        query.awaitTermination()
+    last = upsert.landed(spark, f"{folder}/landed").groupBy("hash", "feature")
+    return last.agg(F.max_by("value", F.struct("time", "tie")).alias("value"), F.max("time").alias("time"))
+
+
 @query(f"SELECT md5({_NORMAL}) AS digest, CAST(doc_id AS BIGINT) AS hash FROM documents")
 def text_digests(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")

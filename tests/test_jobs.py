@@ -1,5 +1,8 @@
 """Extraction, derivation and streams."""
 
+from datetime import datetime, timedelta
+
+import pandas as pd
 import pytest
 from conftest import hashes_of, rows_of
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from hashloom.operators.identity import class_members, equivalence_classes
 from hashloom.operators.paging import lookup_entity, page, page_after, page_count
 from hashloom.operators.profile import catalogue_profile, feature_profile, feature_strings
 from hashloom.plans.namespace import FeatureError
-from hashloom.streaming import upsert
+from hashloom.streaming import latest, upsert
 
 
 @pytest.fixture
@@ -231,3 +234,38 @@ def test_extractors_declare_their_features(spark, frame, tmp_path):
         spark.sql("SELECT x.* FROM paths, LATERAL extract_features('unknown', path, NULL) x").collect()
     after = {row.key: row.value for row in spark.sql("SET").collect()}
     assert {k: v for k, v in after.items() if "checkpoint" not in k} == {k: v for k, v in before.items() if "checkpoint" not in k}
+
+
+def test_latest_values_survive_a_restart(spark, tmp_path):
+    """Late triples are held against the state of the run before; idle keys are forgotten by a timer of event time."""
+    schema = "hash string, feature string, value string, time timestamp, tie long"
+    seen = []
+
+    def deliver(number, rows):
+        made = [(h, f, v, datetime(2024, 1, 1) + timedelta(minutes=m), t) for h, f, v, m, t in rows]
+        frame = spark.createDataFrame(made, schema).coalesce(1)
+        frame.write.parquet(str(tmp_path / "in" / str(number)))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        query = latest.land_latest(
+            stream, str(tmp_path / "landed"), str(tmp_path / "state"), "30 minutes", pd.Timedelta(minutes=60), many=["tag"]
+        )
+        query.awaitTermination()
+        landed = [tuple(r)[:3] for r in upsert.landed(spark, str(tmp_path / "landed")).collect()]
+        new = sorted(set(landed) - set(seen))
+        seen.extend(new)
+        return new
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    first = deliver(0, [("a", "s", "2", 20, 1), ("a", "s", "1", 10, 9), ("b", "s", "x", 25, 1), ("a", "tag", "p", 5, 1)])
+    assert first == [("a", "s", "2"), ("a", "tag", "p"), ("b", "s", "x")]
+    # earlier than what the first run saw: a and the pair p; b's same time goes by the tie
+    second = deliver(1, [("a", "s", "0", 15, 1), ("b", "s", "y", 25, 2), ("a", "tag", "p", 4, 1), ("a", "tag", "q", 4, 1)])
+    assert second == [("a", "tag", "q"), ("b", "s", "y")]
+    # the watermark goes far on: keys idle for an hour are forgotten in the batch after
+    assert deliver(2, [("c", "s", "z", 500, 1)]) == [("c", "s", "z")]
+    deliver(3, [("c", "s", "w", 510, 1)])
+    assert deliver(4, [("a", "s", "new", 490, 0)]) == [("a", "s", "new")]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    last = upsert.landed(spark, str(tmp_path / "landed")).groupBy("hash", "feature")
+    rows = rows_of(last.agg(F.max_by("value", F.struct("time", "tie")).alias("v")).where("feature = 's'"))
+    assert rows == [("a", "s", "new"), ("b", "s", "y"), ("c", "s", "w")]
