@@ -205,6 +205,26 @@ def ranked(frame: DataFrame, group: str, key: str, ties: str, bits: int) -> Data
     return joined.withColumn("rank", rank.cast("long")).drop("_cell", "_group", "_at", "_before")
 
 
+#: Bits of the number of words in the bit table of ``thinned``; a word has 64 bits.
+THIN_WORDS = 18
+
+
+def thinned(frame: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of a frame whose ``column`` may be among the values of the same column of ``wanted``.
+
+    A value hashes to one bit of a table of 2^THIN_WORDS words, which is what is broadcast, however much is
+    wanted.  No wanted row is lost; rows that share a bit with a wanted one pass too, more of them the more is
+    wanted, so a join must follow.  It saves that join the shuffle of what cannot match.
+    """
+    hashed = F.xxhash64(column)
+    word, bit = F.shiftrightunsigned(hashed, 64 - THIN_WORDS), hashed.bitwiseAND(F.lit(63)).cast("int")
+    mask = F.expr("shiftleft(1L, _bit)")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(mask).alias("_bits"))
+    marked = frame.withColumns({"_at": word, "_bit": bit})
+    joined = marked.join(F.broadcast(bits), marked["_at"] == bits["_word"])
+    return joined.where(F.col("_bits").bitwiseAND(mask) != 0).select(*frame.columns)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Arrow batches gathered to tables of at least ``rows`` rows (the last may be smaller)."""
     held, count = [], 0

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import WordHashes, lowered, mixed, rolling, table, texts, words, written
+from hashloom.llm.common import WordHashes, lowered, mixed, rolling, table, texts, thinned, words, working_folder, written
 from hashloom.llm.registry import query
 
 #: Words of a shingle, and the share of common shingles in percent from which two documents are linked.
@@ -132,10 +132,14 @@ def components(links: DataFrame) -> DataFrame:
     end hangs on the smallest id of its component.  Rounds are written tables, so a lost executor
     costs one round, and a vertex with many links is pre-aggregated and split by adaptive execution.
     """
+    spark = links.sparkSession
 
-    def state(edges: DataFrame):
-        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(row)
+    def settled(edges: DataFrame):
+        """The edges as a written table, and their number and sum of hashes, which the writing tasks count."""
+        seen, path = Observation(), working_folder(spark, "near-stars")
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        edges.observe(seen, F.count(F.lit(1)).alias("rows"), total.alias("total")).write.parquet(path)
+        return spark.read.schema(edges.schema).parquet(path), (seen.get["rows"], seen.get["total"])
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
@@ -146,16 +150,26 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "near-stars")
-        now = state(edges)
+        edges, now = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if now == before:
             break
         before = now
-    hung = edges.groupBy("u").agg(F.min("v").alias("component"))
-    centres = edges.select("v").distinct().join(edges.select("u").distinct(), F.col("v") == F.col("u"), "left_anti")
-    return hung.select(F.col("u").alias("rep"), "component").unionByName(
-        centres.select(F.col("v").alias("rep"), F.col("v").alias("component"))
-    )
+    # now each u has one v, and no v is a u
+    hung = edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    return hung.unionByName(hung.select(F.col("component").alias("rep"), "component").distinct())
+
+
+def _joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (rep, component) after more links (a, b): only those between components are followed."""
+    if labels is None:
+        return written(components(links), "near-components")
+    ends = _labelled(_labelled(links, labels, "a", "_ca"), labels, "b", "_cb")
+    between = ends.select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).where("a <> b")
+    moved = written(components(between), "near-joined")
+    own = labels.select("rep", F.col("component").alias("_was"))
+    before = _labelled(own, moved, "_was", "component").select("rep", "component")
+    new = moved.join(labels.select("rep"), "rep", "left_anti")
+    return written(before.unionByName(new), "near-components")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,11 +216,16 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     """
     keyed = representatives.select("rep", _keys("signature", "rep"))
     spares = F.min("spare").alias("_least"), F.max("spare").alias("_most")
-    shared = keyed.groupBy("key").agg(*spares).where("_least <> _most").select("key")
-    meeting = keyed.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
+    # Only keys are shuffled to find those that several have; of the rows, only those that may have one of them.
+    repeated = written(
+        keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "near-keys"
+    )
+    meeting = thinned(keyed, "key", repeated)
+    shared = meeting.groupBy("key").agg(*spares).where("_least <> _most").select("key")
+    meeting = meeting.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
     active = written(meeting.withColumn("size", F.lit(1).cast("long")), "near-buckets")
-    wanted = active.select(F.col("rep").alias("_wanted")).distinct()
-    sources = documents.join(wanted, documents["doc_id"] == wanted["_wanted"], "left_semi")
+    wanted = active.select(F.col("rep").alias("doc_id")).distinct()
+    sources = thinned(documents, "doc_id", wanted).join(wanted, "doc_id", "left_semi").select(documents.columns)
     sets = written(sources.mapInArrow(_sets, "rep long, members array<long>"), "near-sets")
     links, labels, centres = None, None, 1
     while not active.isEmpty():
@@ -221,15 +240,14 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
         pairs = meeting.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
         pairs = written(pairs, "near-pairs")
         if links is None:
-            one = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-            links, labels = one, (None if one.isEmpty() else written(components(one), "near-components"))
+            links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+            labels = None if links.isEmpty() else _joined_components(None, links)
             rest = _labelled(_labelled(pairs, labels, "a", "_ca"), labels, "b", "_cb")
             asked = pairs.groupBy("b").agg(F.min("a").alias("a"))
             pairs = rest.where("_ca <> _cb").select("a", "b").join(asked, ["a", "b"], "left_anti")
         more = _verified(pairs, sets)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = written(components(links), "near-components")
+            labels = _joined_components(labels, more)
         rest = active.join(retired, ["key", "rep", "spare"], "left_anti")
         rest = _labelled(rest.drop("component", "size"), labels, "rep", "component")
         if labels is None:
