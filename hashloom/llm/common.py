@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hashloom.session import configure, working_folder, written
@@ -225,6 +225,16 @@ def thinned(frame: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return joined.where(F.col("_bits").bitwiseAND(mask) != 0).select(*frame.columns)
 
 
+def counted(frame: DataFrame, purpose: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """A frame written to the shared folder and read back, with its number of ``rows`` and further sums, which the
+    writing tasks count on the way."""
+    spark, seen, path = frame.sparkSession, Observation(), working_folder(frame.sparkSession, purpose)
+    totals = [F.sum(column.cast("long")).alias(name) for name, column in sums.items()]
+    frame.observe(seen, F.count(F.lit(1)).alias("rows"), *totals).write.parquet(path)
+    found = seen.get
+    return spark.read.schema(frame.schema).parquet(path), {name: found.get(name) or 0 for name in ("rows", *sums)}
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Arrow batches gathered to tables of at least ``rows`` rows (the last may be smaller)."""
     held, count = [], 0

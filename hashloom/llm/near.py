@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import WordHashes, lowered, mixed, rolling, table, texts, thinned, words, working_folder, written
+from hashloom.llm.common import WordHashes, counted, lowered, mixed, rolling, table, texts, thinned, words, written
 from hashloom.llm.registry import query
 
 #: Words of a shingle, and the share of common shingles in percent from which two documents are linked.
@@ -85,28 +86,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keys(signature: str, rep: str):
-    """Index keys of a signature, (key, spare): every chunk with every choice of one symbol left out.
+def index_keys(signatures: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Index keys of rows of symbols: (left out, keys, symbols left out) for every symbol of every chunk.
 
     Two chunks with at most one differing symbol agree in the key that leaves it out, so these keys
-    enumerate all errors that a chunk is allowed.  Equal chunks agree in all their keys, and are to be
-    compared in the first one only: ``spare`` stands for the symbol left out, and for the representative
-    itself in the first key of a chunk, so a pair is due in just those of its keys where spares differ.
+    enumerate all errors that a chunk is allowed.
     """
-    width, keys = BITS // 8, []
+    symbols = signatures.astype(np.uint64)
     for chunk in range(CHUNKS):
+        own = symbols[:, chunk * SYMBOLS : (chunk + 1) * SYMBOLS]
         for skipped in range(SYMBOLS):
-            parts = [
-                F.substring(signature, (chunk * SYMBOLS + symbol) * width + 1, width)
-                for symbol in range(SYMBOLS)
-                if symbol != skipped
-            ]
-            key = F.xxhash64(F.lit(chunk * SYMBOLS + skipped), *parts)
-            # the upper half of the CRC-32 of two bytes is one-to-one
-            spare = F.crc32(F.substring(signature, (chunk * SYMBOLS + skipped) * width + 1, width))
-            spare = F.shiftright(spare, 16)
-            keys.append(F.struct(key.alias("key"), (spare if skipped else F.col(rep)).alias("spare")))
-    return F.inline(F.array(*keys))
+            key = np.full(len(own), chunk * SYMBOLS + skipped + 1, dtype=np.uint64)
+            for symbol in range(SYMBOLS):
+                if symbol != skipped:
+                    key = mixed(key * np.uint64(_POLYNOMIAL) + own[:, symbol])
+            yield skipped, key.view(np.int64), own[:, skipped].astype(np.int64)
+
+
+def _index(with_rows: bool):
+    """The index of representatives: keys alone, or (key, rep, spare).
+
+    Equal chunks agree in all their keys, and are to be compared in the first one only: ``spare`` stands for
+    the symbol left out, and for the representative itself in the first key of a chunk, so a pair is due in
+    just those of its keys where spares differ.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype="<u2").reshape(batch.num_rows, -1)
+            reps = batch.column("rep")
+            for skipped, keys, spares in index_keys(rows):
+                columns = [pa.array(keys)]
+                if with_rows:
+                    columns += [reps, pa.array(spares) if skipped else reps]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "rep", "spare"][: len(columns)])
+
+    return make
 
 
 def _split_by_size(smaller: str, larger: str):
@@ -125,61 +140,78 @@ def _alike(other: str):
     return differing <= MOST_DIFFERENT
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(rep, component) of all ends of the links (a, b): large-star and small-star rounds.
+def _roots(parents: DataFrame) -> DataFrame:
+    """(u, v): the root v above every u of a forest of parents, by pointer doubling.
 
-    Every round replaces links by links to the smallest known neighbour; when no link changes, each
-    end hangs on the smallest id of its component.  Rounds are written tables, so a lost executor
-    costs one round, and a vertex with many links is pre-aggregated and split by adaptive execution.
+    A round is one join and one written table, and halves the depth; the last one finds nothing to change.
+    """
+    changed = 1
+    while changed:
+        above = parents.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+        joined = parents.join(above, F.col("v") == F.col("_u"), "left")
+        moved = joined.select("u", F.coalesce("_v", "v").alias("v"), F.col("_v").isNotNull().alias("moved"))
+        parents, sums = counted(moved, "near-roots", moves=F.col("moved"))
+        changed, parents = sums["moves"], parents.select("u", "v")
+    return parents
+
+
+def components(links: DataFrame, forest: bool = False) -> DataFrame:
+    """(rep, component) of all ends of the links (a, b): the smallest end that links reach.
+
+    Every end hangs on its smallest smaller neighbour; the roots of this forest take the place of its ends in the links, and
+    links within a tree are done.  Levels go on until no link is left; ``forest`` says that every larger end has one link
+    only, so the first level does.  All steps are written tables, so a lost executor costs one
+    step, and an end with many links is pre-aggregated and split by adaptive execution.
     """
-    spark = links.sparkSession
-
-    def settled(edges: DataFrame):
-        """The edges as a written table, and their number and sum of hashes, which the writing tasks count."""
-        seen, path = Observation(), working_folder(spark, "near-stars")
-        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        edges.observe(seen, F.count(F.lit(1)).alias("rows"), total.alias("total")).write.parquet(path)
-        return spark.read.schema(edges.schema).parquet(path), (seen.get["rows"], seen.get["total"])
-
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, now = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        if now == before:
-            break
-        before = now
-    # now each u has one v, and no v is a u
-    hung = edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    hung, left = None, 1
+    while left:
+        roots = _roots(edges.groupBy("u").agg(F.min("v").alias("v")))
+        if hung is None:
+            hung = roots.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+        else:  # roots of the level before are no ends of it, so they come as new rows
+            hung = _labelled(hung.withColumnRenamed("component", "_was"), _as_labels(roots), "_was", "component")
+            hung = hung.select("rep", "component").unionByName(_as_labels(roots))
+        left = 0
+        if not forest:
+            ends = _labelled(_labelled(edges, _as_labels(roots), "u", "_a"), _as_labels(roots), "v", "_b")
+            between = ends.where("_a <> _b").select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v"))
+            edges, sums = counted(between.distinct(), "near-edges")
+            left = sums["rows"]
     return hung.unionByName(hung.select(F.col("component").alias("rep"), "component").distinct())
 
 
-def _joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components (rep, component) after more links (a, b): only those between components are followed."""
+def _as_labels(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+
+
+def _joined_components(labels: DataFrame | None, links: DataFrame, forest: bool = False) -> DataFrame:
+    """The components (rep, component, size) after more links (a, b): only those between components are followed."""
     if labels is None:
-        return written(components(links), "near-components")
-    ends = _labelled(_labelled(links, labels, "a", "_ca"), labels, "b", "_cb")
-    between = ends.select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).where("a <> b")
-    moved = written(components(between), "near-joined")
-    own = labels.select("rep", F.col("component").alias("_was"))
-    before = _labelled(own, moved, "_was", "component").select("rep", "component")
-    new = moved.join(labels.select("rep"), "rep", "left_anti")
-    return written(before.unionByName(new), "near-components")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b): the pairs whose full sets are similar enough, written."""
+        labels = components(links, forest)
+    else:
+        own = labels.select("rep", "component")
+        ends = _labelled(_labelled(links, own, "a", "_ca"), own, "b", "_cb")
+        between = ends.select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).where("a <> b")
+        moved = written(components(between), "near-joined")
+        before = _labelled(own.withColumnRenamed("component", "_was"), moved, "_was", "component")
+        new = moved.join(own.select("rep"), "rep", "left_anti")
+        labels = before.select("rep", "component").unionByName(new)
+    labels = written(labels, "near-components")
+    sizes = labels.groupBy(F.col("component").alias("_whole")).agg(F.count(F.lit(1)).alias("size"))
+    sized = labels.join(sizes, labels["component"] == sizes["_whole"]).drop("_whole")
+    return written(sized, "near-sizes")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """Links (a, b): the pairs whose full sets are similar enough, written, and their number."""
     right = sets.select(F.col("rep").alias("b"), F.col("members").alias("_mb"))
     left = sets.select(F.col("rep").alias("a"), F.col("members").alias("_ma"))
     common = F.size(F.array_intersect("_ma", "_mb"))
     union = F.size("_ma") + F.size("_mb") - F.col("_common")
     checked = pairs.join(right, "b").join(left, "a").withColumn("_common", common)
-    return written(checked.where(100 * F.col("_common") >= SIMILARITY * union).select("a", "b"), "near-links")
+    links, sums = counted(checked.where(100 * F.col("_common") >= SIMILARITY * union).select("a", "b"), "near-links")
+    return links, sums["rows"]
 
 
 def _labelled(frame: DataFrame, labels: DataFrame | None, rep: str, name: str) -> DataFrame:
@@ -191,75 +223,98 @@ def _labelled(frame: DataFrame, labels: DataFrame | None, rep: str, name: str) -
     return joined.withColumn(name, F.coalesce("_label", rep)).drop("_end", "_label")
 
 
-def _centres(active: DataFrame, centres: int) -> DataFrame:
-    """The first rows of every bucket, ``centres`` at most: each task passes on that many of its own rows of a key.
+#: Centres of a bucket in the first round, and how many times as many each later round has.
+FIRST_CENTRES, MORE_CENTRES = 1, 32
 
-    The order is total, so every plan that asks has the same centres.
-    """
-    active.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str((1 << 31) - 1))
-    order = Window.partitionBy("key").orderBy("size", "rep", "spare")
-    return active.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= centres).drop("_rank")
+
+def _centres(active: DataFrame, centres: int) -> DataFrame:
+    """The first rows of every bucket, ``centres`` at most: each task passes on that many of its own rows of a key."""
+    order = [F.col(name) for name in _ORDER]
+    if centres == 1:
+        others = [name for name in active.columns if name not in ("key", *_ORDER)]
+        least = active.groupBy("key").agg(F.min(F.struct(*_ORDER, *others)).alias("_least"))
+        return least.select("key", "_least.*")
+    window = Window.partitionBy("key").orderBy(*order)
+    return active.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= centres).drop("_rank")
+
+
+#: The order of a bucket, which is total, so every plan that asks has the same centres.
+_ORDER = ("size", "rep", "spare")
+_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+@contextmanager
+def _limited_windows(spark: SparkSession):
+    """While this lasts, tasks pick the first rows of windows for any number of them before rows are shuffled."""
+    before = spark.conf.get(_LIMIT, None)
+    spark.conf.set(_LIMIT, str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LIMIT)
+        else:
+            spark.conf.set(_LIMIT, before)
 
 
 def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | None:
-    """Components of the representatives (rep, component), or None if there are no links.
+    """Components of the representatives (rep, component, size), or None if there are no links.
 
     The buckets are the groups of representatives with one index key; one whose members share the spare
     symbol holds no pair that is due there and is left out.  A bucket is never expanded into
     all its pairs at once: a round compares its first members (the centres) with all its others that are not known to be
     in the same component, then retires the centres and all buckets whose members are in one component.
     Members of small components are centres first: once they are retired, a bucket of one large component is done.
-    Rounds go on, with eight times as many centres each, until no bucket is left: all pairs of a bucket have then
+    Rounds go on, with MORE_CENTRES times as many centres each, until no bucket is left: all pairs of a bucket have then
     been compared, or are in one component anyway, so no link that could join two components is missed.
-    No task holds a bucket to rank it: the centres are picked per task first, the others are what an anti join leaves.
+    No task holds a bucket to rank it: the centres are picked per task first, the others are what comes behind them.
     In the first round each member asks its smallest centre first, and the others only if still apart.
     """
-    keyed = representatives.select("rep", _keys("signature", "rep"))
-    spares = F.min("spare").alias("_least"), F.max("spare").alias("_most")
     # Only keys are shuffled to find those that several have; of the rows, only those that may have one of them.
-    repeated = written(
-        keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "near-keys"
-    )
-    meeting = thinned(keyed, "key", repeated)
+    keys = representatives.select("rep", "signature").mapInArrow(_index(False), "key long")
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    several, found = counted(several, "near-keys")
+    if not found["rows"]:
+        return None
+    spares = F.min("spare").alias("_least"), F.max("spare").alias("_most")
+    keyed = representatives.select("rep", "signature").mapInArrow(_index(True), "key long, rep long, spare long")
+    meeting = thinned(keyed, "key", several)
     shared = meeting.groupBy("key").agg(*spares).where("_least <> _most").select("key")
     meeting = meeting.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
-    active = written(meeting.withColumn("size", F.lit(1).cast("long")), "near-buckets")
+    meeting = meeting.withColumn("size", F.lit(1).cast("long")).withColumn("component", F.col("rep"))
+    active, found = counted(meeting, "near-buckets")
     wanted = active.select(F.col("rep").alias("doc_id")).distinct()
     sources = thinned(documents, "doc_id", wanted).join(wanted, "doc_id", "left_semi").select(documents.columns)
     sets = written(sources.mapInArrow(_sets, "rep long, members array<long>"), "near-sets")
-    links, labels, centres = None, None, 1
-    while not active.isEmpty():
+    labels, centres, first_round = None, FIRST_CENTRES, True
+    while found["rows"]:
         first = _centres(active, centres)
-        retired = first.select("key", "rep", "spare")
+        behind = first.groupBy("key").agg(F.max(F.struct(*_ORDER)).alias("_last"))
         first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
-        apart = (F.col("rep") != F.col("_rep")) & (F.col("spare") != F.col("_spare"))
+        apart = (F.col("component") != F.col("_component")) & (F.col("spare") != F.col("_spare"))
         apart = apart & _split_by_size("n", "_n") & _alike("_")
-        if "component" in active.columns:
-            apart = apart & (F.col("component") != F.col("_component"))
         meeting = active.join(first, "key").where(apart)
         pairs = meeting.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
-        pairs = written(pairs, "near-pairs")
-        if links is None:
-            links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-            labels = None if links.isEmpty() else _joined_components(None, links)
+        pairs, met = counted(pairs, "near-pairs")
+        if first_round and met["rows"]:
+            links, more = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+            labels = _joined_components(None, links, forest=True) if more else None
             rest = _labelled(_labelled(pairs, labels, "a", "_ca"), labels, "b", "_cb")
             asked = pairs.groupBy("b").agg(F.min("a").alias("a"))
             pairs = rest.where("_ca <> _cb").select("a", "b").join(asked, ["a", "b"], "left_anti")
-        more = _verified(pairs, sets)
-        if not more.isEmpty():
-            labels = _joined_components(labels, more)
-        rest = active.join(retired, ["key", "rep", "spare"], "left_anti")
-        rest = _labelled(rest.drop("component", "size"), labels, "rep", "component")
-        if labels is None:
-            rest = rest.withColumn("size", F.lit(1).cast("long"))
-        else:
-            sizes = labels.groupBy(F.col("component").alias("_whole")).agg(F.count(F.lit(1)).alias("_size"))
-            rest = rest.join(sizes, rest["component"] == sizes["_whole"], "left")
-            rest = rest.withColumn("size", F.coalesce("_size", F.lit(1).cast("long"))).drop("_whole", "_size")
+        if met["rows"]:
+            links, more = _verified(pairs, sets)
+            labels = _joined_components(labels, links) if more else labels
+        rest = active.join(behind, "key").where(F.struct(*_ORDER) > F.col("_last")).drop("_last")
+        if labels is not None:
+            side = labels.select(F.col("rep").alias("_end"), F.col("component").alias("_label"), F.col("size").alias("_size"))
+            rest = rest.join(side, rest["rep"] == side["_end"], "left")
+            rest = rest.withColumns({"component": F.coalesce("_label", "rep"), "size": F.coalesce("_size", "size")})
+            rest = rest.drop("_end", "_label", "_size")
         apart = rest.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), *spares)
         apart = apart.where("_low <> _high AND _least <> _most").select("key")
-        active = written(rest.join(apart, "key", "left_semi"), "near-buckets")
-        centres *= 8
+        active, found = counted(rest.join(apart, "key", "left_semi"), "near-buckets")
+        centres, first_round = centres * MORE_CENTRES, False
     return labels
 
 
@@ -284,7 +339,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     same_set = [F.first(name).alias(name) for name in ("signature", *SKETCH)]
     classes = named.groupBy(*digest).agg(F.min("doc_id").alias("rep"), *same_set)
     representatives = written(classes, "near-representatives")
-    labels = _linked(rows, representatives)
+    with _limited_windows(documents.sparkSession):
+        labels = _linked(rows, representatives)
     classes = _labelled(representatives.select(*digest, "rep"), labels, "rep", "component")
     classes = classes.select(*(F.col(name).alias(f"_{name}") for name in digest), "component")
     same = (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
