@@ -80,10 +80,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, text in enumerate(texts(batch)):
             values = shingles(text, hashes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, 1), pa.array([values.view(np.int64)], pa.list_(pa.int64()))],
-                names=["rep", "members"],
-            )
+            doc_id, asked = (batch.column(name).slice(row, 1) for name in ("doc_id", "asked"))
+            members = pa.array([values.view(np.int64)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc_id, asked, members], names=["rep", "asked", "members"])
 
 
 def index_keys(signatures: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -103,25 +102,32 @@ def index_keys(signatures: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.nda
             yield skipped, key.view(np.int64), own[:, skipped].astype(np.int64)
 
 
-def _index(with_rows: bool):
-    """The index of representatives: keys alone, or (key, rep, spare).
+def _symbols(batch: pa.RecordBatch) -> np.ndarray:
+    rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype="<u2")
+    return rows.reshape(batch.num_rows, -1)
+
+
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rows): the keys of a batch, each once."""
+    for batch in batches:
+        every = [keys for _, keys, _ in index_keys(_symbols(batch))]
+        keys, counts = np.unique(np.concatenate(every), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "rows"])
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index of representatives: (key, rep, spare).
 
     Equal chunks agree in all their keys, and are to be compared in the first one only: ``spare`` stands for
     the symbol left out, and for the representative itself in the first key of a chunk, so a pair is due in
     just those of its keys where spares differ.
     """
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype="<u2").reshape(batch.num_rows, -1)
-            reps = batch.column("rep")
-            for skipped, keys, spares in index_keys(rows):
-                columns = [pa.array(keys)]
-                if with_rows:
-                    columns += [reps, pa.array(spares) if skipped else reps]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "rep", "spare"][: len(columns)])
-
-    return make
+    for batch in batches:
+        reps = batch.column("rep")
+        for skipped, keys, spares in index_keys(_symbols(batch)):
+            columns = [pa.array(keys), reps, pa.array(spares) if skipped else reps]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "rep", "spare"])
 
 
 def _split_by_size(smaller: str, larger: str):
@@ -155,13 +161,12 @@ def _roots(parents: DataFrame) -> DataFrame:
     return parents
 
 
-def components(links: DataFrame, forest: bool = False) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(rep, component) of all ends of the links (a, b): the smallest end that links reach.
 
     Every end hangs on its smallest smaller neighbour; the roots of this forest take the place of its ends in the links, and
-    links within a tree are done.  Levels go on until no link is left; ``forest`` says that every larger end has one link
-    only, so the first level does.  All steps are written tables, so a lost executor costs one
-    step, and an end with many links is pre-aggregated and split by adaptive execution.
+    links within a tree are done.  Levels go on until no link is left.  All steps are written tables, so a lost
+    executor costs one step, and an end with many links is pre-aggregated and split by adaptive execution.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     hung, left = None, 1
@@ -172,12 +177,10 @@ def components(links: DataFrame, forest: bool = False) -> DataFrame:
         else:  # roots of the level before are no ends of it, so they come as new rows
             hung = _labelled(hung.withColumnRenamed("component", "_was"), _as_labels(roots), "_was", "component")
             hung = hung.select("rep", "component").unionByName(_as_labels(roots))
-        left = 0
-        if not forest:
-            ends = _labelled(_labelled(edges, _as_labels(roots), "u", "_a"), _as_labels(roots), "v", "_b")
-            between = ends.where("_a <> _b").select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v"))
-            edges, sums = counted(between.distinct(), "near-edges")
-            left = sums["rows"]
+        ends = _labelled(_labelled(edges, _as_labels(roots), "u", "_a"), _as_labels(roots), "v", "_b")
+        between = ends.where("_a <> _b").select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v"))
+        edges, sums = counted(between.distinct(), "near-edges")
+        left = sums["rows"]
     return hung.unionByName(hung.select(F.col("component").alias("rep"), "component").distinct())
 
 
@@ -185,10 +188,10 @@ def _as_labels(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("rep"), F.col("v").alias("component"))
 
 
-def _joined_components(labels: DataFrame | None, links: DataFrame, forest: bool = False) -> DataFrame:
+def _joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components (rep, component, size) after more links (a, b): only those between components are followed."""
     if labels is None:
-        labels = components(links, forest)
+        labels = components(links)
     else:
         own = labels.select("rep", "component")
         ends = _labelled(_labelled(links, own, "a", "_ca"), own, "b", "_cb")
@@ -203,14 +206,17 @@ def _joined_components(labels: DataFrame | None, links: DataFrame, forest: bool
     return written(sized, "near-sizes")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
-    """Links (a, b): the pairs whose full sets are similar enough, written, and their number."""
-    right = sets.select(F.col("rep").alias("b"), F.col("members").alias("_mb"))
-    left = sets.select(F.col("rep").alias("a"), F.col("members").alias("_ma"))
-    common = F.size(F.array_intersect("_ma", "_mb"))
-    union = F.size("_ma") + F.size("_mb") - F.col("_common")
-    checked = pairs.join(right, "b").join(left, "a").withColumn("_common", common)
-    links, sums = counted(checked.where(100 * F.col("_common") >= SIMILARITY * union).select("a", "b"), "near-links")
+def _verified(asking: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """Links (a, b): the rows (rep, members, asked) whose set and that of ``asked`` are similar enough, written, and
+    their number.  Only sets that are asked are shuffled to meet them."""
+    wanted = asking.select(F.col("asked").alias("rep")).distinct()
+    centres = thinned(sets.select("rep", "members"), "rep", wanted)
+    centres = centres.select(F.col("rep").alias("asked"), F.col("members").alias("_members"))
+    common = F.size(F.array_intersect("members", "_members"))
+    union = F.size("members") + F.size("_members") - F.col("_common")
+    checked = asking.join(centres, "asked").withColumn("_common", common)
+    alike = checked.where(100 * F.col("_common") >= SIMILARITY * union)
+    links, sums = counted(alike.select(F.least("rep", "asked").alias("a"), F.greatest("rep", "asked").alias("b")), "near-links")
     return links, sums["rows"]
 
 
@@ -238,8 +244,10 @@ def _centres(active: DataFrame, centres: int) -> DataFrame:
     return active.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= centres).drop("_rank")
 
 
-#: The order of a bucket, which is total, so every plan that asks has the same centres.
-_ORDER = ("size", "rep", "spare")
+#: The order of a bucket: members of small components first, then those that meet the most rows in all their buckets
+#: (``weight`` is minus their number): what copies were made from meets more of them than they do of each
+#: other.  It is total and the same in all buckets, so every plan that asks has the same centres.
+_ORDER = ("size", "weight", "rep", "spare")
 _LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -271,21 +279,21 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     In the first round each member asks its smallest centre first, and the others only if still apart.
     """
     # Only keys are shuffled to find those that several have; of the rows, only those that may have one of them.
-    keys = representatives.select("rep", "signature").mapInArrow(_index(False), "key long")
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    keys = representatives.select("signature").mapInArrow(_key_counts, "key long, rows long").repartition("key")
+    several = keys.groupBy("key").agg(F.sum("rows").alias("rows")).where("rows > 1").select("key")
     several, found = counted(several, "near-keys")
     if not found["rows"]:
         return None
     spares = F.min("spare").alias("_least"), F.max("spare").alias("_most")
-    keyed = representatives.select("rep", "signature").mapInArrow(_index(True), "key long, rep long, spare long")
+    keyed = representatives.select("rep", "signature").mapInArrow(_index, "key long, rep long, spare long")
     meeting = thinned(keyed, "key", several)
-    shared = meeting.groupBy("key").agg(*spares).where("_least <> _most").select("key")
-    meeting = meeting.join(shared, "key").join(representatives.select("rep", "n", *SKETCH), "rep")
-    meeting = meeting.withColumn("size", F.lit(1).cast("long")).withColumn("component", F.col("rep"))
-    active, found = counted(meeting, "near-buckets")
-    wanted = active.select(F.col("rep").alias("doc_id")).distinct()
-    sources = thinned(documents, "doc_id", wanted).join(wanted, "doc_id", "left_semi").select(documents.columns)
-    sets = written(sources.mapInArrow(_sets, "rep long, members array<long>"), "near-sets")
+    shared = meeting.groupBy("key").agg(*spares, F.count(F.lit(1)).alias("_rows")).where("_least <> _most")
+    meeting = written(meeting.join(shared.select("key", "_rows"), "key"), "near-meeting")
+    weights = meeting.groupBy("rep").agg((-F.sum("_rows")).alias("weight"))
+    described = representatives.select("rep", "n", *SKETCH).join(weights, "rep")
+    meeting = meeting.drop("_rows").join(described, "rep").withColumn("size", F.lit(1).cast("long"))
+    active, found = counted(meeting.withColumn("component", F.col("rep")), "near-buckets")
+    sets = None
     labels, centres, first_round = None, FIRST_CENTRES, True
     while found["rows"]:
         first = _centres(active, centres)
@@ -294,16 +302,18 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
         apart = (F.col("component") != F.col("_component")) & (F.col("spare") != F.col("_spare"))
         apart = apart & _split_by_size("n", "_n") & _alike("_")
         meeting = active.join(first, "key").where(apart)
-        pairs = meeting.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
+        pairs = meeting.select("rep", F.col("_rep").alias("asked"), F.col("_weight").alias("weight")).distinct()
         pairs, met = counted(pairs, "near-pairs")
-        if first_round and met["rows"]:
-            links, more = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-            labels = _joined_components(None, links, forest=True) if more else None
-            rest = _labelled(_labelled(pairs, labels, "a", "_ca"), labels, "b", "_cb")
-            asked = pairs.groupBy("b").agg(F.min("a").alias("a"))
-            pairs = rest.where("_ca <> _cb").select("a", "b").join(asked, ["a", "b"], "left_anti")
+        if first_round:
+            asked = pairs.groupBy("rep").agg(F.min(F.struct("weight", "asked"))["asked"].alias("asked"))
+            sets = _set_table(documents, active, asked)
+            links, more = _verified(sets.where("asked IS NOT NULL"), sets)
+            labels = _joined_components(None, links) if more else None
+            apart = _labelled(_labelled(pairs, labels, "rep", "_ca"), labels, "asked", "_cb").where("_ca <> _cb")
+            pairs, met = counted(apart.select("rep", "asked").join(asked, ["rep", "asked"], "left_anti"), "near-pairs")
         if met["rows"]:
-            links, more = _verified(pairs, sets)
+            asking = thinned(sets.select("rep", "members"), "rep", pairs.select("rep").distinct())
+            links, more = _verified(asking.join(pairs.select("rep", "asked"), "rep"), sets)
             labels = _joined_components(labels, links) if more else labels
         rest = active.join(behind, "key").where(F.struct(*_ORDER) > F.col("_last")).drop("_last")
         if labels is not None:
@@ -318,6 +328,13 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     return labels
 
 
+def _set_table(documents: DataFrame, active: DataFrame, asked: DataFrame) -> DataFrame:
+    """(rep, asked, members) of all representatives in buckets: the set of each, and the centre it asks first."""
+    wanted = active.select("rep").distinct().join(asked, "rep", "left").withColumnRenamed("rep", "doc_id")
+    sources = thinned(documents, "doc_id", wanted).join(wanted, "doc_id")
+    return written(sources.mapInArrow(_sets, "rep long, asked long, members array<long>"), "near-sets")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 

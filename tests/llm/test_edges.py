@@ -93,17 +93,49 @@ def test_near(docs):
 def test_near_pairs_are_due_in_few_keys(spark):
     """Two signatures agree in a key exactly where a chunk has at most one error, and are due in one key of an
     equal chunk; a spare names its symbol one-to-one."""
-    assert len({zlib.crc32(bytes(two)) >> 16 for two in itertools.product(range(256), repeat=2)}) == 1 << 16
     one = np.arange(near.CHUNKS * near.SYMBOLS, dtype="<u2")
     two = one.copy()
     two[near.SYMBOLS : near.SYMBOLS + 2] += 1  # two errors in the second chunk, one in the third
     two[2 * near.SYMBOLS + 3] += 256
     two[3 * near.SYMBOLS] += 1  # and one in the first symbol of the fourth
     rows = spark.createDataFrame([(7, bytearray(one.tobytes())), (9, bytearray(two.tobytes()))], "rep long, signature binary")
-    keyed = rows.select("rep", near._keys("signature", "rep")).groupBy("key")
+    keyed = rows.coalesce(1).mapInArrow(near._index, "key long, rep long, spare long").groupBy("key")
     counts = keyed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("spare").alias("spares")).where("n = 2").collect()
     assert len(counts) == (near.CHUNKS - 3) * near.SYMBOLS + 2
     assert sum(row.spares == 2 for row in counts) == near.CHUNKS - 1
+    totals = rows.mapInArrow(near._key_counts, "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows"))
+    assert {r.key for r in totals.where("rows > 1").collect()} == {r.key for r in counts}
+
+
+def test_thinned_rows_hold_all_that_are_wanted(spark, monkeypatch):
+    from hashloom.llm import common
+
+    monkeypatch.setattr(common, "THIN_WORDS", 6)
+    frame = spark.range(50_000).withColumnRenamed("id", "k").withColumn("other", F.col("k") * 2)
+    wanted = spark.range(0, 50_000, 1_000).withColumnRenamed("id", "k")
+    rows = common.thinned(frame, "k", wanted)
+    assert rows.columns == frame.columns and rows.join(wanted, "k").count() == 50 <= rows.count() < 5_000
+    assert common.thinned(frame, "k", wanted.limit(0)).isEmpty()
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(4)
+    for size, count in ((60, 40), (60, 200), (300, 299)):
+        links = [(rng.randrange(size), rng.randrange(size)) for _ in range(count)]
+        if count == 299:  # a path in random order, and a hub between
+            order = rng.sample(range(size), size)
+            links = list(zip(order, order[1:])) + [(order[7], other) for other in order[100:200]]
+        links = [(a, b) for a, b in links if a != b]
+        least = {v: v for link in links for v in link}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in links:
+                low = min(least[a], least[b])
+                changed |= least[a] != low or least[b] != low
+                least[a] = least[b] = low
+        found = near.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(found) == len(least) and {r.rep: r.component for r in found} == least
 
 
 def test_near_ranks_no_whole_bucket(spark, monkeypatch):
@@ -111,13 +143,17 @@ def test_near_ranks_no_whole_bucket(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(40))
     texts = [f"{passage} " + " ".join(f"u{i}x{k}" for k in range(20)) for i in range(120)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    plans, write = [], near.written
+    plans = []
+
+    def noted(write):
+        def noting(frame, purpose, **sums):
+            plans.append((purpose, frame._jdf.queryExecution().executedPlan().toString()))
+            return write(frame, purpose, **sums)
 
-    def written(frame, purpose):
-        plans.append((purpose, frame._jdf.queryExecution().executedPlan().toString()))
-        return write(frame, purpose)
+        return noting
 
-    monkeypatch.setattr(near, "written", written)
+    for name in ("written", "counted"):
+        monkeypatch.setattr(near, name, noted(getattr(near, name)))
     assert {r.component_id for r in near.near_duplicates(frame).collect()} == set(range(120))
     assert sum(purpose == "near-buckets" for purpose, _ in plans) > 3
     for _, plan in plans:
