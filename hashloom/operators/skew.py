@@ -35,19 +35,6 @@ def hottest(counted: DataFrame, key: str, count: str) -> DataFrame:
     return hot.select(key, _salts(F.col(count)).alias(_SALTS))
 
 
-def hot_counts(rows: DataFrame, keys: tuple[str, ...]) -> dict[str, list]:
-    """The hot keys of several columns, as text, with their rows, to be
-    recorded with a table."""
-    parts = []
-    for key in keys:
-        counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS)
-        parts.append(counted.select(F.lit(key).alias("column"), F.col(key).cast("string").alias("key"), "rows"))
-    found: dict[str, list] = {key: [] for key in keys}
-    for row in reduce(DataFrame.union, parts).collect():
-        found[row["column"]].append((row["key"], row["rows"]))
-    return found
-
-
 def listed_keys(rows: DataFrame, key: str, counts: list) -> DataFrame | None:
     """The hot keys from recorded (key, rows); None without any."""
     hot = [(value, -(-count // HOT_ROWS)) for value, count in counts if count > HOT_ROWS]
@@ -61,15 +48,39 @@ def _salts(count: Column) -> Column:
     return F.ceil(count / F.lit(HOT_ROWS)).cast("int")
 
 
+def key_counts(rows: DataFrame, keys: tuple[str, ...], least: int) -> DataFrame:
+    """(column, key, rows) of the keys of several columns with more than ``least`` rows, keys as text."""
+    parts = []
+    for key in keys:
+        known = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        many = known.where(F.col("rows") > least)
+        parts.append(many.select(F.lit(key).alias("column"), F.col(key).cast("string").alias("key"), "rows"))
+    return reduce(DataFrame.union, parts)
+
+
+def merged_hot(counts: DataFrame, keys: tuple[str, ...]) -> dict[str, list]:
+    """The hot keys of several columns from the counts (column, key, rows) of parts."""
+    found: dict[str, list] = {key: [] for key in keys}
+    totals = counts.groupBy("column", "key").agg(F.sum("rows").alias("rows")).where(F.col("rows") > HOT_ROWS)
+    for row in totals.collect():
+        found[row["column"]].append((row["key"], row["rows"]))
+    return found
+
+
 def spread_join(rows: DataFrame, single: DataFrame, key: str, how: str, hot: DataFrame | None) -> DataFrame:
     """Join rows with a side that holds every key at most once.
 
     ``how`` is inner, left, left_semi or left_anti, seen from the rows, or right: every row of the
-    single side is kept.  For right, the hot keys must come from the very rows that are joined.
+    single side is kept, or full: every row of both.  For right, the hot keys must come from the very rows that are joined.
     Without hot keys (None) this is an ordinary join.
     """
     if hot is None:
         return rows.join(single, key, how)
+    if how == "full":
+        # what the rows meet, and what no row has met: keys are pre-aggregated before that is asked
+        alone = single.join(rows.select(key).distinct(), key, "left_anti")
+        met = spread_join(rows, single, key, "left", hot)
+        return met.unionByName(alone, allowMissingColumns=True)
     keys = F.broadcast(hot)
     others = [c for c in rows.columns if c != key]
     salt = F.pmod(F.xxhash64(*(others or [key])), F.col(_SALTS)).cast("int")
@@ -83,3 +94,38 @@ def spread_join(rows: DataFrame, single: DataFrame, key: str, how: str, hot: Dat
     joined = repeated.join(marked, [key, _SALT], "left")
     real = F.col(_SALTS).isNull() | F.col("__matched").isNotNull()
     return joined.where(real).drop(_SALT, _SALTS, "__matched")
+
+
+def grid_join(rows: DataFrame, others: DataFrame, key: str, how: str, hot: DataFrame | None, others_hot: DataFrame) -> DataFrame:
+    """Join rows with a side that may hold a key many times as well, ``how`` being inner or right (all others are kept).
+
+    A hot key of both sides makes a grid: its rows are cut into blocks by a hash of the row, as many as its salts, so
+    are the others, and every block of rows meets every block of others in a task of its own.  A task then has at most
+    about HOT_ROWS of either side, whatever share of them the key has.  For right, the hot keys must come from the very sides
+    that are joined.
+    """
+    joined = _grid(rows, others, key, how, hot, others_hot)
+    # a key with rows leaves no other unmatched, though a block of its rows may be empty
+    real = (F.col("__rows") <= 1) | F.col("__rows").isNull() | F.col("__matched").isNotNull()
+    return joined.where(real).drop("__first", "__second", "__rows", "__others", "__matched")
+
+
+def _grid(rows, others, key, how, hot, others_hot) -> DataFrame:
+    """The joined rows with the cell of the grid they come from."""
+    first, second = "__first", "__second"
+    hot = rows.select(key).limit(0).withColumn(_SALTS, F.lit(1)) if hot is None else hot
+    keys = hot.withColumnRenamed(_SALTS, "__rows")
+    grid = keys.join(others_hot.withColumnRenamed(_SALTS, "__others"), key, "full")
+    grid = F.broadcast(grid.select(key, *(F.coalesce(c, F.lit(1)).alias(c) for c in ("__rows", "__others"))))
+
+    def block(frame: DataFrame, salts: str) -> Column:
+        own = [c for c in frame.columns if c != key]
+        return F.coalesce(F.pmod(F.xxhash64(*(own or [key])), F.col(salts)).cast("int"), F.lit(0))
+
+    def every(salts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))
+
+    cut = rows.join(grid, key, "left").withColumn(first, block(rows, "__rows")).withColumn(second, every("__others"))
+    met = others.join(grid, key, "left").withColumn(second, block(others, "__others")).withColumn(first, every("__rows"))
+    cut = cut.drop("__rows", "__others").withColumn("__matched", F.lit(True))
+    return met.join(cut, [key, first, second], "inner" if how == "inner" else "left")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.numbers import as_number
 from hashloom.operators.collapse import collapse_rows, collapse_single, check_collapse, unset_result
-from hashloom.operators.skew import hot_keys, spread_join
+from hashloom.operators.skew import grid_join, hot_keys, spread_join
 from hashloom.plans.filters import Condition, Predicate
 from hashloom.plans.namespace import UNSET, Database, Feature, FeatureError, Namespace
 
@@ -209,10 +209,7 @@ class _Query:
 
     def _join(self, single: DataFrame, how: str) -> None:
         """Join a side with one row per hash."""
-        if how == "full":
-            self.frame = self.frame.join(single, "hash", how)
-        else:
-            self.frame = spread_join(self.frame, single, "hash", how, self.hot)
+        self.frame = spread_join(self.frame, single, "hash", how, self.hot)
 
     def _join_same_context(self) -> None:
         used = {f.database for f in self._used() if self._in_context(f)}
@@ -306,7 +303,11 @@ class _Query:
             return
         source = self.namespace.values(feature)
         pairs = source.pairs().withColumnRenamed("value", feature.label)
-        self.frame = spread_join(pairs, self.frame, "hash", "right", source.hot_keys("hash"))
+        if self.unfolded or self.key.many:  # the frame has several rows of a hash by now
+            frame_hot = hot_keys(self.frame, "hash")
+            self.frame = grid_join(pairs, self.frame, "hash", "right", source.hot_keys("hash"), frame_hot)
+        else:
+            self.frame = spread_join(pairs, self.frame, "hash", "right", source.hot_keys("hash"))
         self._fill(feature)
         self.unfolded.add(feature)
 

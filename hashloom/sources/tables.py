@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.text import Contexts, database_name_of
-from hashloom.operators.skew import hot_counts
+from hashloom.operators import skew
 from hashloom.plans.namespace import BASE, ENTITIES, Database, FeatureError, Namespace, Values
 from hashloom.session import file_system
 
@@ -227,10 +227,32 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
     return open_database(spark, path)
 
 
+#: A part's summary has its keys with more than this share of the rows that make a key hot.
+_SHARE = 64
+_SIDES = ("hash", "value")
+
+
 def _hot(spark: SparkSession, path: str, stored: tuple[str, ...]) -> dict:
-    """Hashes and values with very many rows, recorded so that queries need not look for them."""
-    rows = spark.read.parquet(*[f"{path}/{part}" for part in stored])
-    return hot_counts(rows, ("hash", "value"))
+    """Hashes and values with very many rows, recorded so that queries need not look for them.
+
+    Each part has a summary beside it, the rows of its keys with more than HOT_ROWS / 64 of them, counted when the part is
+    written; the summaries of all parts are added up, so an append reads no stored part.  With P parts a key is
+    counted short by P / 64 of HOT_ROWS at most: that delays its salting, and loses no row.
+    """
+    missing = [part for part in stored if not _exists(spark, _summary(path, part))]
+    for part in missing:
+        counts = skew.key_counts(spark.read.parquet(f"{path}/{part}"), _SIDES, skew.HOT_ROWS // _SHARE)
+        counts.coalesce(1).write.mode("overwrite").parquet(_summary(path, part))
+    return skew.merged_hot(spark.read.parquet(*[_summary(path, part) for part in stored]), _SIDES)
+
+
+def _summary(path: str, part: str) -> str:
+    return f"{path}/hot/{part}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, place = file_system(spark, f"{path}/_SUCCESS")
+    return system.exists(place)
 
 
 def _write(frame: DataFrame, path: str, part: str, buckets: int) -> None:

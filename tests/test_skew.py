@@ -18,7 +18,7 @@ def sides(spark, monkeypatch):
     return rows, single
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti", "right"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti", "right", "full"])
 def test_same_rows_as_a_plain_join(sides, how):
     rows, single = sides
     single = single.where("k % 9 <> 1")
@@ -47,3 +47,27 @@ def test_every_hot_key_is_salted(spark, monkeypatch):
     single = spark.range(2_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     joined = skew.spread_join(rows, single, "k", "inner", hot).select("k", "v", "w")
     assert rows_of(joined) == rows_of(rows.join(single, "k").select("k", "v", "w"))
+
+
+@pytest.mark.parametrize("how", ["inner", "right"])
+@pytest.mark.parametrize("hot_rows", [5, 1_000])
+def test_hot_keys_of_both_sides_make_a_grid(spark, monkeypatch, how, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    rows = spark.range(200).select(F.when(F.col("id") < 60, 1).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("v"))
+    others = spark.range(150).select(F.when(F.col("id") < 50, 1).otherwise(F.col("id") % 70).alias("k"), F.col("id").alias("w"))
+    others = others.union(spark.createDataFrame([(None, -1), (900, -2), (900, -3)], "k long, w long")).union(
+        spark.range(20).select(F.lit(901), F.col("id"))  # hot there, without rows here
+    )
+    hot, others_hot = skew.hot_keys(rows, "k"), skew.hot_keys(others, "k")
+    found = skew.grid_join(rows, others, "k", how, hot, others_hot).select("k", "v", "w")
+    assert rows_of(found) == rows_of(rows.join(others, "k", how).select("k", "v", "w"))
+
+
+def test_no_task_of_a_grid_holds_more_than_twice_the_mean(spark, monkeypatch):
+    """One key has all of 4,000 rows on either side: each cell of the grid makes about as many pairs."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 1_000)
+    rows = spark.range(4_000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    others = spark.range(4_000).select(F.lit(1).alias("k"), F.col("id").alias("w"))
+    joined = skew._grid(rows, others, "k", "inner", skew.hot_keys(rows, "k"), skew.hot_keys(others, "k"))
+    cells = [r["count"] for r in joined.groupBy("__first", "__second").count().collect()]
+    assert sum(cells) == 16_000_000 and len(cells) == 16 and max(cells) < 2 * sum(cells) / len(cells)

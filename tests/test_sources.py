@@ -179,6 +179,27 @@ def test_hot_keys_are_recorded(spark, database, tmp_path, monkeypatch):
     assert saved.many["tag"].hot_keys("hash") is None
 
 
+def test_an_append_counts_hot_keys_of_the_new_part_only(spark, database, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    path, counted = str(tmp_path / "db"), []
+    count = skew.key_counts
+
+    def noted(rows, keys, least):
+        counted.append(sorted({f.rsplit("/", 2)[1] + f.rsplit("/", 3)[1] for f in rows.inputFiles()}))
+        return count(rows, keys, least)
+
+    monkeypatch.setattr(skew, "key_counts", noted)
+    first = tables.save_database(database, path)
+    assert first.many["tag"].hot == {"hash": [], "value": []} and len(counted) == 1
+    second = tables.save_database(writes.set_values(first, "tag", frame([("a", "3"), ("d", "1"), ("e", "1")])), path)
+    assert len(counted) == 2 and not set(counted[0]) & set(counted[1])
+    # two rows in each part are not hot, three or four of both together are
+    hot = {side: sorted(keys) for side, keys in second.many["tag"].hot.items()}
+    assert hot == {"hash": [["a", 3]], "value": [["1", 4]]}
+    plain = second.many["tag"].pairs().groupBy("value").count().where("count > 2")
+    assert rows_of(plain) == [("1", 4)]
+
+
 def test_export_and_views(spark, database, tmp_path):
     saved = tables.save_database(database, str(tmp_path / "db"))
     copy = tables.export_database(saved, str(tmp_path / "copy"))
