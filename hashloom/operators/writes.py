@@ -20,6 +20,7 @@ from hashloom.plans.namespace import (
     BASE,
     ENTITIES,
     Database,
+    Edit,
     Feature,
     FeatureError,
     Namespace,
@@ -45,10 +46,19 @@ def _without(mapping: dict, *names: str) -> dict:
     return {k: v for k, v in mapping.items() if k not in names}
 
 
-def _entities_changed(database: Database, entities: DataFrame, **parts) -> Database:
+def _entities_changed(database: Database, entities: DataFrame, edits=None, **parts) -> Database:
     """Replace the entity table; it is no longer what the files hold."""
     files, added = _without(database.files, ENTITIES), _without(database.added, ENTITIES)
-    return database.with_parts(entities=entities, files=files, added=added, **parts)
+    return database.with_parts(entities=entities, files=files, added=added, edits=edits, **parts)
+
+
+def _edits(database: Database, hashes: DataFrame, apply) -> tuple[Edit, ...] | None:
+    return None if database.edits is None else (*database.edits, Edit(hashes, apply))
+
+
+def _entities_edited(database: Database, hashes: DataFrame, apply) -> Database:
+    """Change the rows of some hashes; a table stored in ranges keeps the files of all others."""
+    return _entities_changed(database, apply(database.entities), _edits(database, hashes, apply))
 
 
 def _entities_added(database: Database, rows: DataFrame) -> Database:
@@ -56,7 +66,9 @@ def _entities_added(database: Database, rows: DataFrame) -> Database:
     before = database.added.get(ENTITIES)
     added = rows if before is None else before.unionByName(rows)
     return database.with_parts(
-        entities=database.entities.unionByName(rows), added=database.added | {ENTITIES: added}
+        entities=database.entities.unionByName(rows),
+        added=database.added | {ENTITIES: added},
+        edits=_edits(database, rows.select("hash"), lambda entities: entities.unionByName(rows)),
     )
 
 
@@ -189,8 +201,6 @@ def _upsert(database: Database, features: list[Feature], wide: DataFrame) -> Dat
         F.coalesce(F.col(new[c]), database.single(c)).alias(c) if c in new else F.col(c)
         for c in database.entities.columns
     ]
-    known = database.entities.join(updates, "hash", "left").select(*merged)
-    unknown = _unknown(updates, database.entities)
     inserted = [
         F.col("hash")
         if f.name == "hash"
@@ -201,7 +211,12 @@ def _upsert(database: Database, features: list[Feature], wide: DataFrame) -> Dat
         .alias(f.name)
         for f in schema
     ]
-    return _entities_changed(database, known.unionByName(unknown.select(*inserted)))
+
+    def apply(entities: DataFrame) -> DataFrame:
+        known = entities.join(updates, "hash", "left").select(*merged)
+        return known.unionByName(_unknown(updates, entities).select(*inserted))
+
+    return _entities_edited(database, updates.select("hash"), apply)
 
 
 def _insert_pairs(database: Database, feature: Feature, rows: DataFrame) -> Database:
@@ -252,30 +267,39 @@ def reset_values(database: Database, name: str, values=None, hashes=None) -> Dat
         return _remove_pairs(database, name, values, hashes)
     entities = database.entities
     column = database.single(name)
-    hit = F.lit(True)
     values = None if values is None else short_list_or_frame(entities, values, name, "value")
     hashes = None if hashes is None else short_list_or_frame(entities, hashes, "hash", "hash")
-    if values is not None:
-        if isinstance(values, DataFrame):
-            marked = values.select(F.col("value").alias("__value"), F.lit(True).alias("__in_values")).distinct()
-            keyed = entities.withColumn("__value", column)
-            entities = spread_join(keyed, marked, "__value", "left", hot_keys(keyed, "__value")).drop("__value")
-            hit = hit & F.coalesce(F.col("__in_values"), F.lit(False))
-        else:
-            hit = hit & F.coalesce(column.isin(values), F.lit(False))
-    if hashes is not None:
-        if isinstance(hashes, DataFrame):
-            marked = hashes.select("hash", F.lit(True).alias("__in_hashes")).distinct()
-            entities = entities.join(marked, "hash", "left")
-            hit = hit & F.coalesce(F.col("__in_hashes"), F.lit(False))
-        else:
-            hit = hit & F.coalesce(F.col("hash").isin(hashes), F.lit(False))
+
+    def marked(entities: DataFrame) -> tuple[DataFrame, Column]:
+        hit = F.lit(True)
+        if values is not None:
+            if isinstance(values, DataFrame):
+                some = values.select(F.col("value").alias("__value"), F.lit(True).alias("__in_values")).distinct()
+                keyed = entities.withColumn("__value", column)
+                entities = spread_join(keyed, some, "__value", "left", hot_keys(keyed, "__value")).drop("__value")
+                hit = hit & F.coalesce(F.col("__in_values"), F.lit(False))
+            else:
+                hit = hit & F.coalesce(column.isin(values), F.lit(False))
+        if hashes is not None:
+            if isinstance(hashes, DataFrame):
+                some = hashes.select("hash", F.lit(True).alias("__in_hashes")).distinct()
+                entities = entities.join(some, "hash", "left")
+                hit = hit & F.coalesce(F.col("__in_hashes"), F.lit(False))
+            else:
+                hit = hit & F.coalesce(F.col("hash").isin(hashes), F.lit(False))
+        return entities, hit
+
     default = F.lit(database.defaults.get(name)).cast(database.entities.schema[name].dataType)
-    merged = [
-        F.when(hit, default).otherwise(column).alias(name) if c == name else F.col(c)
-        for c in database.entities.columns
-    ]
-    return _entities_changed(database, entities.select(*merged))
+
+    def apply(entities: DataFrame) -> DataFrame:
+        rows, hit = marked(entities)
+        merged = [
+            F.when(hit, default).otherwise(column).alias(name) if c == name else F.col(c) for c in entities.columns
+        ]
+        return rows.select(*merged)
+
+    rows, hit = marked(entities)
+    return _entities_edited(database, rows.where(hit).select("hash"), apply)
 
 
 def _remove_pairs(database: Database, name: str, values, hashes) -> Database:
@@ -307,9 +331,9 @@ def delete_entities(database: Database, hashes: DataFrame) -> Database:
     """Remove hashes from every table of a database."""
     doomed = hashes.select("hash").distinct()
     many = _delete_from_values(database, doomed)
-    entities = database.entities.join(doomed, "hash", "left_anti")
     base = {name: stored for name, stored in database.files.items() if name == BASE}
-    return database.with_parts(entities=entities, many=many, files=base, added={})
+    edited = _entities_edited(database, doomed, lambda entities: entities.join(doomed, "hash", "left_anti"))
+    return edited.with_parts(many=many, files=base, added={})
 
 
 def _delete_from_values(database: Database, doomed: DataFrame) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
@@ -90,11 +91,22 @@ def check_feature_name(name: str) -> None:
         raise FeatureError(f"feature name {name!r} is reserved")
 
 
+@dataclass(frozen=True)
+class Edit:
+    """One change of an entity table: the hashes whose rows it may change, and the change itself, which is right
+    for any part of the table that has all stored rows of these hashes."""
+
+    hashes: DataFrame
+    apply: Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Database:
     """One source of features: the entity table (``hash`` and the single-valued features) and the
     multi-valued features.  A default is shown wherever a single-valued feature is null.  ``files``
-    says which tables are stored where, ``added`` holds rows of stored tables not written yet."""
+    says which tables are stored where, ``added`` holds rows of stored tables not written yet.  ``edits`` are the
+    changes of the entity table since it was read from a store; None says that its columns changed, or that
+    it was not read from one."""
 
     name: str
     context: str
@@ -103,6 +115,7 @@ class Database:
     defaults: dict
     files: dict
     added: dict
+    edits: tuple[Edit, ...] | None = None
 
     @staticmethod
     def of(name, entities=None, many=None, defaults=None, context=None, contexts=None) -> Database:

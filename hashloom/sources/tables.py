@@ -14,9 +14,11 @@ and HDFS do; on others writers need a lock of their own.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,10 @@ _RECENT = 8
 WAIT_SECONDS = 10.0
 _LOG_SCHEMA = (
     "version bigint, database string, context string, table string, position int, "
-    "defaults string, hot string, files array<string>, buckets int, note string"
+    "defaults string, hot string, files array<string>, buckets int, note string, ranges int"
 )
+#: Name of the folder column that numbers the ranges of an entity table.
+_RANGE = "__range"
 
 
 class StaleHandleError(FeatureError):
@@ -136,7 +140,7 @@ def open_database(spark: SparkSession, path: str, contexts: Contexts | None = No
             entities, defaults = frame, json.loads(row.defaults)
         else:
             many[row.table] = Values(frame, unique=True, hot=json.loads(row.hot))
-    return Database(rows[0].database, rows[0].context, entities, many, defaults, files, {})
+    return Database(rows[0].database, rows[0].context, entities, many, defaults, files, {}, ())
 
 
 def _read(spark: SparkSession, path: str, row) -> DataFrame:
@@ -174,7 +178,9 @@ def create_views(namespace: Namespace) -> list[str]:
     return names
 
 
-def save_database(database: Database, path: str, buckets: int = 0, note: str = "") -> Database:
+def save_database(
+    database: Database, path: str, buckets: int = 0, note: str = "", ranges: int | None = None
+) -> Database:
     """Save a database as a new version and return it as read back.
 
     Unchanged tables are not written again, inserted pairs are written next to the stored ones.
@@ -182,6 +188,12 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
     the hash need no shuffle; changed tables, and tables stored with another number of buckets, are
     then written as a whole.  Choose buckets only where no entity holds a large share of a table.
 
+    With ``ranges`` the entity table is stored in that many ranges of the hash of its key, a folder each.
+    A later save reads and writes only the ranges that hold changed, new or deleted entities and refers to
+    the folders of all others again; it is written as a whole only if its columns or the number of ranges change.  None
+    keeps the number of the stored version.  An entity is one row, so ranges are even; choose
+    their number so that one holds some hundred megabytes.  Buckets and ranges exclude each other.
+
     A version is saved once: a database that was opened here before the newest version was saved is
     refused (StaleHandleError), and so is the second of two writers that save at the same time.
     """
@@ -193,13 +205,26 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
         raise StaleHandleError(f"version {newest} of {path} was saved since version {base} was opened")
     version, skipped = _next_version(spark, path, newest)
     had_buckets = {tuple(row.files): row.buckets for row in rows}
+    entity_row = next((row for row in rows if row.table == ENTITIES), None)
+    had_ranges = (entity_row.ranges or 0) if entity_row else 0
+    if ranges is None:
+        ranges = 0 if buckets else had_ranges
+    if buckets and ranges:
+        raise FeatureError("an entity table is stored in buckets or in ranges, not in both")
     folder = f"data/v{version:08d}-{uuid.uuid4().hex[:12]}"
     tables = {ENTITIES: database.entities} | {name: source.pairs() for name, source in database.many.items()}
 
     def store(table: str) -> tuple[list[str], dict]:
         """Write what is new of a table; its files and hot keys."""
-        root, stored = database.files.get(table, (None, ()))
-        stored = stored if root == path else ()
+        if table == ENTITIES and (ranges or had_ranges):
+            if root == path and ranges == had_ranges and database.edits is not None:
+                return _write_touched(database, path, f"{folder}/{table}", ranges, list(entity_row.files)), {}
+            if ranges:
+                return _write_ranges(database.entities, path, f"{folder}/{table}", ranges), {}
+            _write(database.entities, f"{path}/{folder}/{table}", f"{folder}/{table}", buckets)
+            return [f"{folder}/{table}"], {}
+        place, stored = database.files.get(table, (None, ()))
+        stored = stored if place == path else ()
         fresh = database.added.get(table) if stored else None
         alike = had_buckets.get(tuple(stored)) == buckets
         if stored and alike and fresh is None:
@@ -220,7 +245,7 @@ def save_database(database: Database, path: str, buckets: int = 0, note: str = "
     for position, (table, (stored, hot)) in enumerate(zip(tables, results)):
         defaults = json.dumps(database.defaults if table == ENTITIES else {})
         row = (version, database.name, database.context, table, position, defaults, json.dumps(hot))
-        log.append((*row, stored, buckets, note))
+        log.append((*row, stored, buckets, note, ranges if table == ENTITIES else 0))
     place = f"log/v{version:08d}-{uuid.uuid4().hex[:12]}"
     spark.createDataFrame(log, _LOG_SCHEMA).coalesce(1).write.parquet(f"{path}/{place}")
     _commit(spark, path, version, place, skipped)
@@ -264,6 +289,44 @@ def _write(frame: DataFrame, path: str, part: str, buckets: int) -> None:
     writer.bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
 
 
+def _range_of(ranges: int):
+    """The range of a key: the place of its hash among all 64-bit numbers, from 0 to ranges - 1."""
+    return F.shiftright(F.shiftrightunsigned(F.xxhash64("hash"), 33) * F.lit(ranges), 31).cast("int")
+
+
+def _write_ranges(frame: DataFrame, path: str, part: str, ranges: int, kept: tuple[str, ...] = ()) -> list[str]:
+    """Write entities in ranges; the folders of the ranges that have rows, after those that are kept."""
+    rows = frame.withColumn(_RANGE, _range_of(ranges)).hint("rebalance", _RANGE)
+    rows.write.partitionBy(_RANGE).parquet(f"{path}/{part}")
+    system, place = file_system(frame.sparkSession, f"{path}/{part}")
+    names = [entry.getPath().getName() for entry in system.listStatus(place) if entry.isDirectory()]
+    parts = [*kept, *sorted(f"{part}/{name}" for name in names)]
+    if not parts:
+        # a table without rows still has columns
+        frame.limit(0).write.parquet(f"{path}/{part}-none")
+        parts = [f"{part}-none"]
+    return parts
+
+
+def _write_touched(database: Database, path: str, part: str, ranges: int, stored: list[str]) -> list[str]:
+    """Write the ranges that the edits of an entity table touch, read from the stored folders of these ranges
+    alone; the other folders stay.  Only numbers of ranges reach the driver."""
+    if not database.edits:
+        return stored
+    spark, schema = database.entities.sparkSession, database.entities.schema
+    hashes = [edit.hashes.select(F.col("hash").cast(schema["hash"].dataType)) for edit in database.edits]
+    numbers = reduce(DataFrame.union, hashes).select(_range_of(ranges).alias("number")).distinct()
+    touched = {row["number"] for row in numbers.collect()}
+    if not touched:
+        return stored
+    number_of = {name: re.search(rf"{_RANGE}=(\d+)$", name) for name in stored}
+    kept = [name for name, number in number_of.items() if number and int(number[1]) not in touched]
+    old = [f"{path}/{name}" for name in stored if name not in set(kept)]
+    rows = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+    rows = reduce(lambda frame, edit: edit.apply(frame), database.edits, rows)
+    return _write_ranges(rows, path, part, ranges, tuple(kept))
+
+
 def export_database(database: Database, path: str) -> Database:
     """A whole copy of a database in another folder."""
     return save_database(database.with_parts(files={}, added={}), path)

@@ -8,6 +8,8 @@ from hashloom.operators import writes
 from hashloom.plans.filters import feature
 from hashloom.plans.namespace import Database, Namespace
 from hashloom.plans.query import select
+from hashloom.session import working_folder
+from hashloom.sources import tables
 from hashloom.suite.registry import (
     CONTEXTS,
     documents,
@@ -63,6 +65,26 @@ def set_values_one(spark, sf_dir):
     return changed.entities.select("hash", changed.single("flag").alias("flag"))
 
 
+_RANGES = 64
+
+
+@query(
+    "SELECT doc_id AS hash, CASE WHEN doc_id IN (SELECT arg_max(doc_id, (length(text), doc_id)) FROM documents"
+    " GROUP BY lang) THEN 'longest' ELSE coalesce(CAST(quality AS VARCHAR), 'empty') END AS flag"
+    " FROM documents LEFT JOIN labels USING (doc_id)"
+)
+def set_values_in_ranges(spark, sf_dir):
+    """A database stored in ranges, with a new flag for the longest document of each language: only the ranges of these are
+    written again."""
+    path = working_folder(spark, "ranges")
+    stored = tables.save_database(_flagged(spark, sf_dir), path, ranges=_RANGES)
+    texts = table(spark, sf_dir, "documents")
+    longest = texts.groupBy("lang").agg(F.max_by("doc_id", F.struct(F.length("text"), "doc_id")).alias("hash"))
+    updates = longest.select("hash", F.lit("longest").alias("value"))
+    changed = tables.save_database(writes.set_values(stored, "flag", updates), path)
+    return changed.entities.select("hash", changed.single("flag").alias("flag"))
+
+
 @query(f"{_FLAGS} UNION SELECT o_orderkey, 'R' FROM orders WHERE o_orderstatus = 'F'")
 def set_values_many(spark, sf_dir):
     finished = hashed(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "o_orderkey")

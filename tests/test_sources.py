@@ -152,6 +152,63 @@ def test_same_write_twice(spark, database, frame, tmp_path):
     assert states[0] == states[1]
 
 
+def _in_ranges(spark, path):
+    entities = spark.range(2000).select(F.col("id").cast("string").alias("hash"), F.lit("x").alias("s"), F.lit(1).alias("n"))
+    database = Database.of("test", entities, {"tag": spark.createDataFrame([("1", "v")], "hash string, value string")}, {"s": "empty", "n": 0})
+    return tables.save_database(database, path, ranges=100)
+
+
+def test_a_small_update_leaves_the_files_of_other_ranges(spark, frame, tmp_path):
+    path = str(tmp_path / "db")
+    first = _in_ranges(spark, path)
+    assert len(first.files["features"][1]) == 100 and first.entities.count() == 2000
+    assert "__range" not in first.entities.columns
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "db" / "data").rglob("*.parquet")}
+    changed = writes.set_values(first, "s", frame([(str(h), "new") for h in (*range(9), "unknown")]))
+    second = tables.save_database(changed, path)
+    kept = set(first.files["features"][1]) & set(second.files["features"][1])
+    assert 90 <= len(kept) < 100 and len(second.files["features"][1]) == 100
+    assert all(f.stat().st_mtime_ns == time for f, time in before.items())
+    written = spark.read.parquet(*[f"{path}/{part}" for part in set(second.files["features"][1]) - kept])
+    assert written.count() < 400
+    assert rows_of(second.entities.where("s = 'new'")) == sorted([(str(h), "new", 1) for h in range(9)] + [("unknown", "new", 0)])
+    assert second.entities.count() == 2001 and second.entities.where("s = 'x'").count() == 1991
+    assert rows_of(first.entities.where("s = 'new'")) == []
+
+
+def test_writes_on_ranges_equal_writes_on_frames(spark, frame, tmp_path):
+    """Several kinds of writes between two saves; ranges get new entities, lose all, and the table loses all."""
+    path = str(tmp_path / "db")
+    stored = _in_ranges(spark, path)
+    plain = Database.of("test", stored.entities, {k: v.pairs() for k, v in stored.many.items()}, stored.defaults)
+
+    def change(database):
+        database = writes.set_values(database, "s", frame([("5", "five"), ("new", "n"), ("6", "six")]))
+        database = writes.set_values(database, "tag", frame([("7", "v"), ("other", "w")]))
+        database = writes.reset_values(database, "s", ["six"])
+        database = writes.reset_values(database, "n", None, ["5", "8"])
+        return writes.delete_entities(database, frame([("9", ""), ("other", "")]))
+
+    second = tables.save_database(change(stored), path)
+    want = change(plain)
+    assert rows_of(second.entities) == rows_of(want.entities)
+    assert rows_of(second.many["tag"].pairs()) == rows_of(want.many["tag"].pairs())
+    assert len(set(stored.files["features"][1]) & set(second.files["features"][1])) > 85
+    unchanged = tables.save_database(second, path)
+    assert unchanged.files["features"] == second.files["features"]
+    second = unchanged
+    with_column = tables.save_database(writes.add_feature(second, "extra", "e"), path)
+    assert with_column.entities.where("extra = 'e'").count() == second.entities.count()
+    empty = tables.save_database(writes.delete_entities(with_column, with_column.entities.select("hash")), path)
+    assert rows_of(empty.entities) == [] and empty.entities.columns == with_column.entities.columns
+    again = tables.save_database(writes.set_values(empty, "s", frame([("5", "back")])), path)
+    assert rows_of(again.entities) == [("5", "back", 0, "e")]
+    unranged = tables.save_database(again, path, ranges=0)
+    assert rows_of(unranged.entities) == rows_of(again.entities) and len(unranged.files["features"][1]) == 1
+    with pytest.raises(FeatureError):
+        tables.save_database(unranged, path, buckets=2, ranges=2)
+
+
 def test_buckets_need_no_shuffle(spark, database, frame, tmp_path):
     path = str(tmp_path / "db")
     saved = tables.save_database(database, path, buckets=4)
