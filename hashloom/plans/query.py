@@ -120,7 +120,7 @@ class _Query:
 
         #: hot entities of the frame, while it holds the rows of a multi-valued key
         self.hot = namespace.values(self.key).hot_keys("hash") if self.key.many else None
-        self.frame = self._base(hashes)
+        self.frame = self._base(hashes, remaining)
         self._join_same_context()
         for condition in direct:
             self._membership_join(condition)
@@ -195,14 +195,47 @@ class _Query:
 
     # ---- joins ----------------------------------------------------------------------------
 
+    def _scanned(self, database: Database, conjuncts: list[Predicate]) -> Database:
+        """The database behind the conditions that Catalyst doesn't get to its scan: those on features with a
+        default.  They are tried on the stored column and on the default apart, so that the second folds to a
+        constant; the whole filter is applied later again.  A full join keeps all rows until then."""
+
+        def stored(condition: Condition) -> Column:
+            feature = self._feature_of(condition)
+            column, default = F.col(feature.name), database.defaults.get(feature.name)
+            passes = condition.test(column, feature.data_type)
+            if default is None:
+                return passes
+            # of the type that the filled column has
+            filled = F.coalesce(F.lit(None).cast(feature.data_type), F.lit(default))
+            filled = condition.test(filled, feature.data_type)
+            return (column.isNotNull() & passes) | (column.isNull() & filled)
+
+        def reads_stored(condition: Condition) -> bool:
+            feature = self._feature_of(condition)
+            alone = len(condition.addresses()) == 1 and condition.kind != "term"
+            return alone and feature.database == database.name and not feature.many and not feature.is_hash
+
+        def has_default(condition: Condition) -> bool:
+            return database.defaults.get(self._feature_of(condition).name) is not None
+
+        wanted = [
+            c.column(stored)
+            for c in conjuncts
+            if all(map(reads_stored, c.conditions())) and any(map(has_default, c.conditions()))
+        ]
+        if not wanted or self.how == "full":
+            return database
+        return database.with_parts(entities=database.entities.where(reduce(Column.__and__, wanted)))
+
     def _entities(self, database: Database, known: bool = True) -> DataFrame:
         columns = [database.single(f.name).alias(f.label) for f in self._columns_of(database)]
         marks = [F.lit(True).alias(f"__known_{database.name}")] if known else []
         return database.entities.select("hash", *columns, *marks)
 
-    def _base(self, hashes) -> DataFrame:
+    def _base(self, hashes, conjuncts: list[Predicate]) -> DataFrame:
         if not self.key.many:
-            frame = self._entities(self.home)
+            frame = self._entities(self._scanned(self.home, conjuncts))
             return restrict(frame, hashes)
         pairs = self.namespace.values(self.key).pairs()
         return restrict(pairs.withColumnRenamed("value", self.key.label), hashes, hot=self.hot)

@@ -313,3 +313,29 @@ def test_random_filters(spark, frame, seed):
         tree = random_tree(rng, 3)
         expected = sorted(e for e in model.entities if model.evaluate(tree, e))
         assert known(namespace, predicate(tree)) == expected, tree
+
+
+@pytest.mark.parametrize(
+    "where, pushed, found",
+    [
+        (feature("s") == "x", "EqualTo(s,x)", "a"),
+        (feature("s") == "empty", "Or(And(IsNotNull(s),EqualTo(s,empty)),IsNull(s))", "b"),
+        (feature("s") != "empty", "Not(EqualTo(s,empty))", "acd"),
+        (~(feature("s") == "x"), "Or(IsNull(s),Not(EqualTo(s,x)))", "bcd"),
+        (feature("n") < 2, "Or(And(IsNotNull(n),LessThan(n,2)),IsNull(n))", "acd"),
+        ((feature("s") == "x") & (feature("n") > 0.25), "EqualTo(s,x)", "a"),
+        ((feature("s") == "y") | (feature("n") == 0.5), "Or(And(IsNotNull(s),EqualTo(s,y))", "cd"),
+    ],
+)
+def test_filters_on_defaulted_features_reach_the_scan(spark, frame, tmp_path, capsys, where, pushed, found):
+    """The default of n is wider than its type: it is compared as it is shown."""
+    path = str(tmp_path / "entities")
+    rows = [("a", "x", 1), ("b", None, 2), ("c", "y", None), ("d", "z", None)]
+    frame(rows, "hash string, s string, n int").write.parquet(path)
+    stored = Database.of("test", spark.read.parquet(path), {}, {"s": "empty", "n": 0.5})
+    for how in ("left", "inner", "full"):
+        result = select(Namespace([stored]), where, resolve=["s"], how=how)
+        assert hashes_of(result) == list(found)
+    select(Namespace([stored]), where, resolve=["s"]).explain("formatted")
+    plan = capsys.readouterr().out
+    assert pushed in plan[plan.index("PushedFilters") :].splitlines()[0]
