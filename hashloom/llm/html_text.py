@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,8 +28,8 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset(
-    "script style noscript template head title iframe object svg math canvas audio video button input select option"
-    " textarea datalist".split()
+    "script style noscript template head title iframe object svg canvas audio video button input select option"
+    " textarea datalist annotation annotation-xml".split()
 )
 #: All that a head may hold; its end tag may be omitted, so whatever else comes ends an open head.
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -43,11 +43,37 @@ BOILERPLATE_WORDS = frozenset(
     " navigation newsletter notice notices pager pagination paywall popup promo promoted recommended related replies"
     " reply respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+#: Of these, the words for a part that is no article of its page even if it is made of article elements.
+FIRM_WORDS = frozenset(
+    "ad ads advert advertisement advertising comment comments discussion disqus promo promoted recommended related replies"
+    " reply respond sponsor sponsored teaser".split()
+)
+#: Words that say nothing in an id.  An id with any other word names a place to link to ("related-work"), no purpose.
+PLAIN_WORDS = frozenset(
+    "site page main top bottom left right area section wrapper wrap container box block list bar inner outer posts articles"
+    " links item items primary secondary global content".split()
+)
+#: How a reader's comment, and the small print of a page, begin or read where no element or class tells.
+REPLY = re.compile(r"@?(?=\w*[\d_])\w+ (?:said|says|wrote|writes|commented|replied|answered)\b[^.!?]{0,40}:")
+SMALL_PRINT = re.compile(
+    r"^(?:©|\(c\) |copyright\b)|\ball rights reserved\b|\b(?:we|site) uses? cookies\b|\baccept (?:all )?cookies\b"
+    r"|\b(?:sign up|subscribe) (?:for|to) our\b",
+    re.IGNORECASE,
+)
+SMALL_PRINT_CHARS = 400
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-FEATURES = ("one", "content", "boilerplate", "site_header", "words", "links", "sentence", "heading")
+FEATURES = (
+    "one", "content", "boilerplate", "site_header", "words", "links", "sentence", "heading", "bare", "reply", "small_print"
+)
 #: Weights before training; training moves them as far as the sampled pages give reason to.
-PRIOR = np.array([-1.0, 6.0, -9.0, -5.0, 0.4, -3.0, 0.5, 0.5])
+PRIOR = np.array([-1.0, 6.0, -9.0, -5.0, 0.4, -3.0, 0.5, 0.5, 1.5, -12.0, -3.0])
+#: A text on so many sampled pages of one host, and on none of another, is taken for a part of the site, if it has so many words: shorter ones meet by chance.
+REPEATED, REPEATED_WORDS = 3, 4
+
+
+def _words(value: str) -> frozenset:
+    return frozenset(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())) - {""}
 
 
 class _Blocks(HTMLParser):
@@ -57,12 +83,15 @@ class _Blocks(HTMLParser):
     paragraph or list item closes an open one, and what can't be in a head closes an open head.  Every
     element knows the state it hands down, so deep nesting costs nothing extra.  Classes of html and body
     name what a page has, not what the whole of it is for: they make nothing boilerplate or a site header.
+
+    An article or main element is content whatever its layout classes, and inside a form or a part whose class
+    speaks of layout; navigation, asides, footers, comments, adverts and related pages stay boilerplate.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # tag, number, silent, content, boilerplate, site header, links, heading
-        self._stack = [("", 0, False, False, False, False, False, False)]
+        # tag, number, silent, content, firm boilerplate, site header, links, heading, loose boilerplate
+        self._stack = [("", 0, False, False, False, False, False, False, False)]
         self._elements = 0
         self._parts: list[str] = []
         self._linked = 0
@@ -99,11 +128,20 @@ class _Blocks(HTMLParser):
             elif self._stack[-1][0] == "p":
                 self._pop()
         top = self._stack[-1]
-        named = " ".join(value for key, value in attrs if key in ("class", "id", "role") and value)
-        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())) if named else frozenset()
-        content = tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
+        words = frozenset()
+        for key, value in attrs:
+            if value and key in ("class", "role"):
+                words |= _words(value)
+            elif value and key == "id":
+                named = _words(value)
+                purpose = named <= PLAIN_WORDS | BOILERPLATE_WORDS | {"header"}
+                words |= named if purpose else named & CONTENT_WORDS
+        element = tag in CONTENT_TAGS
+        content = element or bool(words & CONTENT_WORDS)
         page = tag in ("html", "body")
-        boilerplate = tag in BOILERPLATE_TAGS or (not page and bool(words & BOILERPLATE_WORDS))
+        firm = (tag in BOILERPLATE_TAGS and tag != "form") or (not page and bool(words & FIRM_WORDS))
+        loose = tag == "form" or (not page and not element and bool(words & BOILERPLATE_WORDS))
+        firm, loose = top[4] or firm, loose or (top[8] and not element)
         header = (tag == "header" or (not page and "header" in words)) and not top[3]
         hidden = any(key == "hidden" or (key == "aria-hidden" and value == "true") for key, value in attrs)
         self._elements += 1
@@ -112,12 +150,12 @@ class _Blocks(HTMLParser):
                 tag,
                 self._elements,
                 top[2] or tag in SILENT_TAGS or hidden,
-                # A content element inside boilerplate does not lift it, boilerplate inside content counts.
-                (top[3] or content) and not (boilerplate or top[4]),
-                top[4] or boilerplate,
+                (top[3] or content) and not (firm or loose),
+                firm,
                 top[5] or header,
                 top[6] or tag == "a",
                 top[7] or tag in HEADINGS,
+                loose,
             )
         )
 
@@ -169,43 +207,87 @@ def blocks_of(html: str) -> list[tuple]:
 
 def features(blocks: list[tuple]) -> np.ndarray:
     rows = []
-    for text, state, linked, *_ in blocks:
+    bare = not any(state[3] for _, state, *_ in blocks)
+    opening: dict[int, bool] = {}
+    for text, state, linked, _, _, parent in blocks:
+        reply = REPLY.match(text) is not None
+        # an element that begins with a comment holds a thread of them
+        opening.setdefault(parent, reply)
         rows.append(
             (
                 1.0,
                 state[3],
-                state[4],
+                state[4] or state[8],
                 state[5] and not state[3],
                 np.log1p(text.count(" ") + 1),
                 min(1.0, linked / len(text)),
                 text[-1] in ".!?…\"'”»",
                 state[7],
+                bare,
+                reply or opening[parent],
+                len(text) <= SMALL_PRINT_CHARS and SMALL_PRINT.search(text) is not None,
             )
         )
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
-def train(pages: list[str], rounds: int = 8, looseness: float = 4.0) -> np.ndarray:
+def repetition(pages: list[list[tuple]], hosts: list) -> list[np.ndarray]:
+    """Labels of the blocks of each page that no feature contains: 0 for a text that REPEATED pages of one host have and none
+    of another, 1 for one that a single page has, -1 for the rest.  What several hosts have is quoted or copied.  A page of
+    which repeated texts are the greater part is a copy too, and its blocks have no label."""
+    owners: dict[str, set] = {}
+    counts: Counter = Counter()
+    for host, blocks in zip(hosts, pages):
+        for text in {block[0] for block in blocks}:
+            counts[text] += 1
+            owners.setdefault(text, set()).add(host)
+    labels = []
+    for blocks in pages:
+        alone = np.array([len(owners[block[0]]) == 1 for block in blocks], dtype=bool)
+        times = np.array([counts[block[0]] for block in blocks], dtype=int)
+        lengths = np.array([len(block[0]) for block in blocks], dtype=int)
+        long = np.array([block[0].count(" ") + 1 >= REPEATED_WORDS for block in blocks], dtype=bool)
+        found = np.where((times >= REPEATED) & alone & long, 0, np.where(times == 1, 1, -1))
+        labels.append(np.full(len(blocks), -1) if 2 * lengths[times > 1].sum() > lengths.sum() else found)
+    return labels
+
+
+def train(pages: list[tuple], rounds: int = 8, looseness: float = 1.0) -> np.ndarray:
     """Weights of the block classifier: logistic regression around PRIOR by Newton's method.
 
-    Blocks inside an article or main element are labelled content, blocks inside navigation, asides,
-    footers and the like boilerplate; blocks that no element speaks for are not used.  ``looseness`` is the
-    variance of the weights around their prior.
+    ``pages`` are (host, html); a page without host is a site of its own.  Labels come from repetition.  Comments, adverts and links are often on one page only without being
+    content, so a text of one page is an example of content only where it is no comment, small print, mere link or part
+    marked as boilerplate.  ``looseness`` is the variance of the weights around their prior.
     """
-    values = [features(blocks_of(page)) for page in pages]
-    every = np.concatenate(values) if values else np.zeros((0, len(FEATURES)))
-    spoken = every[(every[:, 1] + every[:, 2] + every[:, 3]) > 0]
+    pages = list(dict.fromkeys(pages))
+    hosts = [host or number for number, (host, _) in enumerate(pages)]
+    blocks = [blocks_of(html) for _, html in pages]
+    every = np.concatenate([np.zeros((0, len(FEATURES))), *map(features, blocks)])
+    labels = np.concatenate([np.zeros(0, dtype=int), *repetition(blocks, hosts)])
+    doubtful = every[:, [2, 3, 9, 10]].any(axis=1) | (every[:, 5] > 0.5)
+    used = (labels == 0) | ((labels == 1) & ~doubtful)
+    spoken, labels = every[used], labels[used]
     weights = PRIOR.copy()
     if not len(spoken):
         return weights
-    labels = spoken[:, 1]
     # A page gives many blocks like each other: the sample weighs as much as a hundred blocks.
     scale = min(1.0, 100 / len(spoken))
+
+    def loss(some: np.ndarray) -> float:
+        margin = (1 - 2 * labels) * (spoken @ some)
+        return scale * np.logaddexp(0, margin).sum() + ((some - PRIOR) ** 2).sum() / (2 * looseness)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(spoken @ weights, -30, 30)))
         gradient = scale * spoken.T @ (labels - p) - (weights - PRIOR) / looseness
         curvature = scale * (spoken.T * (p * (1 - p))) @ spoken + np.eye(len(weights)) / looseness
-        weights = weights + np.linalg.solve(curvature, gradient)
+        step = np.linalg.solve(curvature, gradient)
+        # Newton's whole step overshoots where most blocks are far from the boundary.
+        for _ in range(30):
+            if loss(weights + step) <= loss(weights):
+                weights = weights + step
+                break
+            step = step / 2
     return weights
 
 
@@ -321,18 +403,22 @@ def _extracted(weights: np.ndarray):
 def main_texts(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    The block classifier is trained on a bounded sample of pages (those with the smallest hash of
-    page_id); every whole page is extracted.  A page that is null, empty or without content has the
+    The block classifier is trained on a bounded sample of pages: half of them those with the smallest hash of
+    page_id, half whole sites, by the hash of the host; every whole page is extracted.  A page that is null, empty or without content has the
     empty text.  Null ids and urls are kept; repeated rows are extracted each; an empty table gives no
     rows.  Broken markup is read as far as it goes: what is not closed ends with its parent.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     usable = rows.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
     # Ids first: every task would send its first pages to the driver otherwise.
-    first = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(training_pages)
-    ids = [row["page_id"] for row in first.collect()]
-    sample = usable.where(F.col("page_id").isin(ids)).select("html").limit(training_pages)
-    weights = train([row["html"] for row in sample.collect()])
+    keys = usable.select("page_id", host.alias("host"))
+    some = keys.orderBy(F.xxhash64("page_id"), "page_id").limit(training_pages - training_pages // 2)
+    sites = keys.where(F.col("host") != "").orderBy(F.xxhash64("host"), "host", F.xxhash64("page_id"), "page_id")
+    ids = {row["page_id"] for row in some.union(sites.limit(training_pages // 2)).collect()}
+    # several rows may share an id
+    sample = usable.where(F.col("page_id").isin(list(ids))).orderBy("page_id", F.xxhash64("html")).limit(training_pages)
+    weights = train([(row["host"], row["html"]) for row in sample.select(host.alias("host"), "html").collect()])
     return rows.mapInArrow(_extracted(weights), "page_id long, url string, text string, n_chars long")
 
 

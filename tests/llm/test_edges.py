@@ -358,6 +358,51 @@ def test_text_ends_a_head():
     assert html_text.extract(f"<body class='sticky-header'><div>{plain}</div>") == plain
 
 
+TEXT = "<h1>Heading</h1><p>A sentence of the article.</p><p>And one more of it.</p>"
+REPLIES = "<div>User42 said: nice one, thanks a lot.</div><div>ann_b wrote: no, not at all.</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>Heading</div><div>A sentence of the article.</div><div>And one more of it.</div><div>User42 said: nice one, thanks.</div>",
+        f'<article class="post share">{TEXT}</article>',
+        f'<div class="widget"><article>{TEXT}</article></div>',
+        f'<form id="aspnetForm"><main>{TEXT}</main><input name="q"></form>',
+        f"<article>{TEXT}<div>{REPLIES}</div></article>",
+        f"<div>{TEXT}</div><div>{REPLIES}<div>So do I, every day.</div></div><div>© 2024 The site. All rights reserved.</div>",
+        f'<main>{TEXT}</main><div class="related"><article><p>Some other article of the site.</p></article></div>',
+        f'<main>{TEXT}</main><section id="comments"><article class="comment"><p>No, I do not think so.</p></article></section>',
+        f'<main>{TEXT}</main><div id="cookie-banner"><p>We use cookies to make all of this better.</p></div>',
+        f'<main>{TEXT}</main><aside><article><p>An article of the sidebar, of some length.</p></article></aside>',
+    ],
+)
+def test_articles_and_comments_that_words_mislead_about(page):
+    assert html_text.extract(page) == "Heading\n\nA sentence of the article.\n\nAnd one more of it."
+
+
+def test_text_of_anchors_formulas_and_quotes_stays():
+    page = f'<article>{TEXT}<section id="related-work"><p>Others said: it works.</p></section><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> holds.</p></article>'
+    assert html_text.extract(page).split("\n\n")[3:] == ["Others said: it works.", "As x=1 holds."]
+
+
+def test_labels_come_from_repetition_within_a_host():
+    def page(host, number, copies=""):
+        return host, f"<div>Read more from our partners today.</div><p>Text number {number} of its own, and of no other page.</p>{copies}"
+
+    quoted = "<p>A passage that several hosts quote from somewhere.</p>"
+    pages = [page("a", n, quoted if n < 2 else "") for n in range(4)] + [("b", quoted + "<p>Also a long text of its own.</p>")]
+    blocks = [html_text.blocks_of(html) for _, html in pages]
+    labels = html_text.repetition(blocks, [host for host, _ in pages])
+    assert [row.tolist() for row in labels[:3]] == [[-1, -1, -1], [-1, -1, -1], [0, 1]]
+    # the weights move towards the labels, by no more than the prior lets them
+    before = html_text.PRIOR
+    after = html_text.train([page("a", n) for n in range(100)])
+    site, own = html_text.features(html_text.blocks_of(page("a", 1)[1]))
+    assert (own - site) @ after > (own - site) @ before
+    assert (html_text.train([]) == before).all() and np.isfinite(after).all() and abs(after - before).max() < 10
+
+
 def test_minimum_cut():
     rng = random.Random(3)
     for _ in range(100):
