@@ -182,12 +182,13 @@ def same(left: DataFrame, right: DataFrame, columns: Iterable[str]) -> Column:
     return condition
 
 
-def ranked(frame: DataFrame, group: str, key: str, ties: str, bits: int) -> DataFrame:
+def ranked(frame: DataFrame, group: str, key: str, ties: list[str], bits: int) -> DataFrame:
     """Add ``rank`` (from 0) and ``group_rows`` within each value of ``group``, ordered by a hash.
 
     The rows of a group are cut into 2^bits cells of the 64-bit hash ``key``; cells are counted, the
     counts summed up in order of the cells, and rows are only sorted within a cell.  A group of any
-    size is thus spread over many tasks.  Null is a group of its own.
+    size is thus spread over many tasks, as long as the key tells its rows apart; rows of one key go by ``ties``.  Null is
+    a group of its own.
     """
     rows = frame.withColumn("_cell", cell_of(F.col(key), bits))
     counts = rows.groupBy(F.col(group).alias("_group"), F.col("_cell").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
@@ -200,7 +201,7 @@ def ranked(frame: DataFrame, group: str, key: str, ties: str, bits: int) -> Data
         F.sum("_n").over(each).alias("group_rows"),
     )
     joined = rows.join(offsets, rows[group].eqNullSafe(offsets["_group"]) & (rows["_cell"] == offsets["_at"]))
-    inside = Window.partitionBy(group, "_cell").orderBy(key, ties)
+    inside = Window.partitionBy(group, "_cell").orderBy(key, *ties)
     rank = F.col("_before") + F.row_number().over(inside) - 1
     return joined.withColumn("rank", rank.cast("long")).drop("_cell", "_group", "_at", "_before")
 

@@ -224,15 +224,16 @@ def pack(
 
     Pieces are ranked within their length in parallel (``ranked``), the numbers of pieces per length
     (at most ``capacity`` rows) are planned by ``plan_runs``, and each piece finds its place by its rank.
-    Equal lengths are ordered by a hash of doc_id and piece, then by doc_id.  Null texts are empty, a
-    null doc_id is packed as any other, repeated rows are packed each; an empty table gives no rows.
+    Equal lengths are ordered by a hash of doc_id, piece and the piece's crc, then by these: rows without doc_id spread as
+    any others, and only rows that are equal in all of them are interchangeable.  Null texts are empty, repeated rows
+    are packed each, long texts are cut into as many pieces as they need; an empty table gives no rows.  Extra columns are not read.
     """
     spark = documents.sparkSession
     cut = written(pieces(documents, path, capacity, end_id), "pieces")
     counts = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    keyed = cut.withColumn("_key", F.xxhash64("doc_id", "piece"))
-    places = ranked(keyed, "length", "_key", "doc_id", cell_bits(total))
+    keyed = cut.withColumn("_key", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    places = ranked(keyed, "length", "_key", ["doc_id", "piece", "ids_crc32"], cell_bits(total))
     runs = plan_runs(counts, capacity)
     # The number of runs depends on the lengths that occur, at most `capacity`, not on the rows.
     planned = spark.createDataFrame(

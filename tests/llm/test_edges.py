@@ -266,6 +266,34 @@ def test_sharding(docs):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_shards_mirror_any_number_of_sources_and_null_ids_spread(spark):
+    """Sources of one row, of fewer and of more rows than there are cells; a third of all rows has no id."""
+    rng = random.Random(5)
+    sizes = [1] * 150 + [2] * 20 + [rng.randint(3, 40) for _ in range(12)] + [700, 1500]
+    rows = [(None if rng.random() < 1 / 3 else rng.randrange(10**6), f"s{k}", f"text {k} {i}") for k, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    placed = sharding.shard(docs, shards=7).collect()
+    assert len(placed) == len(rows)
+    by_shard = {}
+    for r in placed:
+        by_shard.setdefault(r.shard, []).append(r)
+    counts = [len(group) for group in by_shard.values()]
+    assert len(counts) == 7 and max(counts) - min(counts) <= 1
+    for group in by_shard.values():
+        assert sorted(r.slot for r in group) == list(range(len(group)))
+    # the order is that of the fractions of ranks within sources
+    ordered = sorted(placed, key=lambda r: (r.shard, r.slot))
+    seen, last = {}, 0.0
+    for r in ordered:
+        rank = seen[r.source] = seen.get(r.source, -1) + 1
+        fraction = (2 * rank + 1) / (2 * sizes[int(r.source[1:])])
+        assert fraction >= last
+        last = fraction
+    # rows without id have different keys, so no cell holds many of them
+    again = {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs.repartition(5), shards=7).collect()}
+    assert again == {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed}
+
+
 def test_packing(docs):
     rows = packing.pack(docs).collect()
     assert len({r.doc_id for r in rows}) == (9 if rows else 0)
