@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hashloom.plans.namespace import Namespace
@@ -15,6 +15,8 @@ TOP_ROWS = 100_000
 #: Key ranges counted per narrowing step, and keys drawn per range to place their bounds.
 RANGES = 64
 DRAWN = 20
+#: Rows of one stored range: what the read of a page from stored ranges costs.
+RANGE_ROWS = 100_000
 
 
 def page_count(frame: DataFrame, rows: int = PAGE_ROWS) -> DataFrame:
@@ -74,6 +76,40 @@ def _bounds(frame: DataFrame, key: str) -> list:
     return list(dict.fromkeys(keys[DRAWN::DRAWN]))
 
 
+def store_pages(frame: DataFrame, key: str, path: str, range_rows: int = RANGE_ROWS) -> None:
+    """Store a frame for reading pages of it: ``path/rows`` holds a file per key range, sorted, and ``path/fences`` a row per
+    file with its lowest and highest key, its rows and the rows before it.
+
+    The keys are unique; null keys come first.  Rows are shuffled once, by range, and no key is read by the driver but those Spark
+    draws to place the ranges.  With N rows there are about N / range_rows fences.  They are written last, so a store
+    that was not finished has no page.
+    """
+    spark = frame.sparkSession
+    total = frame.count()
+    ranges = max(1, -(-total // range_rows))
+    frame.repartitionByRange(ranges, key).sortWithinPartitions(key).write.parquet(f"{path}/rows")
+    stored = spark.read.schema(frame.schema).parquet(f"{path}/rows")
+    fences = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("rows")
+    )
+    # files are numbered in the order of their ranges
+    before = F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fences.withColumn("before", before - F.col("rows")).coalesce(1).write.parquet(f"{path}/fences")
+
+
+def stored_page(spark: SparkSession, path: str, key: str, number: int, rows: int = PAGE_ROWS) -> DataFrame:
+    """Page ``number``, counted from 0, of what ``store_pages`` stored, in order.  Only the files whose ranges hold the
+    page are read, and nothing is written; a page after the last is empty."""
+    start = number * rows
+    fences = spark.read.parquet(f"{path}/fences")
+    holding = fences.where((F.col("before") < start + rows) & (F.col("before") + F.col("rows") > start))
+    found = sorted(holding.select("before", "file").collect())
+    if not found:
+        return spark.read.parquet(f"{path}/rows").limit(0)
+    files = [f"{path}/rows/{row['file']}" for row in found]
+    return spark.read.parquet(*files).orderBy(key).offset(start - found[0]["before"]).limit(rows)
+
+
 def page_after(frame: DataFrame, key: str, last=None, rows: int = PAGE_ROWS) -> DataFrame:
     """The page that follows a key: for walking through a result, the filter reaches the scan."""
     rest = frame if last is None else frame.where(F.col(key) > F.lit(last))

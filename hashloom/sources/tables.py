@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.text import Contexts, database_name_of
-from hashloom.operators import skew
+from hashloom.operators import paging, skew
 from hashloom.plans.namespace import BASE, ENTITIES, Database, FeatureError, Namespace, Values
 from hashloom.session import file_system
 
@@ -327,6 +327,29 @@ def _write_touched(database: Database, path: str, part: str, ranges: int, stored
     return _write_ranges(rows, path, part, ranges, tuple(kept))
 
 
+def _pages(database: Database) -> str:
+    path, version = database.files.get(BASE, (None, 0))
+    if path is None or database.edits != ():
+        raise FeatureError(f"database {database.name!r} is not as it was saved")
+    return f"{path}/pages/v{version:08d}"
+
+
+def store_entity_pages(database: Database, range_rows: int = paging.RANGE_ROWS) -> None:
+    """Store the entities of a saved version in order of their hash, for ``entity_page``.  Another version has
+    none of its pages until they are stored for it."""
+    paging.store_pages(database.entities, "hash", _pages(database), range_rows)
+
+
+def entity_page(database: Database, number: int, rows: int = paging.PAGE_ROWS) -> DataFrame:
+    """A page of the entities of a saved version, defaults filled in; reads the key ranges that hold it."""
+    spark, place = database.entities.sparkSession, _pages(database)
+    if not _exists(spark, f"{place}/fences"):
+        raise FeatureError(f"no pages are stored in {place}")
+    rows_of_page = paging.stored_page(spark, place, "hash", number, rows)
+    columns = [F.col("hash") if c == "hash" else database.single(c).alias(c) for c in database.entities.columns]
+    return rows_of_page.select(*columns)
+
+
 def export_database(database: Database, path: str) -> Database:
     """A whole copy of a database in another folder."""
     return save_database(database.with_parts(files={}, added={}), path)

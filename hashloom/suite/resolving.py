@@ -8,7 +8,7 @@ from hashloom.operators import identity, paging
 from hashloom.plans.filters import feature, term
 from hashloom.plans.namespace import Database, Namespace, Values
 from hashloom.plans.query import select
-from hashloom.session import written
+from hashloom.session import working_folder, written
 from hashloom.suite.registry import (
     documents,
     documents_database,
@@ -453,6 +453,14 @@ def page_deep(spark, sf_dir):
     return paging.page(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 11, top_rows=2000)
 
 
+@query("SELECT o_orderkey AS hash, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 11000")
+def page_stored(spark, sf_dir):
+    """The same of a result that was stored in ranges with fences."""
+    path = working_folder(spark, "pages")
+    paging.store_pages(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", path, range_rows=2000)
+    return paging.stored_page(spark, path, "hash", 11)
+
+
 @query("SELECT o_orderkey AS hash, o_orderstatus FROM orders WHERE o_orderkey > 777 ORDER BY 1 LIMIT 1000")
 def page_following(spark, sf_dir):
     return paging.page_after(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 777)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hashloom import Database, Namespace, feature, select
 from hashloom.functions.text import Contexts
-from hashloom.operators import jobs, skew, writes
+from hashloom.operators import jobs, paging, skew, writes
 from hashloom.plans.namespace import FeatureError
 from hashloom.sources import delimited, files, sinks, tables
 
@@ -209,6 +209,39 @@ def test_writes_on_ranges_equal_writes_on_frames(spark, frame, tmp_path):
         tables.save_database(unranged, path, buckets=2, ranges=2)
 
 
+def test_stored_pages_read_one_range_and_write_nothing(spark, frame, tmp_path):
+    path = str(tmp_path / "db")
+    keys = [f"{k:05d}" for k in range(5000)]
+    entities = spark.createDataFrame([(k, None if k < "02500" else "x") for k in reversed(keys)], "hash string, s string")
+    saved = tables.save_database(Database.of("test", entities, defaults={"s": "empty"}), path)
+    with pytest.raises(FeatureError):
+        tables.entity_page(saved, 0)
+    tables.store_entity_pages(saved, range_rows=500)
+    fences = spark.read.parquet(f"{path}/pages/v00000001/fences").orderBy("before").collect()
+    assert 5 <= len(fences) <= 10 and sum(f.rows for f in fences) == 5000
+    assert all(a.high < b.low and a.before + a.rows == b.before for a, b in zip(fences, fences[1:]))
+    before = sorted(tmp_path.rglob("*"))
+    for number in (0, 1, 137, 249):
+        page = tables.entity_page(saved, number, 20)
+        wanted = keys[number * 20 : number * 20 + 20]
+        assert [tuple(r) for r in page.collect()] == [(k, "empty" if k < "02500" else "x") for k in wanted]
+        assert len(page.inputFiles()) <= 2
+    assert tables.entity_page(saved, 250, 20).collect() == []
+    assert sorted(tmp_path.rglob("*")) == before
+    # pages belong to a version, and to what was saved
+    changed = writes.set_values(saved, "s", frame([("00000", "y")]))
+    for other in (changed, tables.save_database(changed, path)):
+        with pytest.raises(FeatureError):
+            tables.entity_page(other, 0)
+
+
+def test_stored_pages_of_few_rows_and_null_keys(spark, frame, tmp_path):
+    for name, rows in (("none", []), ("some", [("b", "2"), (None, "0"), ("a", "1")])):
+        paging.store_pages(frame(rows), "hash", str(tmp_path / name), range_rows=2)
+        found = paging.stored_page(spark, str(tmp_path / name), "hash", 0, 10)
+        assert [r["value"] for r in found.collect()] == sorted(v for _, v in rows)
+
+
 def test_buckets_need_no_shuffle(spark, database, frame, tmp_path):
     path = str(tmp_path / "db")
     saved = tables.save_database(database, path, buckets=4)
