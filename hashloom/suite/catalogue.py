@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from hashloom.operators import profile
 from hashloom.plans.namespace import Namespace
-from hashloom.suite.registry import documents, documents_database, labels_database, orders, parts, query
+from hashloom.session import working_folder
+from hashloom.sources import sketches, tables
+from hashloom.suite.registry import documents, documents_database, labels_database, orders, orders_database, parts, query
 
 
 @query(
@@ -77,3 +81,31 @@ def catalogue_profile(spark, sf_dir):
         [orders(spark, sf_dir).first, documents_database(spark, sf_dir), labels_database(spark, sf_dir)]
     )
     return profile.catalogue_profile(namespace, exact=True)
+
+
+_SKETCHED = ("o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate", "o_custkey")
+
+
+@query(
+    " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature, '1:1' AS cardinality, CAST(count({c}) AS BIGINT) AS n_values, TRUE AS near FROM orders"
+         for c in _SKETCHED]
+        + [f"SELECT '{f}', '1:n', CAST(count(DISTINCT (l_orderkey, {c})) AS BIGINT), TRUE FROM lineitem"
+           for f, c in (("quantity", "l_quantity"), ("to_prt", "l_partkey"))]
+    )
+)
+def catalogue_sketches(spark, sf_dir):
+    """The profile from sketches kept per stored part: exact numbers of values, and whether the estimates of distinct
+    values and entities lie within four standard errors of the exact ones."""
+    database = orders_database(spark, sf_dir)
+    database = database.with_parts(many={name: database.many[name] for name in ("quantity", "to_prt")})
+    saved = tables.save_database(database, working_folder(spark, "sketched"))
+    exact = profile.catalogue_profile(Namespace([saved])).select(
+        "feature", F.col("n_set").alias("entities"), F.col("n_distinct").alias("values")
+    )
+    error = 4 * 1.04 / 2 ** (sketches.BITS / 2)
+    found = sketches.sketch_profile(saved).join(exact, "feature")
+    near = (F.abs(F.col("n_distinct") - F.col("values")) <= error * F.col("values")) & (
+        F.abs(F.col("n_set") - F.col("entities")) <= error * F.col("entities")
+    )
+    return found.select("feature", "cardinality", "n_values", near.alias("near"))

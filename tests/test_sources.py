@@ -12,7 +12,7 @@ from hashloom import Database, Namespace, feature, select
 from hashloom.functions.text import Contexts
 from hashloom.operators import jobs, paging, skew, writes
 from hashloom.plans.namespace import FeatureError
-from hashloom.sources import delimited, files, sinks, tables
+from hashloom.sources import delimited, files, sinks, sketches, tables
 
 
 @pytest.fixture
@@ -242,6 +242,51 @@ def test_stored_pages_of_few_rows_and_null_keys(spark, frame, tmp_path):
         assert [r["value"] for r in found.collect()] == sorted(v for _, v in rows)
 
 
+@pytest.mark.parametrize("ranges", [0, 8])
+def test_sketches_of_new_parts_only(spark, frame, tmp_path, monkeypatch, ranges):
+    path = str(tmp_path / "db")
+    entities = spark.range(20000).select(
+        F.col("id").cast("string").alias("hash"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("s"), F.col("id") % 5000)).alias("s"),
+        F.col("id").cast("double").alias("x"),
+        F.lit(None).cast("string").alias("never"),
+    )
+    pairs = spark.range(30000).select((F.col("id") % 3000).cast("string").alias("hash"), (F.col("id") % 700).alias("value"))
+    database = Database.of("test", entities, {"tag": pairs.distinct()}, {"x": 0.0})
+    saved = tables.save_database(database, path, ranges=ranges)
+    read, summarise = [], sketches.summarise
+    monkeypatch.setattr(sketches, "summarise", lambda d, t, parts: read.extend(parts) or summarise(d, t, parts))
+
+    def profile(database):
+        return {r.feature: r for r in sketches.sketch_profile(database).collect()}
+
+    def near(found, exact):
+        # four standard errors, and small counts are exact
+        return abs(found - exact) <= 4 * 1.04 / 2**7 * exact
+
+    def check(found, n_tags, n_tag_values, n_owners):
+        assert set(found) == {"s", "x", "tag"}
+        assert found["s"].n_values == found["s"].n_set == 10000 and near(found["s"].n_distinct, 2500)
+        assert found["tag"].n_values == n_tags
+        assert near(found["tag"].n_distinct, n_tag_values) and near(found["tag"].n_set, n_owners)
+        assert found["s"].quantiles is None
+        assert all(abs(a - b) < 800 for a, b in zip(found["x"].quantiles, (5000, 10000, 15000)))
+
+    n_tags = saved.many["tag"].pairs().count()
+    check(profile(saved), n_tags, 700, 3000)
+    assert sorted(read) == sorted([*saved.files["features"][1], *saved.files["tag"][1]])
+    read.clear()
+    check(profile(saved), n_tags, 700, 3000)
+    assert read == []
+    new = spark.range(3000, 4000).select(F.col("id").cast("string").alias("hash"), (F.col("id") + 10000).alias("value"))
+    second = tables.save_database(writes.set_values(saved, "tag", new), path)
+    check(profile(second), n_tags + 1000, 1700, 4000)
+    new_parts = [part for t in ("tag", "features") for part in second.files[t][1] if part not in saved.files[t][1]]
+    assert sorted(read) == sorted(new_parts) and second.files["tag"][1][-1] in read and len(second.files["tag"][1]) == 2
+    with pytest.raises(FeatureError):
+        sketches.sketch_profile(writes.set_values(second, "tag", new.withColumn("value", F.lit(1))))
+
+
 def test_buckets_need_no_shuffle(spark, database, frame, tmp_path):
     path = str(tmp_path / "db")
     saved = tables.save_database(database, path, buckets=4)
