@@ -453,12 +453,12 @@ def page_deep(spark, sf_dir):
     return paging.page(select(orders(spark, sf_dir), resolve=["o_orderstatus"]), "hash", 11, top_rows=2000)
 
 
-@query("SELECT doc_id AS hash, lang FROM documents ORDER BY doc_id LIMIT 100 OFFSET 300")
+@query("SELECT doc_id AS hash, lang FROM documents ORDER BY doc_id LIMIT 100 OFFSET 100")
 def page_stored(spark, sf_dir):
     """A page of a result that was stored in ranges with fences."""
     path = working_folder(spark, "pages")
     paging.store_pages(select(documents(spark, sf_dir), resolve=["lang"]), "hash", path, range_rows=2000)
-    return paging.stored_page(spark, path, "hash", 3, 100)
+    return paging.stored_page(spark, path, "hash", 1, 100)
 
 
 @query("SELECT o_orderkey AS hash, o_orderstatus FROM orders WHERE o_orderkey > 777 ORDER BY 1 LIMIT 1000")
