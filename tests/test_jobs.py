@@ -269,3 +269,21 @@ def test_latest_values_survive_a_restart(spark, tmp_path):
     last = upsert.landed(spark, str(tmp_path / "landed")).groupBy("hash", "feature")
     rows = rows_of(last.agg(F.max_by("value", F.struct("time", "tie")).alias("v")).where("feature = 's'"))
     assert rows == [("a", "s", "new"), ("b", "s", "y"), ("c", "s", "w")]
+
+
+def test_latest_values_of_many_keys_share_calls_into_the_state(spark, tmp_path):
+    """Keys are dealt to shards; null hashes and values, missing ties and large numbers come through as they are."""
+    big = (1 << 53) + 1
+    at = [datetime(2024, 1, 1) + timedelta(minutes=m) for m in range(3)]
+    rows = [(big + i, "s", big + i, at[1], big + i) for i in range(300)] + [(big + i, "s", -1, at[0], big) for i in range(300)]
+    rows += [(None, "s", big, at[1], 1), (None, "s", 5, at[1], None), (7, "s", 6, at[0], 9), (7, "s", None, at[2], 0)]
+    schema = "hash long, feature string, value long, time timestamp, tie long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    places = (str(tmp_path / "landed"), str(tmp_path / "state"))
+    query = latest.land_latest(stream, *places, "1 hour", pd.Timedelta(days=1), shards=4)
+    query.awaitTermination()
+    held = [operator["numRowsTotal"] for progress in query.recentProgress for operator in progress["stateOperators"]]
+    assert 0 < max(held) <= 8 * 4
+    found = {(r["hash"], r["value"], r["tie"]) for r in upsert.landed(spark, places[0]).collect()}
+    assert found == {(big + i, big + i, big + i) for i in range(300)} | {(None, big, 1), (7, None, 0)}
