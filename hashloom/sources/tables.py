@@ -267,7 +267,8 @@ def _hot(spark: SparkSession, path: str, stored: tuple[str, ...]) -> dict:
     missing = [part for part in stored if not _exists(spark, _summary(path, part))]
     for part in missing:
         counts = skew.key_counts(spark.read.parquet(f"{path}/{part}"), _SIDES, skew.HOT_ROWS // _SHARE)
-        counts.coalesce(1).write.mode("overwrite").parquet(_summary(path, part))
+        # counted by many tasks; what is left of that, few rows, goes to one file
+        counts.repartition(1).write.mode("overwrite").parquet(_summary(path, part))
     return skew.merged_hot(spark.read.parquet(*[_summary(path, part) for part in stored]), _SIDES)
 
 

@@ -578,3 +578,22 @@ def test_scanned_instances_are_read_from_files_of_all_kinds(spark, tmp_path, mon
     lines = Counter(line for r in found for line in bytes(r.content).split(b"\n")[:-1])
     assert lines == Counter(line for text in texts for line in text.encode().split(b"\n"))
     assert sum(r.bytes for r in listed) == sum(len(r.content) for r in found)
+
+
+def test_hot_keys_of_a_saved_table_are_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Only what is left of the counts goes through one task."""
+    counts = tables.skew.key_counts
+    monkeypatch.setattr(tables.skew, "key_counts", lambda *a: counts(*a).withColumn("task", F.spark_partition_id()))
+    monkeypatch.setattr(tables.skew, "HOT_ROWS", 64)
+    pairs = spark.createDataFrame([(str(i % 40), str(i)) for i in range(400)], "hash string, value string")
+    pairs.write.parquet(str(tmp_path / "data" / "pairs"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        tables._hot(spark, str(tmp_path), ("data/pairs",))
+    finally:
+        spark.conf.set(name, before)
+    summary = spark.read.parquet(tables._summary(str(tmp_path), "data/pairs"))
+    assert summary.count() == 40 and summary.select("task").distinct().count() > 1
+    assert len(summary.inputFiles()) == 1
