@@ -83,7 +83,7 @@ def _merged(database: Database, table: str) -> DataFrame:
     if missing:
         marks = spark.createDataFrame([(part, "", 0, None, None, None) for part in missing], _SUMMARY)
         summaries = summarise(database, table, missing).union(marks)
-        summaries.coalesce(1).write.parquet(f"{place}/{uuid.uuid4().hex}")
+        summaries.repartition(1).write.parquet(f"{place}/{uuid.uuid4().hex}")
     mine = spark.createDataFrame([(part,) for part in parts], "part string")
     rows = _kept(spark, place).where("column <> ''").join(F.broadcast(mine), "part", "left_semi")
     merged = rows.groupBy("column").agg(
