@@ -25,6 +25,9 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: twice in a million pairs; they fail to meet in the index five times in a million.  Closer sets fail more seldom.
 MOST_DIFFERENT, SKETCH_BITS = 42, 4
 SKETCH = [f"s{i}" for i in range(CHUNKS * SYMBOLS * SKETCH_BITS // 64)]
+#: The shingles of a set are counted in PARTS parts of their hashes, in unary up to LEVELS.  Bits that two sets have
+#: in common, and the lesser number of the shingles beyond, are no fewer than their common shingles.
+PARTS, LEVELS = 512, 4
 
 _POLYNOMIAL = 0x9E3779B97F4A7C15
 _random = np.random.default_rng(20_240_229)
@@ -52,6 +55,13 @@ def signature(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     return least.astype("<u2").tobytes(), np.bitwise_or.reduce(four, axis=1).view(np.int64)
 
 
+def counts_in_parts(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The counts of a set's shingles in all parts, as bits in 64-bit words, and the number of shingles beyond LEVELS."""
+    counts = np.minimum(np.bincount((values >> np.uint64(32)) % np.uint64(PARTS), minlength=PARTS), LEVELS)
+    bits = np.packbits(np.arange(LEVELS)[:, None] < counts)
+    return bits.view(np.int64), len(values) - int(counts.sum())
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -82,7 +92,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = shingles(text, hashes)
             doc_id, asked = (batch.column(name).slice(row, 1) for name in ("doc_id", "asked"))
             members = pa.array([values.view(np.int64)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([doc_id, asked, members], names=["rep", "asked", "members"])
+            bits, beyond = counts_in_parts(values)
+            columns = [doc_id, asked, members, pa.array([bits], pa.list_(pa.int64())), pa.array([beyond], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "asked", "members", "bits", "beyond"])
 
 
 def index_keys(signatures: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -146,6 +158,13 @@ def _alike(other: str):
     return differing <= MOST_DIFFERENT
 
 
+def _may_share():
+    """Whether a row and the row with the prefix ``_`` may have enough shingles in common, by their counts in parts."""
+    both = F.zip_with("bits", "_bits", lambda own, other: F.bit_count(own.bitwiseAND(other)))
+    most = F.aggregate(both, F.lit(0), lambda total, bits: total + bits) + F.least("beyond", "_beyond")
+    return (100 + SIMILARITY) * most >= SIMILARITY * (F.col("n") + F.col("_n"))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """(u, v): the root v above every u of a forest of parents, by pointer doubling.
 
@@ -235,11 +254,11 @@ FIRST_CENTRES, MORE_CENTRES = 1, 32
 
 def _centres(active: DataFrame, centres: int) -> DataFrame:
     """The first rows of every bucket, ``centres`` at most: each task passes on that many of its own rows of a key."""
-    order = [F.col(name) for name in _ORDER]
+    order = [name for name in _ORDER if name in active.columns]
     if centres == 1:
-        others = [name for name in active.columns if name not in ("key", *_ORDER)]
-        least = active.groupBy("key").agg(F.min(F.struct(*_ORDER, *others)).alias("_least"))
-        return least.select("key", "_least.*")
+        others = [name for name in active.columns if name not in ("key", *order)]
+        least = active.groupBy("key").agg(F.min(F.struct(*order, *others)).alias("_least"))
+        return least.select("key", "_least.*").select(*active.columns)
     window = Window.partitionBy("key").orderBy(*order)
     return active.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= centres).drop("_rank")
 
@@ -277,6 +296,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     been compared, or are in one component anyway, so no link that could join two components is missed.
     No task holds a bucket to rank it: the centres are picked per task first, the others are what comes behind them.
     In the first round each member asks its smallest centre first, and the others only if still apart.
+    Later rounds have many centres, so their pairs are tried by the counts of their shingles in parts, where the buckets
+    meet: most pairs that the sketches cannot tell from linked ones end there, and no linked pair does.
     """
     # Only keys are shuffled to find those that several have; of the rows, only those that may have one of them.
     keys = representatives.select("signature").mapInArrow(_key_counts, "key long, rows long").repartition("key")
@@ -301,13 +322,14 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
         first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
         apart = (F.col("component") != F.col("_component")) & (F.col("spare") != F.col("_spare"))
         apart = apart & _split_by_size("n", "_n") & _alike("_")
+        apart = apart if first_round else apart & _may_share()
         meeting = active.join(first, "key").where(apart)
         pairs = meeting.select("rep", F.col("_rep").alias("asked"), F.col("_weight").alias("weight")).distinct()
         pairs, met = counted(pairs, "near-pairs")
         if first_round:
             asked = pairs.groupBy("rep").agg(F.min(F.struct("weight", "asked"))["asked"].alias("asked"))
             sets = _set_table(documents, active, asked)
-            links, more = _verified(sets.where("asked IS NOT NULL"), sets)
+            links, more = _verified(sets.select("rep", "members", "asked").where("asked IS NOT NULL"), sets)
             labels = _joined_components(None, links) if more else None
             apart = _labelled(_labelled(pairs, labels, "rep", "_ca"), labels, "asked", "_cb").where("_ca <> _cb")
             pairs, met = counted(apart.select("rep", "asked").join(asked, ["rep", "asked"], "left_anti"), "near-pairs")
@@ -323,16 +345,24 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
             rest = rest.drop("_end", "_label", "_size")
         apart = rest.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), *spares)
         apart = apart.where("_low <> _high AND _least <> _most").select("key")
-        active, found = counted(rest.join(apart, "key", "left_semi"), "near-buckets")
+        rest = rest.join(apart, "key", "left_semi")
+        if first_round:
+            shares = sets.select(F.col("rep").alias("_end"), "bits", "beyond").distinct()
+            rest = rest.join(shares, rest["rep"] == shares["_end"]).drop("_end")
+        active, found = counted(rest, "near-buckets")
         centres, first_round = centres * MORE_CENTRES, False
     return labels
 
 
+_SETS = "rep long, asked long, members array<long>, bits array<long>, beyond long"
+
+
 def _set_table(documents: DataFrame, active: DataFrame, asked: DataFrame) -> DataFrame:
-    """(rep, asked, members) of all representatives in buckets: the set of each, and the centre it asks first."""
+    """(rep, asked, members, bits, beyond) of all representatives in buckets: the set of each, the centre it asks
+    first, and the counts of the set in parts."""
     wanted = active.select("rep").distinct().join(asked, "rep", "left").withColumnRenamed("rep", "doc_id")
     sources = thinned(documents, "doc_id", wanted).join(wanted, "doc_id")
-    return written(sources.mapInArrow(_sets, "rep long, asked long, members array<long>"), "near-sets")
+    return written(sources.mapInArrow(_sets, _SETS), "near-sets")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -495,3 +495,39 @@ def test_network_learns_and_windows_agree(spark, docs):
     whole = pii.label_texts(net, [long])[0]
     assert len(whole) == len(long) and whole.any()
     assert len(pii.personal_data(docs, net).collect()) == count(docs)
+
+
+def test_counts_in_parts_never_hide_common_shingles():
+    rng = np.random.default_rng(5)
+    for size, common in ((1, 0), (1, 1), (150, 120), (3_000, 2_500), (40_000, 30_000)):
+        both = rng.integers(0, 1 << 63, common, dtype=np.uint64)
+        sets = [np.concatenate([both, rng.integers(0, 1 << 63, size - common, dtype=np.uint64)]) for _ in range(2)]
+        (one, beyond), (other, more) = map(near.counts_in_parts, sets)
+        most = sum(int(x).bit_count() for x in (one & other).view(np.uint64)) + min(beyond, more)
+        assert common <= most <= size
+
+
+def test_near_asks_few_of_the_pairs_of_a_group_that_are_not_linked(spark, monkeypatch):
+    """Copies of one text, each changed so much that few are linked: their sets are not compared pair by pair."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = [[w if rng.random() > 0.028 else f"u{rng.random()}" for w in base] for _ in range(150)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for i, own in enumerate(sets):
+        for j in range(i):
+            if 7 * len(own & sets[j]) >= 3 * (len(own) + len(sets[j])):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    asked, count = [], near.counted
+
+    def noting(frame, purpose, **sums):
+        frame, found = count(frame, purpose, **sums)
+        asked.append(found["rows"] if purpose == "near-pairs" else 0)
+        return frame, found
+
+    monkeypatch.setattr(near, "counted", noting)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(frame).collect()}
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) > 20
+    assert sum(asked) < 10 * len(texts)
