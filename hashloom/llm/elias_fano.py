@@ -6,10 +6,7 @@ import json
 
 import numpy as np
 
-_POPULATION = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
-
-
-#: Lower bits are read as one word of 64 bits that begins at a byte.
+#: Lower bits are fewer than the bits of a word, so two words next to each other hold those of any value.
 _MOST_LOW = 57
 
 
@@ -23,7 +20,23 @@ def _place_of_bit() -> np.ndarray:
 
 
 _PLACE = _place_of_bit()
-_EIGHT = np.arange(8)
+#: Every byte of a word: its lowest bit, its highest one, and every other, second or fourth bit of the word.
+_LOWEST, _HIGHEST = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_ONE, _TWO, _FOUR = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
+def _place_in_word(words: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of the which-th (from 0) set bits of words of 64 bits, which have that many."""
+    which = which.astype(np.uint64)
+    sums = words - ((words >> np.uint64(1)) & _ONE)
+    sums = (sums & _TWO) + ((sums >> np.uint64(2)) & _TWO)
+    # Each byte gets the number of bits set in it and in the bytes below.
+    sums = ((sums + (sums >> np.uint64(4))) & _FOUR) * _LOWEST
+    # The bit is in the first byte whose number is greater: the others keep their highest bit in this difference.
+    byte = ((((which * _LOWEST) | _HIGHEST) - sums) & _HIGHEST) >> np.uint64(7)
+    at = ((byte * _LOWEST) >> np.uint64(56)) << np.uint64(3)
+    left = which - (((sums << np.uint64(8)) >> at) & np.uint64(255))
+    return at.astype(np.int64) + _PLACE[(words >> at) & np.uint64(255), left]
 
 
 def encode(values: np.ndarray, universe: int) -> tuple[dict, list[np.ndarray]]:
@@ -47,7 +60,7 @@ def encode(values: np.ndarray, universe: int) -> tuple[dict, list[np.ndarray]]:
         for bit in range(low_bits):
             bits[:, bit] = (values >> np.uint64(bit)) & np.uint64(1)
         lower = np.packbits(bits.reshape(-1), bitorder="little")
-    lower = np.concatenate([lower, np.zeros(8, dtype=np.uint8)])
+    lower = np.concatenate([lower, np.zeros(8 + -len(lower) % 8, dtype=np.uint8)])
     return {"n": n, "low_bits": low_bits, "universe": int(universe)}, [unary, ranks.view(np.uint8), lower]
 
 
@@ -56,8 +69,8 @@ class EliasFano:
 
     def __init__(self, header: dict, arrays: list[np.ndarray]):
         self.n, self._low_bits, self.universe = header["n"], header["low_bits"], header["universe"]
-        unary, ranks, self._lower = arrays
-        self._words = unary.view("<u8")
+        unary, ranks, lower = arrays
+        self._words, self._lower = unary.view("<u8"), lower.view("<u8")
         self._ones = ranks.view("<u4").astype(np.int64)
         self._zeros = np.arange(len(self._ones), dtype=np.int64) * 64 - self._ones
 
@@ -69,21 +82,17 @@ class EliasFano:
         held = self._words[word]
         if not ones:
             held = ~held
-        eight = held.view(np.uint8).reshape(-1, 8)
-        counted = np.cumsum(_POPULATION[eight], axis=1, dtype=np.uint8)
-        byte = (counted <= left[:, None]).sum(axis=1)
-        every = np.arange(len(which))
-        left = left - np.where(byte > 0, counted[every, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[eight[every, byte], left]
+        return word * 64 + _place_in_word(held, left)
 
     def _low(self, index: np.ndarray) -> np.ndarray:
         if not self._low_bits:
             return np.zeros(len(index), dtype=np.uint64)
         bit = index * self._low_bits
-        byte = bit >> 3
-        words = self._lower[byte[:, None] + _EIGHT].view("<u8").reshape(-1)
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
         mask = np.uint64((1 << self._low_bits) - 1)
-        return (words >> (bit & 7).astype(np.uint64)) & mask
+        # Shifted by one bit first, as a shift by 64 is none.
+        above = (self._lower[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return ((self._lower[word] >> shift) | above) & mask
 
     def values(self, index: np.ndarray) -> np.ndarray:
         """The values at some indices."""
@@ -145,6 +154,7 @@ def to_bytes(header: dict, arrays: dict[str, np.ndarray], sequences: dict[str, t
 
 
 def from_bytes(data: np.ndarray) -> tuple[dict, dict[str, np.ndarray], dict[str, EliasFano]]:
+    data = data.view(np.ndarray)  # parts of a mapped file are plain arrays
     size = int.from_bytes(bytes(data[:8]), "little")
     index, base = json.loads(bytes(data[8 : 8 + size])), 8 + size
 

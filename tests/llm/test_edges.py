@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from hashloom.llm import contamination, elias_fano, exact, html_text, language_model, near, packing, pii, quality
 from hashloom.llm import sharding, substring
-from hashloom.llm.common import prepared
+from hashloom.llm.common import WordHashes, prepared
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank long, key string, n long"
@@ -341,6 +341,31 @@ def test_elias_fano():
             assert (at == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
 
 
+def test_elias_fano_reads_words():
+    """Set bits are found and lower bits read a word at a time, also where a value's bits lie in two words."""
+    rng = np.random.default_rng(2)
+    held = np.concatenate([rng.integers(1, 1 << 64, 500, dtype=np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    held = np.concatenate([held, np.array([(1 << 64) - 1], dtype=np.uint64)])
+    for at in range(64):
+        places = [[bit for bit in range(64) if word >> bit & 1] for word in held.tolist()]
+        some = [k for k, found in enumerate(places) if len(found) > at]
+        found = elias_fano._place_in_word(held[some], np.full(len(some), at))
+        assert found.tolist() == [places[k][at] for k in some]
+    for bits in range(1, 58):
+        values = np.sort(rng.integers(0, 1 << bits, 3, dtype=np.uint64)) + np.uint64(1 << bits) * np.arange(3, dtype=np.uint64)
+        data = elias_fano.to_bytes({}, {}, {"s": elias_fano.encode(values, 3 << bits)})
+        found = elias_fano.from_bytes(np.frombuffer(data, np.uint8))[2]["s"]
+        assert found._lower.dtype == np.uint64 and (found.values(np.arange(3)) == values).all()
+
+
+def test_tokens_of_the_model():
+    """Texts side by side: lower-cased words and an end each, hashed as they come, none remembered."""
+    found, lengths = language_model._tokens([b"", b" Aa\x0bB\xc3\x89 aa\n", b"aa"])
+    end = WordHashes().of([b""]).tolist()
+    a, b = WordHashes().of([b"aa", b"b\xc3\x89"]).tolist()
+    assert lengths.tolist() == [1, 4, 2] and found.tolist() == [*end, a, b, a, *end, a, *end]
+
+
 def test_quality(docs, labels):
     rows = quality.quality_scores(docs, labels).collect()
     assert len(rows) == count(docs) and all(0 <= r.score <= 1 for r in rows)
