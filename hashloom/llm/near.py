@@ -263,6 +263,27 @@ def _centres(active: DataFrame, centres: int) -> DataFrame:
     return active.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= centres).drop("_rank")
 
 
+#: Centres of a bucket in a later round, at most, where rows of its largest component are half of it or more.
+MOST_CENTRES = 1_024
+
+
+def _outside(active: DataFrame, centres: int) -> DataFrame:
+    """The centres of later rounds, with the largest component of their bucket (``_big``), which has none of them.
+
+    Pairs within that component are known, so the rows outside of it meet all others.  Where it is half of a bucket or
+    more, its rows would only be carried on from round to round to meet the few outside: those, MOST_CENTRES at most, are
+    centres at once.  Elsewhere the first ``centres`` of them are, as links among them may save the others.
+    """
+    parts = active.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_part"))
+    whole = parts.groupBy("key").agg(F.sum("_part").alias("_rows"), F.max(F.struct("_part", "component")).alias("_largest"))
+    ruled = (2 * F.col("_largest._part") >= F.col("_rows")).alias("_ruled")
+    outside = active.join(whole.select("key", F.col("_largest.component").alias("_big"), ruled), "key")
+    outside = outside.where(F.col("component") != F.col("_big"))
+    ranked = outside.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(*_ORDER)))
+    ranked = ranked.where(F.col("_rank") <= max(centres, MOST_CENTRES))
+    return ranked.where(F.col("_ruled") | (F.col("_rank") <= centres)).drop("_rank", "_ruled")
+
+
 #: The order of a bucket: members of small components first, then those that meet the most rows in all their buckets
 #: (``weight`` is minus their number): what copies were made from meets more of them than they do of each
 #: other.  It is total and the same in all buckets, so every plan that asks has the same centres.
@@ -291,7 +312,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     symbol holds no pair that is due there and is left out.  A bucket is never expanded into
     all its pairs at once: a round compares its first members (the centres) with all its others that are not known to be
     in the same component, then retires the centres and all buckets whose members are in one component.
-    Members of small components are centres first: once they are retired, a bucket of one large component is done.
+    Members of small components are centres first, and from the second round on none of the largest component of a bucket
+    is: once all others are retired, the bucket is done.
     Rounds go on, with MORE_CENTRES times as many centres each, until no bucket is left: all pairs of a bucket have then
     been compared, or are in one component anyway, so no link that could join two components is missed.
     No task holds a bucket to rank it: the centres are picked per task first, the others are what comes behind them.
@@ -317,9 +339,12 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
     sets = None
     labels, centres, first_round = None, FIRST_CENTRES, True
     while found["rows"]:
-        first = _centres(active, centres)
-        behind = first.groupBy("key").agg(F.max(F.struct(*_ORDER)).alias("_last"))
-        first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name != "key"))
+        if first_round:
+            first = _centres(active, centres).withColumn("_big", F.lit(None).cast("long"))
+        else:
+            first = _outside(active, centres)
+        behind = first.groupBy("key").agg(F.max(F.struct(*_ORDER)).alias("_last"), F.max("_big").alias("_big"))
+        first = first.select("key", *(F.col(name).alias(f"_{name}") for name in first.columns if name not in ("key", "_big")))
         apart = (F.col("component") != F.col("_component")) & (F.col("spare") != F.col("_spare"))
         apart = apart & _split_by_size("n", "_n") & _alike("_")
         apart = apart if first_round else apart & _may_share()
@@ -337,7 +362,8 @@ def _linked(documents: DataFrame, representatives: DataFrame) -> DataFrame | Non
             asking = thinned(sets.select("rep", "members"), "rep", pairs.select("rep").distinct())
             links, more = _verified(asking.join(pairs.select("rep", "asked"), "rep"), sets)
             labels = _joined_components(labels, links) if more else labels
-        rest = active.join(behind, "key").where(F.struct(*_ORDER) > F.col("_last")).drop("_last")
+        stays = (F.struct(*_ORDER) > F.col("_last")) | F.col("component").eqNullSafe(F.col("_big"))
+        rest = active.join(behind, "key").where(stays).drop("_last", "_big")
         if labels is not None:
             side = labels.select(F.col("rep").alias("_end"), F.col("component").alias("_label"), F.col("size").alias("_size"))
             rest = rest.join(side, rest["rep"] == side["_end"], "left")

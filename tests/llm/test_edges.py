@@ -168,6 +168,20 @@ def test_centres_are_the_first_of_every_bucket(spark):
         assert {tuple(r) for r in near._centres(active, centres).collect()} == want
 
 
+def test_near_carries_no_large_component_on(spark):
+    """Where one component is half of a bucket, all rows outside of it are centres at once, elsewhere the first are; none
+    of the component is one, also where its rows come first in order or other components are larger elsewhere."""
+    rows = [(1, rep, rep, 500, 0, 1) for rep in range(1, 101)] + [(1, rep, rep, 1, 0, rep) for rep in range(101, 141)]
+    rows += [(2, rep, rep, 1, 0, rep) for rep in range(101, 141)] + [(2, 1, 1, 500, 0, 1), (2, 2, 2, 500, 0, 1)]
+    rows += [(3, rep, rep, 2, 0, 900) for rep in range(900, 960)] + [(3, 1, 1, 500, 0, 1)]
+    columns = ["key", "rep", "spare", "size", "weight", "component"]
+    active = spark.createDataFrame(rows, ", ".join(f"{name} long" for name in columns)).repartition(5)
+    found = near._outside(active, 32).collect()
+    reps = {key: sorted(r.rep for r in found if r.key == key) for key in (1, 2, 3)}
+    assert reps == {1: list(range(101, 141)), 2: list(range(101, 133)), 3: [1]}
+    assert {(r.key, r["_big"]) for r in found} == {(1, 1), (2, 1), (3, 900)}
+
+
 def test_near_equals_all_pairs(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(300)]
